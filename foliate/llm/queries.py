@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliate.llm import op2_vectors, op3_tokens, op5_exact, op7_ngrams, op8_packing, op10_codec
+from foliate.llm import op1_quotes, op2_vectors, op3_tokens, op4_lm, op5_exact, op6_language, op7_ngrams, op8_packing, op9_toxicity, op10_codec
 from foliate.session import table
 
 _VECTORS_SQL = """
@@ -61,11 +61,15 @@ FROM documents LEFT JOIN class USING (doc_id) LEFT JOIN n ON n.a = class.c LEFT
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     documents = lambda f: lambda spark, folder: f(table(spark, folder, "documents"))
     return {
+        "op1_quotes": lambda spark, folder: op1_quotes.linked(table(spark, folder, "conversations")),
         "op2_vectors": lambda spark, folder: op2_vectors.near_vectors(table(spark, folder, "embeddings")),
         "op3_tokens": documents(op3_tokens.token_counts),
+        "op4_lm": documents(op4_lm.scored),
         "op5_exact": documents(op5_exact.exact_groups),
+        "op6_language": lambda spark, folder: op6_language.languages_of(table(spark, folder, "documents"), table(spark, folder, "pages")),
         "op7_ngrams": documents(op7_ngrams.similar),
         "op8_packing": documents(op8_packing.packed),
+        "op9_toxicity": lambda spark, folder: op9_toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels")),
         "op10_codec": documents(op10_codec.codec_digests),
     }
 
