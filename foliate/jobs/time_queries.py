@@ -149,3 +149,19 @@ def sessions(spark, folder):
 SELECT conv_id, count(*) AS turns, min_by(role, turn) AS first_role, max_by(role, turn) AS last_role, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS missing FROM conversations GROUP BY conv_id""")
 def turns(spark, folder):
     return table(spark, folder, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.min_by("role", "turn").alias("first_role"), F.max_by("role", "turn").alias("last_role"), (F.max("turn") - F.min("turn") + 1 - F.count_distinct("turn")).alias("missing"))
+
+
+@query("stream_minute_counts", "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_minute_counts(spark, folder):
+    from foliate.streaming import events
+
+    out = events.finished(events.window_counts(events.read(spark, folder, "events"), "ts", "event_type"), ["start", "event_type"], "minutes")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_sequence", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events")
+def stream_sequence(spark, folder):
+    from foliate.streaming import events
+
+    rows = events.read(spark, folder, "events").select("event_id", "user_id", "ts")
+    return events.sequence_batches(rows, "user_id", ["ts", "event_id"], "sequence").select("event_id", "user_id", "seq")
