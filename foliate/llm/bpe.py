@@ -237,22 +237,28 @@ def _matrix(vocabulary: Vocabulary, texts: list[bytes], lengths: np.ndarray, wid
 
 
 class Store:
-    """Pre-tokens met so far and their ids; forgets all when it holds `most` of them, so memory is bounded."""
+    """Pre-tokens met so far and their ids, `most` of them at most: when full it keeps those that came up again."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 500_000):
         self.encode, self.most = encode, most
-        self._clear()
-
-    def _clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.starts, self.lengths, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _shed(self) -> None:
+        keep = np.flatnonzero(self.uses >= 2)
+        if len(keep) > self.most // 2:
+            keep = np.sort(np.argsort(-self.uses)[: self.most // 2])
+        names = list(self.index)
+        self.index = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.ids, self.lengths, self.uses = self.ids[ragged(self.starts[keep], self.lengths[keep])], self.lengths[keep], self.uses[keep] // 2
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def look_up(self, tokens: list[str]) -> np.ndarray:
         """The place of every pre-token; starts, lengths and ids hold until the next call."""
         new = list(set(tokens).difference(self.index))
         if len(self.index) + len(new) > self.most:
-            self._clear()
-            new = list(set(tokens))
+            self._shed()
+            new = list(set(tokens).difference(self.index))
         if new:
             ids, lengths = self.encode(new)
             base = len(self.index)
@@ -260,7 +266,10 @@ class Store:
             self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
             self.lengths = np.concatenate([self.lengths, lengths])
             self.ids = np.concatenate([self.ids, ids])
-        return np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
+        at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        return at
 
 
 def texts_to_ids(texts: list[str], split: Splitter, store: Store, special: tuple[str, int] | None, wanted: bool = True) -> tuple[np.ndarray | None, np.ndarray]:

@@ -79,7 +79,7 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     quoted = F.filter("blocks", lambda b: b["level"] > 0)
     messages = cut.select(
         "conv", "turn", "role", "mid",
-        F.when(F.size(own) == F.size("blocks"), F.trim("text")).otherwise(reply).alias("reply_text"),
+        F.when(~F.col("text").rlike(r"(?m)^[ \t]{0,3}>"), F.trim("text")).otherwise(reply).alias("reply_text"),
         F.size(quoted).alias("n_quoted"),
         F.coalesce(F.array_max(F.transform(quoted, lambda b: b["level"])), F.lit(0)).alias("deepest"),
         F.concat("blocks", _runs(F.col("blocks"))).alias("passages"),

@@ -177,9 +177,9 @@ def _verified(cid: np.ndarray, size: np.ndarray, count: np.ndarray, bands: np.nd
 
 def _verifier(threshold: float):
     def verify(table: pa.Table) -> pa.Table:
-        part, side, cid, size = (table.column(x).to_numpy() for x in ("part", "side", "cid", "size"))
+        part, side, cid, size, same = (table.column(x).to_numpy() for x in ("part", "side", "cid", "size", "same"))
         order = np.lexsort((cid, side, part))
-        part, side, cid, size = part[order], side[order], cid[order], size[order]
+        part, side, cid, size, same = part[order], side[order], cid[order], size[order], same[order]
         bands = table.column("bands").combine_chunks().take(pa.array(order)).flatten().to_numpy().reshape(len(cid), -1)
         lists = table.column("grams").combine_chunks().take(pa.array(order))
         ends, flat = np.asarray(lists.offsets), lists.values.to_numpy().view(np.uint64)
@@ -189,9 +189,9 @@ def _verifier(threshold: float):
         start = 0
         for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]:
             own = slice(start, end)
-            cut = int(np.searchsorted(side[own], 1))
-            if end - start > 1 and cut:
-                found.append(_verified(cid[own], size[own], count[own], bands[own], grams[own], None if cut == end - start else cut, threshold))
+            cut = None if same[start] else int(np.searchsorted(side[own], 1))
+            if end - start > 1 and cut != 0:
+                found.append(_verified(cid[own], size[own], count[own], bands[own], grams[own], cut, threshold))
             start = end
         columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
         return pa.table(dict(zip(("cid", "links", "root"), columns, strict=True)))
@@ -222,13 +222,13 @@ def _classes(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float
     sets = written(in_arrow(candidates, _sets(n), "cid long, component long, size long, bands array<long>, grams array<long>").dropDuplicates(["cid"]), "sets")
     heads = parts.groupBy("component").agg(F.count("*").alias("members"))
     dealt = sets.join(heads, "component").withColumn("chunks", F.ceil(F.col("members") / TILE).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-    tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", (F.col("chunk") > F.col("other")).cast("int"))
+    tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"side": (F.col("chunk") > F.col("other")).cast("int"), "same": (F.col("chunk") == F.col("other")).cast("int")})
     tiled = tiled.withColumn("part", F.when(F.col("chunks") == 1, F.col("component")).otherwise(F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other"))))
     # small groups share tasks, by a number of bins that grows with the rows; a tile of a large group is a task of its own
     bins = max(1, -(-sets.count() // TILE))
     tiled = tiled.withColumn("bin", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("part")))
     ship(df.sparkSession)
-    found = written(tiled.select("bin", "part", "side", "cid", "size", "bands", "grams").groupBy("bin").applyInArrow(_verifier(threshold), "cid long, links long, root long"), "found")
+    found = written(tiled.select("bin", "part", "side", "same", "cid", "size", "bands", "grams").groupBy("bin").applyInArrow(_verifier(threshold), "cid long, links long, root long"), "found")
     ends = classes.select("s1", "s2", "cid").join(resolved(classes, found), "cid")
     return signed.select("id", "t1", "t2", "s1", "s2", "n"), ends
 

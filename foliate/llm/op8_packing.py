@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,9 +28,9 @@ def _tokenizer(path: str) -> tuple[Splitter, Store, int]:
         tokenizer = Tokenizer.from_file(path)
 
         def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids = [x.ids for x in tokenizer.encode_batch(new, add_special_tokens=False)]
+            ids = [x.ids for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum())), lengths
+            return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
 
         _STORES[path] = Splitter(public_tokenizers.PATTERN), Store(encode), tokenizer.token_to_id(SPECIAL)
     return _STORES[path]
@@ -94,10 +95,10 @@ def _best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def _packer(capacity: int, nearly: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        got = [x for x in batches if x.num_rows]
+        if not got:
             return
-        table = table.combine_chunks()
+        table = pa.Table.from_batches(got).combine_chunks()
         fill = table.column("fill").to_numpy().tolist()
         items = table.column("items").chunk(0)
         starts = np.asarray(items.offsets)
