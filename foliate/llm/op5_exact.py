@@ -174,6 +174,6 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """The rows of df that stay, with all columns as they were."""
     entries, classes = index(df, id_col, text_col, **how)
-    kept = classes.where("rep = keep_uid").select(F.col("rep").alias("uid"))
+    kept = classes.where("rep = keep_uid").select(F.col("rep").alias("uid")).hint("merge")  # grows with the rows: one plan at every size
     (row,) = fresh(df, "row")
     return entries.where("uid = rep").select("uid", F.col("row").alias(row)).join(kept, "uid").select(f"{row}.*")

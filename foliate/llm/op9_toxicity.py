@@ -8,10 +8,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import fresh, in_arrow, slices, text_of, utf8, written
+from foliate.llm.common import in_arrow, slices, text_of, utf8, written
 
 # Words of the lexicon voters.
 NOUNS = frozenset("idiot idiots moron morons loser losers scum clown clowns imbecile imbeciles cretin cretins trash vermin creep creeps scumbag scumbags dimwit halfwit lowlife pig pigs parasite parasites".split())
@@ -83,7 +83,8 @@ def _voting(chosen: list[str]):
                         n |= 1 << (BUILT_IN + k % DATA)
                     votes.append(n)
                     held.append(own)
-                yield pa.record_batch([batch.column(0)[a:b], pa.array(votes, pa.int32()), pa.array(held, pa.list_(pa.int32()))], ["id", "votes", "features"])
+                carried = [batch.column(k)[a:b] for k in range(2, batch.num_columns)]
+                yield pa.record_batch([batch.column(0)[a:b], pa.array(votes, pa.int32()), pa.array(held, pa.list_(pa.int32())), *carried], ["id", "votes", "features", *batch.schema.names[2:]])
 
     return vote
 
@@ -177,17 +178,28 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     and has no label. Several labels of one id count as their greatest; null labels and labels other than 0 and
     1 as none. Without labels of both kinds the fixed voters alone are used. Repeated rows get equal scores.
     """
+    out = _scored(df, labels, id_col, text_col, label_col, folds, sample, False)
+    return out.select("id", _out_of(folds).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")).withColumnRenamed("id", id_col)
+
+
+def _out_of(folds: int) -> Column:
+    return F.coalesce(F.crc32(F.col("id").cast("string")) % folds == 0, F.lit(False))
+
+
+def _scored(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, sample: int, carry: bool) -> DataFrame:
+    """(id, score), with carry also the whole row: it goes along in the written table of votes, so that no join has to bring it back."""
     kind = df.schema[id_col].dataType.simpleString()
-    out_of = F.coalesce(F.crc32(F.col("id").cast("string")) % folds == 0, F.lit(False))
-    known = labels.select(F.col(id_col).cast(kind).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").where(~out_of)
+    carried = [F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []
+    known = labels.select(F.col(id_col).cast(kind).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").where(~_out_of(folds))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), *carried)
+    along = "".join(f", row {f.dataType.simpleString()}" for f in rows.schema if f.name == "row")
     chosen_rows = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # at most `sample` pairs of numbers: small enough for every executor
-    train = written(rows.join(F.broadcast(chosen_rows), "id"), "train")
+    train = written(rows.select("id", "text").join(F.broadcast(chosen_rows), "id"), "train")
     shares = lexicon(train)
     chosen = list(shares)
 
-    votes = written(in_arrow(rows, _voting(chosen), f"id {kind}, votes int, features array<int>"), "votes")
+    votes = written(in_arrow(rows, _voting(chosen), f"id {kind}, votes int, features array<int>{along}"), "votes")
     seen = {r[0]: r[1] for r in votes.groupBy("votes").count().collect()}  # 4,096 patterns at most
     told = {(r[0], r[1]): r[2] for r in votes.join(known, "id").groupBy("votes", "label").count().collect()}
     patterns = np.array(sorted(seen), np.int64) if seen else np.zeros(1, np.int64)
@@ -218,13 +230,11 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             flat = np.asarray(held.flatten())
             z = np.bincount(np.repeat(np.arange(len(n)), n), weights[flat], len(n)) + weights[-1]
             z += ((batch.column(1).to_numpy()[:, None] >> np.arange(BUILT_IN)) & 1) @ weights[len(chosen) : -1]
-            yield pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-z)))], ["id", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-z))), *batch.columns[3:]], ["id", "score", *batch.schema.names[3:]])
 
-    scored = in_arrow(votes.select("id", "votes", "features"), score, f"id {kind}, score double")
-    return scored.select("id", out_of.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")).withColumnRenamed("id", id_col)
+    return in_arrow(votes, score, f"id {kind}, score double{along}")
 
 
-def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how: int) -> DataFrame:
-    """The rows of df whose text isn't predicted toxic, with all columns; rows with a null id stay."""
-    gone = toxicity(df, labels, id_col, **how).where("predicted = 1").select(F.col(id_col).alias(fresh(df, "gone")[0])).distinct()
-    return df.join(gone, df[id_col] == gone[gone.columns[0]], "left_anti")
+def without_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, sample: int = 20_000) -> DataFrame:
+    """The rows of df whose text isn't predicted toxic, with all columns. Rows are not shuffled."""
+    return _scored(df, labels, id_col, text_col, label_col, folds, sample, True).where("score < 0.5").select("row.*")
