@@ -191,8 +191,14 @@ def languages_of(documents: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def in_known_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", host_col: str = "source") -> DataFrame:
-    """The rows of df that identify() keeps, with all columns; rows with a null id stay."""
-    found = identify(df, F.col(text_col), F.col(lang_col), F.col(host_col), [id_col])
-    (gone,) = fresh(df, "gone")
-    out = found.where(~F.col("kept")).select(F.col(id_col).alias(gone)).distinct()
-    return df.join(out, df[id_col] == out[gone], "left_anti")
+    """The rows of df that identify() keeps, with all columns.
+
+    Rows are told apart by two hashes of id, text, language and host, so of rows with one id each is judged by itself, and
+    rows with a null id are judged as all others.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in (id_col, text_col, lang_col, host_col)]
+    k1, k2, g1, g2 = fresh(df, "key_a", "key_b", "gone_a", "gone_b")
+    keyed = df.withColumns({k1: F.xxhash64(*parts), k2: F.xxhash64(F.lit(7), *parts)})
+    found = identify(keyed, F.col(text_col), F.col(lang_col), F.col(host_col), [k1, k2])
+    gone = found.where(~F.col("kept")).select(F.col(k1).alias(g1), F.col(k2).alias(g2)).distinct().hint("merge")  # grows with the rows: one plan at every size
+    return keyed.join(gone, (F.col(k1) == F.col(g1)) & (F.col(k2) == F.col(g2)), "left_anti").drop(k1, k2)

@@ -215,9 +215,10 @@ def _classes(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float
     met = banded.join(shared, "band").where("cid <> least").select("cid", "least").distinct()
     parts = written(components(met), "parts")
 
-    # the n-gram sets of candidates alone, each once (or once for each tile of its row where a group needs more than one tile)
+    # the n-gram sets of candidates alone, each once (or once for each tile of its row where a group needs more than one tile);
+    # what is wanted grows with the rows, so texts are shuffled at every size
     wanted = parts.withColumnRenamed("node", "cid").join(classes.select("cid", "size", "bands", "rep", "t1", "t2"), "cid")
-    texts = keyed.join(wanted.withColumnRenamed("rep", "wanted_id").withColumnsRenamed({"t1": "w1", "t2": "w2"}), F.expr("t1 = w1 AND t2 = w2 AND id <=> wanted_id"))
+    texts = keyed.join(wanted.withColumnRenamed("rep", "wanted_id").withColumnsRenamed({"t1": "w1", "t2": "w2"}).hint("merge"), F.expr("t1 = w1 AND t2 = w2 AND id <=> wanted_id"))
     candidates = texts.select("cid", "component", "size", "bands", "text")
     sets = written(in_arrow(candidates, _sets(n), "cid long, component long, size long, bands array<long>, grams array<long>").dropDuplicates(["cid"]), "sets")
     heads = parts.groupBy("component").agg(F.count("*").alias("members"))
@@ -265,4 +266,4 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     i, t1, t2 = fresh(df, "gone_id", "gone_t1", "gone_t2")
     text = text_of(text_col)
     match = F.xxhash64(text).eqNullSafe(F.col(t1)) & F.xxhash64(F.lit(7), text).eqNullSafe(F.col(t2)) & F.col(id_col).eqNullSafe(F.col(i))
-    return df.join(gone.toDF(i, t1, t2), match, "left_anti")
+    return df.join(gone.toDF(i, t1, t2).hint("merge"), match, "left_anti")  # grows with the rows: one plan at every size
