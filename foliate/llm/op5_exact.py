@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import fresh, in_arrow, written
+from foliate.llm.common import drop, fresh, in_arrow, written
 from foliate.session import ship
 
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -133,6 +133,7 @@ def index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bit
     sizes = entries.groupBy(F.col("rep").alias("uid")).agg(F.count("*").alias("size"))
     whole = reps.select("uid", "id").join(sizes, "uid").join(heads, "uid", "left").withColumn("head", F.coalesce("head", "uid"))
     whole = written(whole, "heads")
+    drop(chained)
     classes = whole.groupBy("head").agg(F.sum("size").alias("group_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"))
     classes = whole.select(F.col("uid").alias("rep"), "head").join(classes, "head").select("rep", F.col("first.uid").alias("keep_uid"), F.col("first.id").alias("keep_id"), "group_size")
     return entries, classes

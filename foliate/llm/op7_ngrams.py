@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import fresh, in_arrow, mixed, ragged, slices, text_of, union, utf8, written
+from foliate.llm.common import drop, fresh, in_arrow, mixed, ragged, slices, text_of, union, utf8, written
 from foliate.llm.components import components, resolved
 from foliate.session import ship
 
@@ -230,6 +230,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float
     tiled = tiled.withColumn("bin", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("part")))
     ship(df.sparkSession)
     found = written(tiled.select("bin", "part", "side", "same", "cid", "size", "bands", "grams").groupBy("bin").applyInArrow(_verifier(threshold), "cid long, links long, root long"), "found")
+    drop(sets)
+    drop(parts)
     ends = classes.select("s1", "s2", "cid").join(resolved(classes, found), "cid")
     return signed.select("id", "t1", "t2", "s1", "s2", "n"), ends
 
