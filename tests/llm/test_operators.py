@@ -355,6 +355,30 @@ def test_language(spark, nothing):
     assert op6_language.in_known_language(nothing).count() == 0
 
 
+def test_rare_and_many_languages(spark):
+    """A language with a thousandth of the rows, 40 others, and codes that have no model."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    word = lambda a: "".join(rng.choice(list(a), 5))
+    letters = [rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9, replace=False) for _ in range(41)]
+    own = [[word(a) for _ in range(30)] for a in letters]
+    code = lambda k: f"q{chr(97 + k // 26)}{chr(97 + k % 26)}"
+    rows = [(f"en{k}", " ".join(rng.choice(WORDS, 8)), "en", "a.org") for k in range(10000)]
+    rows += [(f"{code(j)}{k}", " ".join(rng.choice(own[j], 40)), code(j), f"{code(j)}.net") for j in range(41) for k in range(10)]
+    rows += [("plain", " ".join(rng.choice(WORDS, 80)), "zz", "b.org"), ("strange", " ".join(word("äöüßñé") for _ in range(60)), "zy", "b.org"), ("void", "", "zx", None), ("wrong", " ".join(rng.choice(WORDS, 80)), code(40), "b.org")]
+    df = spark.createDataFrame(rows, "k string, t string, d string, h string")
+    got = {r.k: r for r in op6_language.identify(df, F.col("t"), F.col("d"), F.col("h"), ["k"]).collect()}
+    assert len(got) == len(rows)
+    for j in range(41):
+        for k in range(10):
+            r = got[f"{code(j)}{k}"]
+            assert (r.lang, r.text_lang, r.kept) == (code(j), code(j), True)
+    assert got["plain"].lang == "en" and not got["plain"].kept and not got["wrong"].kept
+    assert (got["strange"].lang, got["strange"].text_lang, got["strange"].kept) == ("zy", None, True)
+    assert (got["void"].lang, got["void"].kept) == ("zx", True)
+
+
 # 9
 
 
