@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliate.llm.common import drop, text_of, written
@@ -20,15 +20,15 @@ def normal(text: Column) -> Column:
 def _blocks(df: DataFrame) -> DataFrame:
     """df(text) with blocks, an array of (level, passage): runs of lines of one quote level without blank lines.
 
-    The level of a line is its number of leading > marks; a line that announces a quotation has level -1 if a
-    quoted line comes next. A blank line of any level ends a block and is in none. Work is linear in the lines.
+    The level of a line is its number of leading > marks; a line of any level that announces a quotation has level -1 if a
+    line of a deeper level comes next. A blank line of any level ends a block and is in none. Work is linear in the lines.
     """
     lines = F.split("text", r"\r\n|\r|\n", -1)
     df = df.withColumn("l", lines)
     df = df.withColumn("depth", F.transform("l", lambda x: F.length(F.regexp_replace(F.regexp_extract(x, _MARKS, 0), "[^>]", ""))))
     df = df.withColumn("line", F.transform("l", lambda x: F.regexp_replace(x, _MARKS + r"[ \t]?", "")))
     n = F.size("l")
-    said = lambda x, i: (F.col("depth")[i] == 0) & (i < n - 1) & (F.element_at("depth", F.least(i + 2, n)) > 0) & x.rlike(_SAID)
+    said = lambda x, i: (i < n - 1) & (F.element_at("depth", F.least(i + 2, n)) > F.col("depth")[i]) & x.rlike(_SAID)
     df = df.withColumn("depth", F.transform("line", lambda x, i: F.when(said(x, i), -1).otherwise(F.col("depth")[i])))
     blank = F.transform("line", lambda x: F.trim(x) == "")
     df = df.withColumn("blank", blank)
@@ -40,18 +40,42 @@ def _blocks(df: DataFrame) -> DataFrame:
 
 
 def _runs(blocks: Column) -> Column:
-    """Passages of neighbouring blocks of one level, joined: what is quoted over blank lines."""
+    """Neighbouring blocks of one level with their passages joined: what is quoted over blank lines."""
     n = F.size(blocks)
     begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(blocks, i)["level"] != F.element_at(blocks, F.greatest(i - 1, F.lit(1)))["level"]))
     ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins) - 1, F.lit(0))), F.array(n + 1))
-    joined = F.transform(begins, lambda s, k: F.struct(F.element_at(blocks, s)["level"].alias("level"), F.array_join(F.transform(F.slice(blocks, s, ends[k] - s), lambda b: b["passage"]), "\n").alias("passage")))
-    return F.when(n > 0, joined).otherwise(F.array().cast("array<struct<level:int,passage:string>>"))
+    inside = lambda s, k: F.transform(F.slice(blocks, s, ends[k] - s), lambda b: b["passage"])
+    joined = F.transform(begins, lambda s, k: F.struct(F.element_at(blocks, s)["level"].alias("level"), F.array_join(inside(s, k), "\n").alias("passage"), inside(s, k).alias("blocks")))
+    return F.when(n > 0, joined).otherwise(F.array().cast("array<struct<level:int,passage:string,blocks:array<string>>>"))
+
+
+def _parts(passage: Column) -> Column:
+    """The lines and the sentences of a passage that have a letter or a digit."""
+    sentences = F.split(F.regexp_replace(passage, r"\s+", " "), r"(?<=[.!?…])\s+|(?<=[。！？])")
+    return F.filter(F.array_distinct(F.concat(F.split(passage, "\n"), sentences)), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
 
 def _hash(passage: Column) -> Column:
     return F.unhex(F.sha2(normal(passage), 256))
 
 
+def _met(quotes: DataFrame, first: DataFrame, original: str, part: int) -> DataFrame:
+    """quotes(conv, order, mid, level, unit, h) that have an original, with its place: (mid, level, unit, part, scope, pconv, porder)."""
+    first = first.where(F.col(original).isNotNull())
+    here = first.select(F.col("h").alias("h1"), F.col("conv").alias("conv1"), F.col(original).alias("here"))
+    near = quotes.join(here, F.expr("h = h1 AND conv <=> conv1"), "left").withColumn("here", F.expr("CASE WHEN here < `order` THEN here END"))
+    # the two least conversations that have it: one of them isn't the quoting one
+    place = F.struct(F.col("conv").isNull().alias("none"), "conv", F.col(original).alias("original"))
+    least = first.select(F.col("h").alias("h2"), place.alias("place")).withColumn("rank", F.row_number().over(Window.partitionBy("h2").orderBy("place"))).where("rank <= 2")
+    away = least.groupBy("h2").agg(F.array_sort(F.collect_list("place")).alias("places"))
+    far = near.join(away, F.expr("h = h2 AND here IS NULL"), "left").withColumn("away", F.get(F.filter("places", lambda x: ~x["conv"].eqNullSafe(F.col("conv"))), F.lit(0)))
+    return far.where("here IS NOT NULL OR away IS NOT NULL").select(
+        "mid", "level", "unit", F.lit(part).alias("part"), F.when(F.col("here").isNotNull(), 0).otherwise(1).alias("scope"),
+        F.when(F.col("here").isNotNull(), F.col("conv")).otherwise(F.col("away.conv")).alias("pconv"),
+        F.coalesce("here", "away.original").alias("porder"),
+    )
+
+
 def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for every row of df: its text without quotations, what it answers, and its place in reply order.
 
@@ -61,8 +85,10 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     A passage is a block of lines of one quote level, or blocks joined over blank lines; it is compared by the SHA-256 of its
     normalised text with the unquoted passages, runs and whole unquoted texts of all messages. The original of a passage is the first message, by
     turn, of the same conversation that has it and comes before the quoting one; else the first message of
-    all conversations that has it, in the order of conversations. A message answers the original of its shallowest linked
-    quotation, the latest if there are several; threads follow answers within a conversation.
+    all conversations that has it, in the order of conversations, another one than that of the quotation. A quoted block that
+    is linked neither by itself nor as a part of a run is a trimmed one: its lines and sentences meet those of the unquoted blocks
+    by the same rules, and the block counts as linked once. A message answers the original of its shallowest linked
+    quotation, whole passages before lines and sentences, the latest if there are several; threads follow answers within a conversation.
 
     Originals are one row for each passage and conversation before they meet quotations, and a message's answers are one
     row before they meet messages, so a passage that a third of all rows quote or hold gives no product. Depth and
@@ -82,30 +108,35 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
         F.when(~F.col("text").rlike(r"(?m)^[ \t]{0,3}>"), F.trim("text")).otherwise(reply).alias("reply_text"),
         F.size(quoted).alias("n_quoted"),
         F.coalesce(F.array_max(F.transform(quoted, lambda b: b["level"])), F.lit(0)).alias("deepest"),
-        F.concat("blocks", _runs(F.col("blocks"))).alias("passages"),
+        _runs(F.col("blocks")).alias("runs"),
     )
     messages = written(messages.withColumn("order", F.struct(F.col("turn").isNull().alias("none"), "turn", "mid")), "messages")
 
-    first = messages.select("conv", "order", F.explode(F.array_distinct(F.concat(F.transform(F.filter("passages", lambda b: b["level"] == 0), lambda b: b["passage"]), F.array("reply_text")))).alias("p"))
-    first = first.where("trim(p) <> ''").select("conv", "order", _hash(F.col("p")).alias("h"))
-    first = first.groupBy("h", "conv").agg(F.min("order").alias("original"))
-    quotes = messages.where("deepest > 0").select("conv", "order", "mid", F.explode(F.filter("passages", lambda b: b["level"] > 0)).alias("b"))
-    quotes = written(quotes.select("conv", "order", "mid", F.col("b.level").alias("level"), _hash(F.col("b.passage")).alias("h")).distinct(), "quotes")
-
-    here = first.select(F.col("h").alias("h1"), F.col("conv").alias("conv1"), F.col("original").alias("here"))
-    near = quotes.join(here, F.expr("h = h1 AND conv <=> conv1"), "left").withColumn("here", F.expr("CASE WHEN here < `order` THEN here END"))
-    away = first.groupBy(F.col("h").alias("h2")).agg(F.min(F.struct(F.col("conv").isNull().alias("none"), "conv", "original")).alias("away"))
-    far = near.join(away, F.expr("h = h2 AND here IS NULL AND NOT (away.conv <=> conv)"), "left")
-    met = far.where("here IS NOT NULL OR away IS NOT NULL").select(
-        "mid", "level", F.when(F.col("here").isNotNull(), 0).otherwise(1).alias("scope"),
-        F.when(F.col("here").isNotNull(), F.col("conv")).otherwise(F.col("away.conv")).alias("pconv"),
-        F.coalesce("here", "away.original").alias("porder"), "h",
-    )
-    rank = F.struct("scope", "level", F.when(F.col("porder.none"), -9223372036854775808).otherwise(-F.col("porder.turn")).alias("late"), "porder", "pconv")
-    answers = met.groupBy("mid").agg(F.count_distinct("h").cast("int").alias("n_linked"), F.min(rank).alias("best"))
+    runs = F.filter("runs", lambda r: r["level"] == 0)
+    whole = F.concat(F.flatten(F.transform(runs, lambda r: F.concat(F.array(r["passage"]), r["blocks"]))), F.array("reply_text"))
+    parts = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(r["blocks"], _parts))))
+    mark = lambda x, is_whole: F.transform(F.array_distinct(x), lambda p: F.struct(p.alias("p"), F.lit(is_whole).alias("whole")))
+    first = messages.select("conv", "order", F.inline(F.concat(mark(whole, True), mark(parts, False)))).where("trim(p) <> ''")
+    first = first.select("conv", "order", "whole", _hash(F.col("p")).alias("h"))
+    first = written(first.groupBy("h", "conv").agg(F.min(F.when(F.col("whole"), F.col("order"))).alias("as_whole"), F.min(F.when(~F.col("whole"), F.col("order"))).alias("as_part")), "first")
+
+    quotes = messages.where("deepest > 0").select("conv", "order", "mid", F.inline(F.filter("runs", lambda r: r["level"] > 0)))
+    quotes = quotes.select("conv", "order", "mid", "level", _hash(F.col("passage")).alias("run"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "blocks")).alias("block"))
+    quotes = quotes.withColumn("h", F.when(F.col("block").isNull(), F.col("run")).otherwise(_hash(F.col("block"))))
+    quotes = written(quotes.groupBy("conv", "order", "mid", "level", "run", "h").agg(F.min("block").alias("block")), "quotes")
+
+    met = written(_met(quotes.select("conv", "order", "mid", "level", "h", F.col("h").alias("unit")).distinct(), first, "as_whole", 0), "met")
+    done = met.select(F.col("mid").alias("mid1"), F.col("unit").alias("unit1")).distinct()
+    rest = quotes.where("block IS NOT NULL")
+    for column in ("h", "run"):
+        rest = rest.join(done, (F.col("mid") == F.col("mid1")) & (F.col(column) == F.col("unit1")), "left_anti")
+    trimmed = rest.select("conv", "order", "mid", "level", F.col("h").alias("unit"), F.explode(_parts(F.col("block"))).alias("p")).select("conv", "order", "mid", "level", "unit", _hash(F.col("p")).alias("h")).distinct()
+    met = met.union(_met(trimmed, first, "as_part", 1))
+    rank = F.struct("scope", "level", "part", F.when(F.col("porder.none"), -9223372036854775808).otherwise(-F.col("porder.turn")).alias("late"), "porder", "pconv")
+    answers = met.groupBy("mid").agg(F.count_distinct("unit").cast("int").alias("n_linked"), F.min(rank).alias("best"))
     answers = written(answers.select("mid", "n_linked", "best.scope", F.col("best.pconv").alias("parent_conv"), F.col("best.porder.turn").alias("parent_turn"), F.col("best.porder.mid").alias("parent")), "answers")
     places = _threads(answers.where("scope = 0").select("mid", "parent", "parent_turn"))
-    full = messages.drop("passages", "order").join(answers.drop("parent"), "mid", "left").join(places, "mid", "left")
+    full = messages.drop("runs", "order").join(answers.drop("parent"), "mid", "left").join(places, "mid", "left")
     return full.select(
         F.col("conv").alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "reply_text", "n_quoted", "deepest",
         F.coalesce("n_linked", F.lit(0)).alias("n_linked"),

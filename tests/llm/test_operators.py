@@ -306,6 +306,24 @@ def test_quotes(spark):
     assert op1_quotes.linked(df.limit(0)).count() == 0
 
 
+def test_trimmed_quotes(spark):
+    rows = [
+        (1, 0, "u", "First line here\nsecond line. It has\ntwo sentences!\n\nAnother paragraph"),
+        (1, 1, "u", "> second line. It has\none"),
+        (1, 2, "u", "> It has two\n> sentences!\ntwo"),
+        (1, 3, "u", "> First line here\n> second line. It has\nthree"),
+        (1, 4, "u", "> two\n> On Monday, Bob wrote:\n>> It has two sentences!\nfour"),
+        (1, 5, "u", "> nobody said so\n> ---\nfive"),
+        (2, 0, "u", "> Said twice.\nhm"),
+        (2, 1, "u", "Said twice."),
+        (3, 0, "u", "Said twice."),
+    ]
+    got = {(r.conv_id, r.turn): r for r in op1_quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[1, k].n_linked, got[1, k].parent_turn) for k in range(6)] == [(0, None), (1, 0), (1, 0), (1, 0), (2, 2), (0, None)]
+    assert got[1, 4].reply_text == "four" and got[1, 4].n_quoted == 2
+    assert (got[2, 0].link_scope, got[2, 0].parent_conv, got[2, 0].parent_turn) == ("corpus", 3, 0)
+
+
 def test_deep_thread(spark):
     rows = [(1, 0, "u", "start")] + [(1, k, "u", f"> {'start' if k == 1 else f'reply {k - 1}'}\nreply {k}") for k in range(1, 40)]
     got = op1_quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
