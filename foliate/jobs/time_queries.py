@@ -155,7 +155,7 @@ def turns(spark, folder):
 def stream_minute_counts(spark, folder):
     from foliate.streaming import events
 
-    out = events.finished(events.window_counts(events.read(spark, folder, "events"), "ts", "event_type"), ["start", "event_type"], "minutes")
+    out = events.finished(events.window_counts(events.read(spark, folder, "events"), "ts", "event_type", late=None), ["start", "event_type"], "minutes")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -164,4 +164,4 @@ def stream_sequence(spark, folder):
     from foliate.streaming import events
 
     rows = events.read(spark, folder, "events").select("event_id", "user_id", "ts")
-    return events.sequence_batches(rows, "user_id", ["ts", "event_id"], "sequence").select("event_id", "user_id", "seq")
+    return events.sequence_whole(rows, "user_id", ["ts", "event_id"], "sequence").select("event_id", "user_id", "seq")

@@ -26,9 +26,13 @@ def read(spark: SparkSession, folder: str, name: str, files: int = 8) -> DataFra
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/{name}.parquet*")
 
 
-def window_counts(stream: DataFrame, time: str, key: str, width: str = "1 minute", late: str = "1 hour") -> DataFrame:
-    """Events per window and key; rows later than `late` behind the watermark are left out and state is dropped."""
-    rows = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+def window_counts(stream: DataFrame, time: str, key: str, width: str = "1 minute", late: str | None = "1 hour") -> DataFrame:
+    """Events per window and key; rows later than `late` behind the watermark are left out and state is dropped.
+
+    Without `late` there is no watermark: every row counts in whatever order files come, and state holds every window.
+    """
+    rows = stream.withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, late) if late else rows
     return rows.groupBy(F.window(time, width).alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
@@ -68,6 +72,22 @@ def sequence_batches(stream: DataFrame, scope: str, order: list[str], name: str)
     return spark.read.schema(schema).parquet(out + "/*")
 
 
+def sequence_whole(stream: DataFrame, scope: str, order: list[str], name: str) -> DataFrame:
+    """Consecutive numbers per scope over all data there is, in `order` whatever batch a row came in.
+
+    Every batch is written under its number, and rows are numbered once all are there; sequence_batches() numbers by arrival.
+    """
+    spark = stream.sparkSession
+    out, at = scratch(spark, name), scratch(spark, name + "-state")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={number:06d}"))
+
+    stream.writeStream.option("checkpointLocation", at).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    rank = F.row_number().over(Window.partitionBy(scope).orderBy(*order)).cast("bigint")
+    return spark.read.schema(stream.schema).parquet(out + "/*").withColumn("seq", rank)
+
+
 def token_bucket(stream: DataFrame, key: str, time: str, rate: float, burst: float) -> DataFrame:
     """(key, time, admitted) for every event: a bucket per key fills at `rate` a second up to `burst`, an event takes one."""
 

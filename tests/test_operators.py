@@ -2,14 +2,19 @@
 
 import datetime as dt
 
+import duckdb
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliate.functions import text as paths
+from foliate.jobs import registry
 from foliate.operators import feed, filters, graph, parsing, search, tasks
 from foliate.sources import readers
 from foliate.streaming import events
+from tests.conftest import SMALL
+from tests.oracle import rows as sorted_rows
 
 
 def test_markdown():
@@ -118,3 +123,15 @@ def test_token_bucket(spark, tmp_path):
     q = events.token_bucket(stream, "k", "t", 0.2, 2).writeStream.format("memory").queryName("bucket").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.admitted for r in spark.sql("SELECT * FROM bucket ORDER BY t, admitted DESC").collect()] == [True, True, False, True]
+
+
+@pytest.mark.parametrize("name", ["stream_minute_counts", "stream_sequence"])
+def test_streams_over_many_files_out_of_time_order(spark, tmp_path, name):
+    source = spark.read.parquet(f"{SMALL}/events.parquet")
+    source.repartition(20, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    assert len(list((tmp_path / "events.parquet").glob("part-*"))) > 16
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SMALL}/events.parquet')")
+    out = con.execute(registry.oracle_sql()[name])
+    df = registry.queries()[name](spark, str(tmp_path))
+    assert sorted_rows(df.columns, [tuple(r) for r in df.collect()]) == sorted_rows([d[0] for d in out.description], out.fetchall())
