@@ -1,4 +1,4 @@
-"""Byte-level BPE in numpy: pair tables, two ways of merging, and a store of pre-tokens already encoded.
+"""Byte-level BPE in numpy: pair tables, two ways of merging, and a bounded store of pre-tokens already encoded.
 
 Vocabularies are read from the files of public tokenizers, by path; nothing is trained here.
 """
@@ -18,6 +18,8 @@ from foliate.llm.common import ragged
 NONE = np.int32(2**31 - 1)
 #: Texts merged together: their arrays stay in the processor's cache.
 CHUNK = 8192
+#: Cells of a line: texts of more symbols take several lines.
+FOLD = 256
 SPECIAL = "<|endoftext|>"
 
 #: The same split as public_tokenizers.PATTERN by the faster standard module, for texts of which every character
@@ -171,26 +173,22 @@ def merged_ragged(vocabulary: Vocabulary, texts: list[bytes]) -> tuple[np.ndarra
     return out, counts
 
 
-def merged_padded(vocabulary: Vocabulary, texts: list[bytes], widest: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def merged_padded(vocabulary: Vocabulary, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Length-bucketed matrices: (ids of all texts end to end, number of ids of each).
 
     Rows of a bucket have up to twice the symbols of the bucket before. Every round each row merges its
-    leftmost lowest-rank pair; rows without one leave the matrix. Texts over `widest` bytes would take as
-    many rounds as they have symbols, so they take the ragged form, which merges equal pairs together.
+    leftmost lowest-rank pair and closes the gap; rows without one leave the matrix. A text of more than FOLD symbols is
+    folded into several lines of a matrix, which still merges one pair a round.
     """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     counts, parts = np.zeros(len(texts), np.int64), []
-    long = np.flatnonzero(lengths > widest)
-    if len(long):
-        ids, n = merged_ragged(vocabulary, [texts[i] for i in long])
-        counts[long] = n
-        parts.append((long, n, ids))
     width, below = 2, 0
-    while below < widest:
+    while below < lengths.max(initial=0):
         rows = np.flatnonzero((lengths > below) & (lengths <= width))
-        for k in range(0, len(rows), CHUNK):
-            own = rows[k : k + CHUNK]
-            ids, n = _matrix(vocabulary, [texts[i] for i in own], lengths[own], width)
+        step = max(1, min(CHUNK, (1 << 21) // width))
+        for k in range(0, len(rows), step):
+            own = rows[k : k + step]
+            ids, n = (_matrix if width <= FOLD else _folded)(vocabulary, [texts[i] for i in own], lengths[own], width)
             counts[own] = n
             parts.append((own, n, ids))
         below, width = width, width * 2
@@ -201,6 +199,66 @@ def merged_padded(vocabulary: Vocabulary, texts: list[bytes], widest: int = 256)
     return out, counts
 
 
+def _folded(vocabulary: Vocabulary, texts: list[bytes], lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _matrix(), for long texts: each is folded into lines of FOLD cells, of which the least rank is kept beside them.
+
+    A round looks at the least ranks of a text's lines, and at the cells of the line it merges in: not at the whole text.
+    """
+    n, cols = len(texts), np.arange(FOLD)
+    lines = -(-lengths // FOLD)
+    head = np.cumsum(lines) - lines
+    whose = np.repeat(np.arange(n), lines)
+    inside = np.arange(len(whose)) - head[whose]
+    size = np.minimum(lengths[whose] - inside * FOLD, FOLD)
+    after = np.where(inside < lines[whose] - 1, np.arange(len(whose)) + 1, -1)
+    before = np.where(inside > 0, np.arange(len(whose)) - 1, -1)
+    symbols = np.full((len(whose), FOLD), -1, np.int32)
+    symbols[cols < size[:, None]] = vocabulary.byte[np.frombuffer(b"".join(texts), np.uint8)]
+    rank, merged = np.full(symbols.shape, NONE, np.int32), np.full(symbols.shape, -1, np.int32)
+
+    def look(line: np.ndarray, col: np.ndarray) -> None:
+        """Ranks of the pairs that begin at these cells; the last cell of a line pairs with the first of the next one."""
+        last = col == size[line] - 1
+        right = np.where(last, symbols[after[line], 0], symbols[line, np.minimum(col + 1, FOLD - 1)])
+        rank[line, col], merged[line, col] = NONE, -1
+        on = ~(last & (after[line] < 0))
+        line, col, right = line[on], col[on], right[on]
+        rank[line, col], merged[line, col] = vocabulary.pairs.find(symbols[line, col], right)
+
+    look(*np.nonzero(cols < size[:, None]))
+    best = rank.min(1)
+    while True:
+        least = np.minimum.reduceat(best, head)
+        flagged = np.flatnonzero((best == least[whose]) & (best != NONE))
+        owner, first = np.unique(whose[flagged], return_index=True)
+        if not len(owner):
+            break
+        line = flagged[first]
+        col = rank[line].argmin(1)
+        over = col == size[line] - 1  # the pair's second symbol is the first one of the next line
+        symbols[line, col] = merged[line, col]
+        gap, at = np.where(over, after[line], line), np.where(over, 0, col + 1)
+        shift = np.minimum(cols + (cols >= at[:, None]), FOLD - 1)
+        for table in (symbols, rank, merged):
+            table[gap] = np.take_along_axis(table[gap], shift, 1)
+        size[gap] -= 1
+        rank[gap, size[gap]] = NONE
+        empty = gap[size[gap] == 0]
+        if len(empty):
+            left, right = before[empty], after[empty]
+            after[left] = right
+            before[right[right >= 0]] = left[right >= 0]
+        look(line, col)
+        up = np.where(col > 0, line, before[line])
+        has = up >= 0
+        up, left = up[has], np.where(col > 0, col - 1, size[before[line]] - 1)[has]
+        look(up, left)
+        for touched in (line, gap, up):
+            best[touched] = rank[touched].min(1)
+    keep = cols < size[:, None]
+    return symbols[keep], np.bincount(whose, size, n).astype(np.int64)
+
+
 def _matrix(vocabulary: Vocabulary, texts: list[bytes], lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     n, cols = len(texts), np.arange(width)
     inside = cols < lengths[:, None]
@@ -237,10 +295,13 @@ def _matrix(vocabulary: Vocabulary, texts: list[bytes], lengths: np.ndarray, wid
 
 
 class Store:
-    """Pre-tokens met so far and their ids, `most` of them at most: when full it keeps those that came up again."""
+    """Pre-tokens met so far and their ids, `most` of them at most: when full it keeps those that came up again.
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 500_000):
-        self.encode, self.most = encode, most
+    Pre-tokens of more than `longest` characters are encoded each time and never stored, so its bytes have a bound too.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 500_000, longest: int = 64):
+        self.encode, self.most, self.longest = encode, most, longest
         self.index: dict[str, int] = {}
         self.ids, self.starts, self.lengths, self.uses = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -253,22 +314,36 @@ class Store:
         self.ids, self.lengths, self.uses = self.ids[ragged(self.starts[keep], self.lengths[keep])], self.lengths[keep], self.uses[keep] // 2
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    def _add(self, new: list[str]) -> None:
+        ids, lengths = self.encode(new)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, ids])
+
     def look_up(self, tokens: list[str]) -> np.ndarray:
         """The place of every pre-token; starts, lengths and ids hold until the next call."""
-        new = list(set(tokens).difference(self.index))
+        stored = len(self.index)
+        if len(self.starts) > stored:  # what the last call had beside the store
+            self.ids, self.starts, self.lengths = self.ids[: self.starts[stored]], self.starts[:stored], self.lengths[:stored]
+        new = set(tokens).difference(self.index)
+        long = [x for x in new if len(x) > self.longest]
+        new.difference_update(long)
         if len(self.index) + len(new) > self.most:
             self._shed()
-            new = list(set(tokens).difference(self.index))
+            new = {x for x in set(tokens).difference(self.index) if len(x) <= self.longest}
         if new:
-            ids, lengths = self.encode(new)
-            base = len(self.index)
+            base, new = len(self.index), list(new)
+            self._add(new)
             self.index.update(zip(new, range(base, base + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, ids])
             self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
-        at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
-        self.uses += np.bincount(at, minlength=len(self.uses))
+        if long:
+            places = dict(zip(long, range(len(self.index), len(self.index) + len(long)), strict=True))
+            self._add(long)
+            get = self.index.get
+            at = np.fromiter((places[x] if (k := get(x)) is None else k for x in tokens), np.int64, len(tokens))
+        else:
+            at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
+        self.uses += np.bincount(at, minlength=len(self.uses))[: len(self.uses)]
         return at
 
 

@@ -10,15 +10,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from foliate.session import ship
 
 
+#: Bits of the maps that parted() sends to every task: 8 MB.
+BITS = 26
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one where that is unset."""
+    """The folder of spark.checkpoint.dir, which all executors share; a temporary one where that is unset and the master is local."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_foliate_shared", None)
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = sc._foliate_shared = "file://" + tempfile.mkdtemp(prefix="foliate-shared-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -51,12 +58,48 @@ def drop(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """df.mapInArrow after the package is with the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
+def met(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, parts: int = 1024) -> DataFrame:
+    """left inner join right on keys, which are unique and not null in right; n, a column of right, tells how many rows of left a key has.
+
+    Keys with over a `parts`-th of `total`, the rows of left, are hot: as there are fewer than `parts` of them, they go to every task
+    and their rows stay where they are. All other rows are shuffled. left and right are read twice.
+    """
+    hot = F.col(n) > total / parts
+    few = F.broadcast(right.where(hot))
+    return left.join(few, keys).union(left.join(few.select(*keys), keys, "left_anti").join(right.where(~hot), keys))
+
+
+def parted(df: DataFrame, key: str, hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of df whose key is surely not in hashes(long), all other rows); key is a well mixed hash without nulls.
+
+    The hashes are told apart by a map of 2^BITS bits, of one size however many they are; with so many that most bits are set,
+    the second part has most rows. Nothing of df is shuffled; df is read once for either part.
+    """
+    spark = df.sparkSession
+    spot = hashes.select(F.shiftrightunsigned(hashes.columns[0], 64 - BITS).alias("spot"))
+    words = spot.groupBy(F.shiftright("spot", 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(1 << (BITS - 6), np.int64)
+    table[words["at"].to_numpy()] = words["bits"].to_numpy()
+    shared, at = spark.sparkContext.broadcast(table.view(np.uint64)), df.columns.index(key)
+
+    def only(hit: bool):
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.column(at).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+                on = (shared.value[own >> np.uint64(6)] >> (own & np.uint64(63))) & np.uint64(1)
+                yield batch.filter(pa.array((on == 1) == hit))
+
+        return keep
+
+    return in_arrow(df, only(False), df.schema), in_arrow(df, only(True), df.schema)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that no column of df has, in any case."""
     taken, out = {c.lower() for c in df.columns}, []

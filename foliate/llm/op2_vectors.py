@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import union, written
+from foliate.llm.common import met, union, written
 from foliate.llm.components import resolved
 from foliate.session import ship
 
@@ -26,6 +26,14 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return q.astype(np.int8), scale, np.linalg.norm(near, axis=1), np.linalg.norm(unit - near, axis=1) * (1 + 1e-9) + 1e-12
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b.T of whole numbers within int8: sums over up to 1,024 components stay below 2^24, where floats are exact."""
+    out = (a[:, :1024] @ b[:, :1024].T).astype(np.float64)
+    for k in range(1024, a.shape[1], 1024):
+        out += a[:, k : k + 1024] @ b[:, k : k + 1024].T
+    return out
+
+
 def _tiles(threshold: float):
     def tile(key: tuple, table: pa.Table) -> pa.Table:
         a, b = (x.as_py() for x in key[:2])
@@ -42,10 +50,10 @@ def _tiles(threshold: float):
         links, labels = np.zeros(len(cid), np.int64), np.arange(len(cid))
         for i in range(0, cut if a != b else len(cid), ROWS):
             ie = min(i + ROWS, cut) if a != b else i + ROWS
-            qi = q[i:ie].astype(np.float32)  # products of int8 are whole numbers that floats hold exactly
+            qi = q[i:ie].astype(np.float32)
             for j in range(cut if a != b else i, len(cid), ROWS):
                 je = j + ROWS
-                near = (qi @ q[j:je].astype(np.float32).T).astype(np.float64) * (scale[i:ie, None] * scale[None, j:je])
+                near = _product(qi, q[j:je].astype(np.float32)) * (scale[i:ie, None] * scale[None, j:je])
                 bound = length[i:ie, None] * error[None, j:je] + error[i:ie, None] * length[None, j:je] + error[i:ie, None] * error[None, j:je] + 1e-9
                 x, y = np.nonzero(near + bound >= threshold)
                 sure = near[x, y] - bound[x, y] >= threshold
@@ -88,8 +96,9 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     pairs = dealt.withColumn("other", other).withColumns({"a": F.least("block", "other"), "b": F.greatest("block", "other")})
     ship(df.sparkSession)
     found = written(pairs.groupBy("a", "b", "dim").applyInArrow(_tiles(threshold), "cid long, links long, root long"), "found")
-    ends = classes.select("vec", "cid").join(resolved(classes, found).drop("rep"), "cid").drop("cid")
-    linked = good.join(ends, "vec").select("id", "n_links", "component_id")
+    ends = written(classes.select("vec", "cid").join(resolved(classes, found), "cid").drop("cid"), "ends")
+    total = ends.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    linked = met(good, ends, ["vec"], "size", total).select("id", "n_links", "component_id")
     alone = rows.where(~sound).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.union(alone).withColumn("component_id", F.col("component_id").cast(kind))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import drop, fresh, in_arrow, written
+from foliate.llm.common import drop, fresh, in_arrow, parted, written
 from foliate.session import ship
 
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -175,6 +175,8 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """The rows of df that stay, with all columns as they were."""
     entries, classes = index(df, id_col, text_col, **how)
-    kept = classes.where("rep = keep_uid").select(F.col("rep").alias("uid")).hint("merge")  # grows with the rows: one plan at every size
-    (row,) = fresh(df, "row")
-    return entries.where("uid = rep").select("uid", F.col("row").alias(row)).join(kept, "uid").select(f"{row}.*")
+    gone = written(classes.where("rep <> keep_uid").select(F.col("rep").alias("uid"), F.xxhash64("rep").alias("hash")), "gone")
+    row, hash_ = fresh(df, "row", "hash")
+    stored = entries.where("uid = rep").select("uid", F.xxhash64("uid").alias(hash_), F.col("row").alias(row))
+    sure, rest = parted(stored, hash_, gone.select("hash"))
+    return sure.union(rest.join(gone.select("uid"), "uid", "left_anti").select(stored.columns)).select(f"{row}.*")

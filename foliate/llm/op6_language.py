@@ -10,7 +10,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import fresh, in_arrow, slices, text_of, utf8, written
+from foliate.llm.common import drop, fresh, in_arrow, met, parted, slices, text_of, utf8, written
 
 #: Buckets of byte trigrams; languages scored at once.
 BUCKETS, BLOCK = 1 << 14, 32
@@ -125,7 +125,7 @@ def _sums(votes: DataFrame, *by: str) -> DataFrame:
 
 
 def host_sums(votes: DataFrame) -> tuple[DataFrame, list]:
-    """((host, of_host, of_domain, of_suffix), sums of all rows) from votes(host, k, v).
+    """((host, of_rows, of_host, of_domain, of_suffix), sums of all rows) from votes(host, k, v).
 
     Levels are the host, the domain, the address suffix and all rows: each is a grouped sum of the level below. Sums are
     arrays of (k, v) with the rows under k = -1; languages that none of its rows has any weight for are not in them.
@@ -138,7 +138,8 @@ def host_sums(votes: DataFrame) -> tuple[DataFrame, list]:
     whole = _sums(suffixes).collect()
     listed = lambda df, name, *by: df.groupBy(*by).agg(F.collect_list(F.struct("k", "v")).alias(name))
     domains = listed(domains, "of_domain", "suffix", "domain").join(listed(suffixes, "of_suffix", "suffix"), "suffix")
-    return listed(hosts, "of_host", "suffix", "domain", "host").join(domains, ["suffix", "domain"]).drop("suffix", "domain"), whole
+    own = hosts.groupBy("suffix", "domain", "host").agg(F.collect_list(F.struct("k", "v")).alias("of_host"), F.sum(F.when(F.col("k") < 0, F.col("v")).otherwise(0.0)).alias("of_rows"))
+    return own.join(domains, ["suffix", "domain"]).drop("suffix", "domain"), whole
 
 
 def _deciding(shared: Broadcast, schema: list[str], strength: float, margin: float, temper: float):
@@ -196,7 +197,7 @@ def identify(df: DataFrame, text: Column, declared: Column, host: Column, keys:
     expressions over df. Every language that at least ROWS rows with TRIGRAMS trigrams together declare has a trigram model,
     counted over all rows that declare it. The posterior of a row multiplies its tempered text
     likelihood, the prior of its host (smoothed by `strength` rows of its domain, that by its suffix, that by all rows) without
-    the row itself, and how often texts of a language declare what this row does; a code without a model is a
+    the row itself (hosts with a 256th of all rows go to every task, rows of others are shuffled by their host), and how often texts of a language declare what this row does; a code without a model is a
     declaration of its own kind there. Tables that meet in the driver grow with the number of languages only: trigram buckets by
     languages, in blocks of BLOCK, and languages by languages.
 
@@ -239,6 +240,7 @@ def identify(df: DataFrame, text: Column, declared: Column, host: Column, keys:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     slim = [*keys, "declared", "host"]
     kept_columns = ", ".join(f"`{c}` {kinds[c]}" for c in slim)
+    drop(counts)
     texts = written(in_arrow(rows, _scoring(spark.sparkContext.broadcast(blocks), index, slim, temper), kept_columns + ", d int, n long, each array<double>, votes array<struct<k: int, v: double>>"), "texts")
 
     table_d = np.full((width + 2, width), 0.5)
@@ -251,14 +253,14 @@ def identify(df: DataFrame, text: Column, declared: Column, host: Column, keys:
     for r in top:
         whole[r.k + 1] = r.v
     shared = spark.sparkContext.broadcast((languages, said, (whole[1:] + strength / width) / (whole[0] + strength), entropy))
-    both = texts.drop("votes").join(hosts, "host")
+    both = met(texts.drop("votes"), written(hosts, "priors"), ["host"], "of_rows", int(whole[0]), 256).drop("of_rows")
     out = in_arrow(both, _deciding(shared, slim, strength, margin, temper), kept_columns + ", lang string, prob double, text_lang string, kept boolean")
     return out.select(*keys, "lang", "prob", "text_lang", F.nullif("declared", F.lit("")).alias("declared"), F.nullif("host", F.lit("")).alias("host"), "kept")
 
 
 def page_text(html: Column) -> Column:
-    """The text of a page without scripts, navigation, advertisements, footers and tags."""
-    html = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|nav|footer|aside|header)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<div class=\"ad\">[^<]*</div>", " ")
+    """The text of a page without scripts, styles, navigation, asides, headers, footers and tags."""
+    html = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|nav|footer|aside|header)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
     return F.regexp_replace(html, r"(?s)<[^>]*>|&#?[A-Za-z0-9]{1,8};", " ")
 
 
@@ -288,5 +290,6 @@ def in_known_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     k1, k2, g1, g2 = fresh(df, "key_a", "key_b", "gone_a", "gone_b")
     keyed = df.withColumns({k1: F.xxhash64(*parts), k2: F.xxhash64(F.lit(7), *parts)})
     found = identify(keyed, F.col(text_col), F.col(lang_col), F.col(host_col), [k1, k2])
-    gone = found.where(~F.col("kept")).select(F.col(k1).alias(g1), F.col(k2).alias(g2)).distinct().hint("merge")  # grows with the rows: one plan at every size
-    return keyed.join(gone, (F.col(k1) == F.col(g1)) & (F.col(k2) == F.col(g2)), "left_anti").drop(k1, k2)
+    gone = written(found.where(~F.col("kept")).select(F.col(k1).alias(g1), F.col(k2).alias(g2)).distinct(), "gone")
+    sure, rest = parted(keyed, k1, gone.select(g1))
+    return sure.union(rest.join(gone, (F.col(k1) == F.col(g1)) & (F.col(k2) == F.col(g2)), "left_anti")).drop(k1, k2)

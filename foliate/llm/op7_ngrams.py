@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import drop, fresh, in_arrow, mixed, ragged, slices, text_of, union, utf8, written
+from foliate.llm.common import drop, fresh, in_arrow, met, mixed, parted, ragged, slices, text_of, union, utf8, written
 from foliate.llm.components import components, resolved
 from foliate.session import ship
 
-#: Rows of one verification tile; larger candidate groups are cut into this many rows a side.
-TILE = 1024
+#: Rows and n-grams of one side of a verification tile: larger groups are cut into several. Tiles a side over which a
+#: candidate group is verified by its band buckets.
+TILE, GRAMS, WIDE = 1024, 1 << 21, 16
+#: White space and punctuation beyond ASCII part words.
+_BETWEEN = r"[\p{Z}\p{P}&&[^\x00-\x7f]]+"
 _PRIME = np.uint64(0x100000001B3)
 _INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 _WORD = np.zeros(256, bool)
@@ -39,7 +42,7 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of the distinct word n-grams of all texts end to end, sorted within each; number of each).
 
-    Words are runs of ASCII letters and digits and of all other characters beyond ASCII; A-Z count as a-z. A
+    Words are runs of ASCII letters and digits and of characters beyond ASCII; A-Z count as a-z. A
     text of fewer than n words has one n-gram, of all its words; a text without words has none.
     """
     with np.errstate(over="ignore"):
@@ -145,8 +148,11 @@ def _overlaps(sets: list[np.ndarray], a: slice, b: slice) -> np.ndarray:
     return out
 
 
-def _verified(cid: np.ndarray, size: np.ndarray, count: np.ndarray, bands: np.ndarray, grams: list[np.ndarray], cut: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one group: (rows with links, links, least class reached). cut: where a tile's second block begins."""
+def _verified(cid: np.ndarray, size: np.ndarray, count: np.ndarray, bands: np.ndarray, grams: list[np.ndarray], cut: int | None, band: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one group: (rows with links, links, least class reached). cut: where a tile's second block begins.
+
+    band: the place of the band of which the group is a bucket, so that pairs of an earlier common band are left to
+    that one; -1 if the group is a whole candidate group."""
     m = len(cid)
     links, labels, step = np.zeros(m, np.int64), np.arange(m), 256
     for i in range(0, m if cut is None else cut, step):
@@ -154,8 +160,10 @@ def _verified(cid: np.ndarray, size: np.ndarray, count: np.ndarray, bands: np.nd
         for j in range(i if cut is None else cut, m, step):
             je = min(j + step, m)
             meet = np.zeros((ie - i, je - j), bool)
-            for k in range(bands.shape[1]):
+            for k in range(bands.shape[1] if band < 0 else band):
                 meet |= bands[i:ie, k, None] == bands[None, j:je, k]
+            if band >= 0:
+                meet = ~meet
             if i == j:
                 meet = np.triu(meet, 1)
             least, most = np.minimum(count[i:ie, None], count[None, j:je]), np.maximum(count[i:ie, None], count[None, j:je])
@@ -177,9 +185,9 @@ def _verified(cid: np.ndarray, size: np.ndarray, count: np.ndarray, bands: np.nd
 
 def _verifier(threshold: float):
     def verify(table: pa.Table) -> pa.Table:
-        part, side, cid, size, same = (table.column(x).to_numpy() for x in ("part", "side", "cid", "size", "same"))
+        part, side, cid = (table.column(x).to_numpy() for x in ("part", "side", "cid"))
         order = np.lexsort((cid, side, part))
-        part, side, cid, size, same = part[order], side[order], cid[order], size[order], same[order]
+        part, side, cid, size, same, band = (table.column(x).to_numpy()[order] for x in ("part", "side", "cid", "size", "same", "band"))
         bands = table.column("bands").combine_chunks().take(pa.array(order)).flatten().to_numpy().reshape(len(cid), -1)
         lists = table.column("grams").combine_chunks().take(pa.array(order))
         ends, flat = np.asarray(lists.offsets), lists.values.to_numpy().view(np.uint64)
@@ -191,7 +199,7 @@ def _verifier(threshold: float):
             own = slice(start, end)
             cut = None if same[start] else int(np.searchsorted(side[own], 1))
             if end - start > 1 and cut != 0:
-                found.append(_verified(cid[own], size[own], count[own], bands[own], grams[own], cut, threshold))
+                found.append(_verified(cid[own], size[own], count[own], bands[own], grams[own], cut, int(band[start]), threshold))
             start = end
         columns = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
         return pa.table(dict(zip(("cid", "links", "root"), columns, strict=True)))
@@ -199,41 +207,58 @@ def _verifier(threshold: float):
     return verify
 
 
+def _dealt(parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, band, bin, part, side, same): the tiles that each candidate is verified in, from parts(node, component) and classes(cid, n, bands).
+
+    A candidate group is cut into tiles of TILE rows and GRAMS n-grams a side, every two of which meet. A group of more than WIDE of
+    them comes from chains of chance bands: of it only the rows of one band bucket meet.
+    """
+    groups = written(parts.withColumnRenamed("node", "cid").join(classes.select("cid", "n", "bands"), "cid"), "groups")
+    total = groups.count()
+    sized = lambda df, *by: df.groupBy(*by).agg(F.count("*").alias("members"), F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / GRAMS)).cast("int").alias("chunks"))
+    heads = written(sized(groups, "component"), "heads")
+    whole = met(groups.select("cid", "component"), heads.where(f"chunks <= {WIDE}"), ["component"], "members", total).select("cid", F.col("component").alias("key"), F.lit(-1).alias("band"), "chunks")
+    giant = groups.join(heads.where(f"chunks > {WIDE}").select("component"), "component", "left_semi").select("cid", "n", F.posexplode("bands").alias("band", "key"))
+    buckets = sized(giant, "key").where("members > 1")
+    parted_ = met(giant, buckets, ["key"], "members", giant.count()).select("cid", "key", "band", "chunks")
+    dealt = whole.union(parted_).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
+    tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"side": (F.col("chunk") > F.col("other")).cast("int"), "same": (F.col("chunk") == F.col("other")).cast("int")})
+    tiled = tiled.withColumn("part", F.xxhash64("key", "band", F.least("chunk", "other"), F.greatest("chunk", "other")))
+    # small groups share tasks, by a number of bins that grows with the rows; a tile of a larger group is a task of its own
+    bins = max(1, -(-total // TILE))
+    return tiled.withColumn("bin", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(F.col("part"))).select("cid", "band", "bin", "part", "side", "same")
+
+
 def _classes(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, ends): rows(id, t1, t2, s1, s2, n) of df; ends(s1, s2, cid, rep, n_links, component_id)."""
+    """(rows, ends): rows(id, t1, t2, s1, s2, n) of df; ends(s1, s2, rep, n_links, component_id, size)."""
     text = text_of(text_col)
-    keyed = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), text.alias("text"))
+    folded = F.regexp_replace(F.lower(text), _BETWEEN, " ")
+    keyed = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2"), folded.alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
     bands = bands_for(threshold, recall, rows)
     signed = written(in_arrow(keyed, _signatures(n, bands, rows), f"id {kind}, t1 long, t2 long, n long, s1 long, s2 long, bands array<long>"), "signed")
-    grouped = signed.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct(F.col("id").isNull(), "id", "t1", "t2")).alias("f"), F.count("*").alias("size"), F.first("bands").alias("bands"))
-    classes = written(grouped.select("s1", "s2", "size", "bands", F.col("f.id").alias("rep"), F.col("f.t1").alias("t1"), F.col("f.t2").alias("t2"), F.monotonically_increasing_id().alias("cid")), "classes")
+    grouped = signed.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct(F.col("id").isNull(), "id", "t1", "t2")).alias("f"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+    classes = written(grouped.select("s1", "s2", "size", "n", "bands", F.col("f.id").alias("rep"), F.col("f.t1").alias("t1"), F.col("f.t2").alias("t2"), F.monotonically_increasing_id().alias("cid")), "classes")
 
     # every band hash that two classes have links them to the least of its classes: as many links as rows, however large a bucket is
     banded = classes.select("cid", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).where("least < most").select("band", "least")
-    met = banded.join(shared, "band").where("cid <> least").select("cid", "least").distinct()
-    parts = written(components(met), "parts")
-
-    # the n-gram sets of candidates alone, each once (or once for each tile of its row where a group needs more than one tile);
-    # what is wanted grows with the rows, so texts are shuffled at every size
-    wanted = parts.withColumnRenamed("node", "cid").join(classes.select("cid", "size", "bands", "rep", "t1", "t2"), "cid")
-    texts = keyed.join(wanted.withColumnRenamed("rep", "wanted_id").withColumnsRenamed({"t1": "w1", "t2": "w2"}).hint("merge"), F.expr("t1 = w1 AND t2 = w2 AND id <=> wanted_id"))
-    candidates = texts.select("cid", "component", "size", "bands", "text")
-    sets = written(in_arrow(candidates, _sets(n), "cid long, component long, size long, bands array<long>, grams array<long>").dropDuplicates(["cid"]), "sets")
-    heads = parts.groupBy("component").agg(F.count("*").alias("members"))
-    dealt = sets.join(heads, "component").withColumn("chunks", F.ceil(F.col("members") / TILE).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-    tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"side": (F.col("chunk") > F.col("other")).cast("int"), "same": (F.col("chunk") == F.col("other")).cast("int")})
-    tiled = tiled.withColumn("part", F.when(F.col("chunks") == 1, F.col("component")).otherwise(F.xxhash64("component", F.least("chunk", "other"), F.greatest("chunk", "other"))))
-    # small groups share tasks, by a number of bins that grows with the rows; a tile of a large group is a task of its own
-    bins = max(1, -(-sets.count() // TILE))
-    tiled = tiled.withColumn("bin", F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.col("part")))
+    shared = banded.groupBy("band").agg(F.min("cid").alias("least"), F.max("cid").alias("most"), F.count("*").alias("members")).where("least < most").select("band", "least", "members")
+    linked = met(banded, shared, ["band"], "members", classes.count() * bands).where("cid <> least").select("cid", "least").distinct()
+    parts = written(components(linked), "parts")
+
+    # the texts of candidates alone are shuffled, and their n-gram sets, once for each tile of their rows
+    wanted = written(parts.withColumnRenamed("node", "cid").join(classes.select("cid", "size", "bands", "rep", "t1", "t2"), "cid").drop("component"), "wanted")
+    hashed = keyed.withColumn("hash", F.xxhash64("t1", "id"))
+    texts = parted(hashed, "hash", wanted.select(F.xxhash64("t1", "rep").alias("hash")))[1].drop("hash").dropDuplicates(["id", "t1", "t2"])
+    texts = texts.join(wanted.withColumnRenamed("rep", "wanted_id").withColumnsRenamed({"t1": "w1", "t2": "w2"}), F.expr("t1 = w1 AND t2 = w2 AND id <=> wanted_id"))
+    sets = written(in_arrow(texts.select("cid", "size", "bands", "text"), _sets(n), "cid long, size long, bands array<long>, grams array<long>"), "sets")
+    tiles = written(_dealt(parts, classes), "tiles")
     ship(df.sparkSession)
-    found = written(tiled.select("bin", "part", "side", "same", "cid", "size", "bands", "grams").groupBy("bin").applyInArrow(_verifier(threshold), "cid long, links long, root long"), "found")
-    drop(sets)
-    drop(parts)
-    ends = classes.select("s1", "s2", "cid").join(resolved(classes, found), "cid")
-    return signed.select("id", "t1", "t2", "s1", "s2", "n"), ends
+    found = written(tiles.join(sets, "cid").groupBy("bin").applyInArrow(_verifier(threshold), "cid long, links long, root long"), "found")
+    for done in (sets, parts, tiles, wanted):
+        drop(done)
+    ends = classes.select("s1", "s2", "cid", "rep").join(resolved(classes, found), "cid").drop("cid")
+    return signed.select("id", "t1", "t2", "s1", "s2", "n"), written(ends, "ends")
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, recall: float = 0.99999, rows: int = 4) -> DataFrame:
@@ -252,7 +277,8 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     the id that stays are kept.
     """
     rows_, ends = _classes(df, id_col, text_col, n, threshold, recall, rows)
-    linked = rows_.where("n > 0").join(ends, ["s1", "s2"]).select("id", F.col("rep").alias("class_id"), "n_links", "component_id")
+    total = ends.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    linked = met(rows_.where("n > 0"), ends, ["s1", "s2"], "size", total).select("id", F.col("rep").alias("class_id"), "n_links", "component_id")
     alone = rows_.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias(id_col), "class_id", "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -264,8 +290,12 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     how = {"n": 5, "threshold": 0.8, "recall": 0.99999, "rows": 4} | how
     rows, ends = _classes(df, id_col, text_col, **how)
-    gone = rows.where("n > 0").join(ends, ["s1", "s2"]).where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "t1", "t2").distinct()
-    i, t1, t2 = fresh(df, "gone_id", "gone_t1", "gone_t2")
+    going = ends.where(~F.col("rep").eqNullSafe(F.col("component_id")) | (F.col("size") > 1))
+    total = ends.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    gone = met(rows.where("n > 0"), going, ["s1", "s2"], "size", total).where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id", "t1", "t2").distinct()
+    i, t1, t2, hash_ = fresh(df, "gone_id", "gone_t1", "gone_t2", "hash")
+    gone = written(gone.toDF(i, t1, t2), "gone")
     text = text_of(text_col)
+    sure, rest = parted(df.withColumn(hash_, F.xxhash64(F.xxhash64(text), F.col(id_col))), hash_, gone.select(F.xxhash64(t1, i).alias("hash")))
     match = F.xxhash64(text).eqNullSafe(F.col(t1)) & F.xxhash64(F.lit(7), text).eqNullSafe(F.col(t2)) & F.col(id_col).eqNullSafe(F.col(i))
-    return df.join(gone.toDF(i, t1, t2).hint("merge"), match, "left_anti")  # grows with the rows: one plan at every size
+    return sure.union(rest.join(gone, match, "left_anti")).drop(hash_)

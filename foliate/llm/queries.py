@@ -35,7 +35,7 @@ FROM t WINDOW w AS (PARTITION BY n)
 
 _NGRAMS_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+') AS ws FROM documents
+  SELECT doc_id, regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[\p{Z}\p{P}]+', ' ', 'g'), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+') AS ws FROM documents
 ), g AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
     WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w
