@@ -11,42 +11,56 @@ _MARKS = r"^(?:[ \t]{0,3}>)+"
 #: A line that announces a quotation, in four languages.
 _SAID = r"(?i)^.{0,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 
+#: Slots of hashes that every task gets: a bound of 16 MB however many quotations there are.
+SLOTS = 1 << 20
+
 
 def normal(text: Column) -> Column:
     """Lower case, white space single and trimmed: reflowed quotations stay equal."""
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with these columns computed once for each row: Catalyst doesn't inline over a generator, as it would do into every step of a lambda."""
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def _blocks(df: DataFrame) -> DataFrame:
     """df(text) with blocks, an array of (level, passage): runs of lines of one quote level without blank lines.
 
     The level of a line is its number of leading > marks; a line of any level that announces a quotation has level -1 if a
     line of a deeper level comes next. A blank line of any level ends a block and is in none. Work is linear in the lines.
     """
-    lines = F.split("text", r"\r\n|\r|\n", -1)
-    df = df.withColumn("l", lines)
-    df = df.withColumn("depth", F.transform("l", lambda x: F.length(F.regexp_replace(F.regexp_extract(x, _MARKS, 0), "[^>]", ""))))
-    df = df.withColumn("line", F.transform("l", lambda x: F.regexp_replace(x, _MARKS + r"[ \t]?", "")))
-    n = F.size("l")
-    said = lambda x, i: (i < n - 1) & (F.element_at("depth", F.least(i + 2, n)) > F.col("depth")[i]) & x.rlike(_SAID)
-    df = df.withColumn("depth", F.transform("line", lambda x, i: F.when(said(x, i), -1).otherwise(F.col("depth")[i])))
-    blank = F.transform("line", lambda x: F.trim(x) == "")
-    df = df.withColumn("blank", blank)
+    df = _held(df, l=F.split("text", r"\r\n|\r|\n", -1))
+    line = lambda x: F.regexp_replace(x, _MARKS + r"[ \t]?", "")
+    parts = lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, _MARKS, 0), "[^>]", "")).alias("depth"), line(x).alias("line"))
+    df = _held(df, p=F.transform("l", parts)).drop("l")
+    n = F.size("p")
+    deeper = lambda x, i: (i < n - 1) & (F.col("p")[F.least(i + 1, n - 1)]["depth"] > x["depth"])
+    level = F.transform("p", lambda x, i: F.when(deeper(x, i) & x["line"].rlike(_SAID), -1).otherwise(x["depth"]))
+    df = _held(df, level=level, blank=F.transform("p", lambda x: F.trim(x["line"]) == ""))
     # a block begins at a line that isn't blank after one that is, or of another level
-    df = df.withColumn("starts", F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.col("blank")[i] & ((i == 0) | F.col("blank")[F.greatest(i - 1, F.lit(0))] | (F.col("depth")[i] != F.col("depth")[F.greatest(i - 1, F.lit(0))]))))
-    df = df.withColumn("stops", F.filter(F.sequence(F.lit(0), n - 1), lambda i: ~F.col("blank")[i] & ((i == n - 1) | F.col("blank")[F.least(i + 1, n - 1)] | (F.col("depth")[i] != F.col("depth")[F.least(i + 1, n - 1)]))))
-    cut = lambda s, k: F.struct(F.col("depth")[s].alias("level"), F.array_join(F.slice("line", s + 1, F.col("stops")[k] - s + 1), "\n").alias("passage"))
-    return df.withColumn("blocks", F.transform("starts", cut)).drop("l", "depth", "line", "blank", "starts", "stops")
-
-
-def _runs(blocks: Column) -> Column:
-    """Neighbouring blocks of one level with their passages joined: what is quoted over blank lines."""
-    n = F.size(blocks)
-    begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at(blocks, i)["level"] != F.element_at(blocks, F.greatest(i - 1, F.lit(1)))["level"]))
-    ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins) - 1, F.lit(0))), F.array(n + 1))
-    inside = lambda s, k: F.transform(F.slice(blocks, s, ends[k] - s), lambda b: b["passage"])
-    joined = F.transform(begins, lambda s, k: F.struct(F.element_at(blocks, s)["level"].alias("level"), F.array_join(inside(s, k), "\n").alias("passage"), inside(s, k).alias("blocks")))
-    return F.when(n > 0, joined).otherwise(F.array().cast("array<struct<level:int,passage:string,blocks:array<string>>>"))
+    apart = lambda i, j: F.col("blank")[j] | (F.col("level")[i] != F.col("level")[j])
+    places = F.sequence(F.lit(0), n - 1)
+    starts = F.filter(places, lambda i: ~F.col("blank")[i] & ((i == 0) | apart(i, F.greatest(i - 1, F.lit(0)))))
+    stops = F.filter(places, lambda i: ~F.col("blank")[i] & ((i == n - 1) | apart(i, F.least(i + 1, n - 1))))
+    df = _held(df, starts=starts, stops=stops)
+    inside = lambda s, k: F.transform(F.slice("p", s + 1, F.col("stops")[k] - s + 1), lambda x: x["line"])
+    cut = lambda s, k: F.struct(F.col("level")[s].alias("level"), F.array_join(inside(s, k), "\n").alias("passage"))
+    return _held(df, blocks=F.transform("starts", cut)).drop("p", "level", "blank", "starts", "stops")
+
+
+def _runs(df: DataFrame) -> DataFrame:
+    """df(blocks) with runs: neighbouring blocks of one level with their passages joined, as what is quoted over blank lines."""
+    n = F.size("blocks")
+    level = lambda i: F.col("blocks")[i]["level"]
+    begins = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (n > 0) & ((i == 0) | (level(i) != level(F.greatest(i - 1, F.lit(0))))))
+    df = _held(df, begins=begins)
+    df = _held(df, ends=F.concat(F.slice("begins", 2, F.greatest(F.size("begins") - 1, F.lit(0))), F.array(n)))
+    inside = lambda s, k: F.transform(F.slice("blocks", s + 1, F.col("ends")[k] - s), lambda b: b["passage"])
+    joined = lambda s, k: F.struct(level(s).alias("level"), F.array_join(inside(s, k), "\n").alias("passage"), inside(s, k).alias("blocks"))
+    return _held(df, runs=F.transform("begins", joined)).drop("begins", "ends")
 
 
 def _parts(passage: Column) -> Column:
@@ -55,8 +69,13 @@ def _parts(passage: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(F.split(passage, "\n"), sentences)), lambda x: x.rlike(r"[\p{L}\p{N}]"))
 
 
+def _digest(text: Column) -> Column:
+    """The first 128 bits of the SHA-256."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def _hash(passage: Column) -> Column:
-    return F.unhex(F.sha2(normal(passage), 256))
+    return _digest(normal(passage))
 
 
 def _met(quotes: DataFrame, first: DataFrame, original: str, part: int) -> DataFrame:
@@ -82,7 +101,7 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     (conv, turn, role, reply_text, n_quoted, deepest, n_linked, link_scope, parent_conv, parent_turn, thread_turn, depth). Sorted
     by (conv, thread_turn, turn) every message comes after the one it answers and threads stay together.
 
-    A passage is a block of lines of one quote level, or blocks joined over blank lines; it is compared by the SHA-256 of its
+    A passage is a block of lines of one quote level, or blocks joined over blank lines; it is compared by 128 bits of the SHA-256 of its
     normalised text with the unquoted passages, runs and whole unquoted texts of all messages. The original of a passage is the first message, by
     turn, of the same conversation that has it and comes before the quoting one; else the first message of
     all conversations that has it, in the order of conversations, another one than that of the quotation. A quoted block that
@@ -98,8 +117,8 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     are one conversation. Rows equal in all four columns are one message and give equal rows. Other columns are not read.
     """
     base = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), text_of(text_col).alias("text"))
-    base = base.withColumn("mid", F.unhex(F.sha2(F.to_json(F.struct("conv", "turn", "role", "text")), 256)))
-    cut = _blocks(base)
+    base = base.withColumn("mid", _digest(F.to_json(F.struct("conv", "turn", "role", "text"))))
+    cut = _runs(_blocks(base))
     own = F.filter("blocks", lambda b: b["level"] == 0)
     reply = F.trim(F.array_join(F.transform(own, lambda b: b["passage"]), "\n\n"))
     quoted = F.filter("blocks", lambda b: b["level"] > 0)
@@ -108,23 +127,27 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
         F.when(~F.col("text").rlike(r"(?m)^[ \t]{0,3}>"), F.trim("text")).otherwise(reply).alias("reply_text"),
         F.size(quoted).alias("n_quoted"),
         F.coalesce(F.array_max(F.transform(quoted, lambda b: b["level"])), F.lit(0)).alias("deepest"),
-        _runs(F.col("blocks")).alias("runs"),
+        "runs",
     )
     messages = written(messages.withColumn("order", F.struct(F.col("turn").isNull().alias("none"), "turn", "mid")), "messages")
 
+    quotes = messages.where("deepest > 0").select("conv", "order", "mid", F.inline(F.filter("runs", lambda r: r["level"] > 0)))
+    quotes = quotes.select("conv", "order", "mid", "level", _hash(F.col("passage")).alias("run"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "blocks")).alias("block"))
+    quotes = quotes.withColumn("h", F.when(F.col("block").isNull(), F.col("run")).otherwise(_hash(F.col("block"))))
+    quotes = written(quotes.groupBy("conv", "order", "mid", "level", "run", "h").agg(F.min("block").alias("block")), "quotes")
+
+    # originals that nobody quotes go before they are grouped: those whose hash is in no slot of a quoted one, of SLOTS at most
+    slot = F.pmod(F.xxhash64("h"), F.lit(SLOTS)).cast("int").alias("slot")
+    quoted = quotes.select("h").union(quotes.where("block IS NOT NULL").select(F.explode(_parts(F.col("block"))).alias("p")).select(_hash(F.col("p")).alias("h")))
+    slots = F.broadcast(quoted.select(slot).distinct())
     runs = F.filter("runs", lambda r: r["level"] == 0)
     whole = F.concat(F.flatten(F.transform(runs, lambda r: F.concat(F.array(r["passage"]), r["blocks"]))), F.array("reply_text"))
     parts = F.flatten(F.transform(runs, lambda r: F.flatten(F.transform(r["blocks"], _parts))))
     mark = lambda x, is_whole: F.transform(F.array_distinct(x), lambda p: F.struct(p.alias("p"), F.lit(is_whole).alias("whole")))
     first = messages.select("conv", "order", F.inline(F.concat(mark(whole, True), mark(parts, False)))).where("trim(p) <> ''")
-    first = first.select("conv", "order", "whole", _hash(F.col("p")).alias("h"))
+    first = first.select("conv", "order", "whole", _hash(F.col("p")).alias("h")).withColumn("slot", slot).join(slots, "slot", "left_semi")
     first = written(first.groupBy("h", "conv").agg(F.min(F.when(F.col("whole"), F.col("order"))).alias("as_whole"), F.min(F.when(~F.col("whole"), F.col("order"))).alias("as_part")), "first")
 
-    quotes = messages.where("deepest > 0").select("conv", "order", "mid", F.inline(F.filter("runs", lambda r: r["level"] > 0)))
-    quotes = quotes.select("conv", "order", "mid", "level", _hash(F.col("passage")).alias("run"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "blocks")).alias("block"))
-    quotes = quotes.withColumn("h", F.when(F.col("block").isNull(), F.col("run")).otherwise(_hash(F.col("block"))))
-    quotes = written(quotes.groupBy("conv", "order", "mid", "level", "run", "h").agg(F.min("block").alias("block")), "quotes")
-
     met = written(_met(quotes.select("conv", "order", "mid", "level", "h", F.col("h").alias("unit")).distinct(), first, "as_whole", 0), "met")
     done = met.select(F.col("mid").alias("mid1"), F.col("unit").alias("unit1")).distinct()
     rest = quotes.where("block IS NOT NULL")
