@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import in_arrow, slices, text_of, utf8, written
+from foliate.llm.common import drop, in_arrow, slices, text_of, utf8, written
 
 # Words of the lexicon voters.
 NOUNS = frozenset("idiot idiots moron morons loser losers scum clown clowns imbecile imbeciles cretin cretins trash vermin creep creeps scumbag scumbags dimwit halfwit lowlife pig pigs parasite parasites".split())
@@ -20,10 +20,11 @@ PROFANITY = frozenset("damn bastard bastards crap bullshit ass asshole arse bitc
 ATTACK = re.compile(r"\byou(?:'re| are|r)?\s+(?:\w+\s+){0,2}(?:idiot|moron|loser|scum|clown|trash|stupid|pathetic|disgusting|worthless|dumb|ugly|useless)")
 THREAT = re.compile(r"\b(?:shut up|go to hell|drop dead|kill yourself|get lost|i will (?:hurt|kill|find) you)\b")
 WORD = re.compile(r"[^\W\d_]+")
-BUILT_IN, DATA = 6, 6
-#: Binary voters; their votes are a number below 2^12, which bounds every table over votes.
-VOTERS = BUILT_IN + DATA
+#: Fixed voters; each family of the lexicon that labelled texts give, by its first three letters, is one more.
+BUILT_IN = 6
 PREFIXES = range(3, 8)
+#: The least accuracy of labels that the label model considers.
+TRUST = 0.98
 
 
 def features(words: set[str]) -> set[str]:
@@ -41,31 +42,40 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in (counts[1], counts[0]))], ["feature", "pos", "neg"])
 
 
-def lexicon(train: DataFrame, least_z: float = 6.0, most: int = 400) -> dict[str, float]:
-    """Features that labelled texts hold oftener with label 1, strongest first, by a two-proportion z score, and their shares of label 1.
+def lexicon(train: DataFrame, least_z: float = 6.0, least_rows: int = 4, precision: float = 0.7) -> list[str]:
+    """Features that labelled texts hold oftener with label 1, strongest first, by a two-proportion z score of at least least_z.
 
-    train(text, label). Of a chain of prefixes with equal counts the longest is taken.
+    train(text, label). Equal texts count once. A feature counts that least_rows texts of label 1 hold, and of whose texts the share `precision` has label 1. Of a chain of prefixes with equal counts the longest is
+    taken. All that pass are taken; they are bounded by the texts of train.
     """
+    train = train.select("text", "label").distinct()
     pos, neg = train.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*") - F.coalesce(F.sum("label"), F.lit(0))).first()
     if not pos or not neg:
-        return {}
+        return []
     counts = in_arrow(train.select("text", "label"), _counted, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     share = (F.col("pos") + F.col("neg") + 1.0) / (pos + neg + 2.0)
     z = (F.col("pos") / float(pos) - F.col("neg") / float(neg)) / F.sqrt(share * (1 - share) * (1.0 / pos + 1.0 / neg))
-    best = counts.where("pos >= 4 AND pos > neg").withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(10 * most).collect()
-    out: dict[str, float] = {}
+    best = counts.where((F.col("pos") >= least_rows) & (F.col("pos") >= F.col("neg") * precision / (1 - precision))).withColumn("z", z).where(F.col("z") >= least_z).collect()
+    out: list[str] = []
     seen: dict[tuple, str] = {}
     for r in sorted(best, key=lambda r: (-r.z, -len(r.feature), r.feature)):
         chain = (r.pos, r.neg, r.feature[:3])
         if not seen.get(chain, "").startswith(r.feature):
             seen.setdefault(chain, r.feature)
-            out[r.feature] = (r.pos + 0.5) / (r.pos + r.neg + 3)
-    return dict(list(out.items())[:most])
+            out.append(r.feature)
+    return out
+
+
+def families(chosen: list[str]) -> np.ndarray:
+    """The voter of every feature: one for all features with the same first three letters."""
+    place: dict[str, int] = {}
+    return np.array([place.setdefault(f.rstrip("$")[:3], BUILT_IN + len(place)) for f in chosen], np.int64)
 
 
 def _voting(chosen: list[str]):
     place = {f: k for k, f in enumerate(chosen)}
     heads = {f.rstrip("$")[:3] for f in chosen}
+    voter = families(chosen).tolist()
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,88 +86,161 @@ def _voting(chosen: list[str]):
                     words = set(WORD.findall(low))
                     near = {w for w in words if w[:3] in heads}
                     own = sorted(place[f] for f in features(near) if f in place)
-                    n = bool(words & NOUNS) | bool(words & ADJECTIVES) << 1 | bool(words & PROFANITY) << 2
-                    n |= bool({"you", "your", "youre"} & words and ATTACK.search(low)) << 3 | bool(THREAT.search(low)) << 4
-                    n |= bool(len(text) >= 20 and sum(map(str.isupper, text)) > 0.5 * sum(map(str.isalpha, text)) > 5) << 5
-                    for k in own:
-                        n |= 1 << (BUILT_IN + k % DATA)
-                    votes.append(n)
+                    fixed = (
+                        not words.isdisjoint(NOUNS), not words.isdisjoint(ADJECTIVES), not words.isdisjoint(PROFANITY),
+                        not words.isdisjoint(("you", "your", "youre")) and ATTACK.search(low), THREAT.search(low),
+                        len(text) >= 20 and sum(map(str.isupper, text)) > 0.5 * sum(map(str.isalpha, text)) > 5,
+                    )
+                    votes.append([k for k, on in enumerate(fixed) if on] + sorted({voter[k] for k in own}))
                     held.append(own)
                 carried = [batch.column(k)[a:b] for k in range(2, batch.num_columns)]
-                yield pa.record_batch([batch.column(0)[a:b], pa.array(votes, pa.int32()), pa.array(held, pa.list_(pa.int32())), *carried], ["id", "votes", "features", *batch.schema.names[2:]])
+                yield pa.record_batch([batch.column(0)[a:b], pa.array(votes, pa.list_(pa.int32())), pa.array(held, pa.list_(pa.int32())), *carried], ["id", "votes", "features", *batch.schema.names[2:]])
 
     return vote
 
 
-def label_model(votes: np.ndarray, seen: np.ndarray, labelled: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, dict]:
-    """Posteriors P(toxic | votes, label) by EM, as an array of vote patterns x (label 0, label 1, no label).
-
-    votes: patterns x voters of 0 and 1; seen: rows of each pattern; labelled: rows of each by label. The
-    votes have a tree of dependencies given the class: after a few rounds, the spanning tree of the greatest
-    conditional mutual information, so correlated voters don't count twice. A label is a voter whose
-    accuracy is estimated as that of any other.
-    """
-    m = votes.shape[1]
-    counts = np.column_stack([labelled, np.maximum(seen - labelled.sum(1), 0)]).astype(float)
-    q = np.where(votes.any(1)[:, None], [0.7, 0.95, 0.8], [0.02, 0.2, 0.03])
-    parent = np.full(m, -1)
-    for step in range(rounds):
-        weight = np.stack([(counts * (1 - q)).sum(1), (counts * q).sum(1)])  # class x pattern
-        total = weight.sum(1)
-        if step == 5:
-            parent = _tree(votes, weight)
-        log = np.log((total + 1) / (total.sum() + 2))[:, None] + np.zeros_like(weight)
-        accuracy = np.empty((m, 2))
-        for j in range(m):
-            accuracy[j] = (weight @ votes[:, j] + 0.5) / (total + 1)
-            under = votes[:, parent[j]] if parent[j] >= 0 else np.zeros(len(votes), int)
-            for u in (0, 1):
-                own = under == u
-                p = (weight[:, own] @ votes[own, j] + 0.5 * accuracy[j] + 1e-3) / (weight[:, own].sum(1) + 0.5 + 2e-3)
-                log[:, own] += np.where(votes[own, j], np.log(p)[:, None], np.log1p(-p)[:, None])
-        told = np.stack([(labelled * (1 - q[:, :2])).sum(0), (labelled * q[:, :2]).sum(0)]) + 0.5
-        told = np.log(np.column_stack([told / told.sum(1, keepdims=True), np.ones(2)]))
-        odds = (log[1] - log[0])[:, None] + (told[1] - told[0])[None, :]
-        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return q, {"accuracy": accuracy.tolist(), "parent": parent.tolist(), "label": np.exp(told).tolist()}
-
-
-def _tree(votes: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The parent of each voter in the tree of the greatest mutual information given the class."""
-    m = votes.shape[1]
+class LabelModel:
+    """P(votes, label | class): voters with a tree of dependencies, and the label as one more voter of unknown accuracy."""
+
+    def __init__(self, voters: int):
+        self.parent = np.full(voters, -1)
+        self.given = np.tile(np.array([[0.02], [0.3]])[:, :, None], (1, voters, 2))  # class x voter x vote of its parent
+        self.prior = np.array([0.95, 0.05])
+        self.told = np.array([[0.9, 0.1], [0.1, 0.9]])  # class x label
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """P(class 1 | votes, label) of rows x (label 0, label 1, no label), from rows x voters of 0 and 1."""
+        up = np.where(self.parent >= 0, votes[:, self.parent], 0).astype(np.float32)
+        odds = np.full(len(votes), np.log(self.prior[1] / self.prior[0]))
+        for c, sign in ((0, -1.0), (1, 1.0)):
+            on, off = np.log(self.given[c]), np.log1p(-self.given[c])
+            odds += sign * (off[:, 0].sum() + votes @ (on - off)[:, 0] + up @ (off[:, 1] - off[:, 0]) + (up * votes) @ ((on - off)[:, 1] - (on - off)[:, 0]))
+        told = np.log(np.column_stack([self.told, np.ones(2)]))
+        return 1 / (1 + np.exp(-np.clip(odds[:, None] + (told[1] - told[0])[None, :], -30, 30)))
+
+    def sums(self, votes: np.ndarray, counts: np.ndarray, known: bool, pairs: bool) -> np.ndarray:
+        """What a round needs of rows x voters that stand for counts(label 0, label 1, no label): expected counts, by class.
+
+        known: rows without a label count nothing, as at the start, when the labels alone say what votes are worth."""
+        q = self.posterior(votes)
+        if known:
+            q[:, :2] = [0.1, 0.9]
+            counts = counts * [1.0, 1.0, 0.0]
+        up = np.where(self.parent >= 0, votes[:, self.parent], 0)
+        out = []
+        for of in (1 - q, q):
+            weight = (counts * of).sum(1)
+            out += [[weight.sum()], (counts * of)[:, :2].sum(0), weight @ votes, weight @ (votes * up)]
+            if pairs:
+                out.append((votes.T @ (votes * weight[:, None].astype(np.float32))).ravel())
+        return np.concatenate(out)
+
+    def update(self, sums: np.ndarray, pairs: bool) -> None:
+        """The most likely parameters given the sums of all rows, a little smoothed; with pairs also a new tree."""
+        m = len(self.parent)
+        own = sums.reshape(2, -1)
+        total, labels, one, up = own[:, 0], own[:, 1:3], own[:, 3 : 3 + m], own[:, 3 + m : 3 + 2 * m]
+        if pairs:
+            both = own[:, 3 + 2 * m :].reshape(2, m, m)
+            self.parent = _tree(total, one, both)
+            up = np.where(self.parent >= 0, both[:, np.arange(m), self.parent], 0.0)
+        self.prior = (total + 1) / (total.sum() + 2)
+        told = (labels + 0.5) / (labels.sum(1, keepdims=True) + 1)
+        own = np.maximum(told.diagonal(), TRUST)
+        self.told = np.array([[own[0], 1 - own[0]], [1 - own[1], own[1]]])
+        share = (one + 0.5) / (total + 1)[:, None]
+        has = np.where(self.parent >= 0, one[:, self.parent], 0.0)
+        for u, (n, of) in enumerate(((one - up, total[:, None] - has), (up, has))):
+            self.given[:, :, u] = np.clip((n + 2 * share) / (of + 2), 1e-6, 1 - 1e-6)
+
+
+def _tree(total: np.ndarray, one: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """The parent of each voter in the tree of the greatest mutual information given the class, -1 where it would tell nothing."""
+    m = one.shape[1]
     gain = np.zeros((m, m))
-    p_class = weight.sum(1) / weight.sum()
     for c in (0, 1):
-        w = weight[c] / max(weight[c].sum(), 1e-12)
-        one = w @ votes
-        both = votes.T @ (votes * w[:, None])
-        for x in (0, 1):
-            for y in (0, 1):
-                px, py = (one if x else 1 - one)[:, None], (one if y else 1 - one)[None, :]
-                joint = both if x and y else one[:, None] - both if x else one[None, :] - both if y else 1 - one[:, None] - one[None, :] + both
-                joint, base = np.clip(joint, 1e-12, 1), np.clip(px * py, 1e-12, 1)
-                gain += p_class[c] * joint * np.log(joint / base)
-    parent, inside = np.full(m, -1), [0]
-    while len(inside) < m:
-        out = [j for j in range(m) if j not in inside]
-        g = gain[np.ix_(inside, out)]
-        i, j = np.unravel_index(g.argmax(), g.shape)
-        if g[i, j] > 1e-6:
-            parent[out[j]] = inside[i]
-        inside.append(out[j])
+        n = max(total[c], 1e-9)
+        x, y, xy = one[c][:, None] / n, one[c][None, :] / n, both[c] / n
+        for joint, base in ((xy, x * y), (x - xy, x * (1 - y)), (y - xy, (1 - x) * y), (1 - x - y + xy, (1 - x) * (1 - y))):
+            joint, base = np.clip(joint, 1e-12, 1), np.clip(base, 1e-12, 1)
+            gain += total[c] / max(total.sum(), 1e-9) * joint * np.log(joint / base)
+    parent, best, near = np.full(m, -1), gain[0].copy(), np.zeros(m, np.int64)
+    out = np.ones(m, bool)
+    out[0] = False
+    while out.any():
+        j = int(np.where(out, best, -np.inf).argmax())
+        if best[j] > 1e-6:
+            parent[j] = near[j]
+        out[j] = False
+        closer = gain[j] > best
+        near[closer], best[closer] = j, gain[j][closer]
     return parent
 
 
-def fitted(x: np.ndarray, target: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
-    """Weights of a logistic regression on soft targets, the intercept last, by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[-1] = 1e-6
+def _dense(lists: pa.Array, voters: int) -> np.ndarray:
+    n = lists.value_lengths().to_numpy()
+    out = np.zeros((len(n), voters), np.float32)
+    out[np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy()] = 1
+    return out
+
+
+def label_model(patterns: DataFrame, voters: int, rounds: int = 8, unlabelled: float = 0.1) -> LabelModel:
+    """Fits a LabelModel by EM to patterns(votes array<int>, n0, n1, n): rows with these votes, by label 0, label 1 and none.
+
+    A row without a label weighs `unlabelled` where some rows have one, so that what the voters have in common beside toxicity, such as
+    topics, doesn't outweigh the labels.
+
+    A round is one pass over the patterns, which sends back sums: their number is that of the voters, and in the round that finds the
+    tree that of pairs of voters. The tree is found in the third round."""
+    model = LabelModel(voters)
+    labelled = patterns.agg(F.coalesce(F.sum(F.col("n0") + F.col("n1")), F.lit(0))).first()[0]
+    for step in range(rounds):
+        known, pairs = step == 0 and labelled > 0, step == 2
+
+        def partial(batches: Iterator[pa.RecordBatch], now: LabelModel = model, known: bool = known, pairs: bool = pairs) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for k in range(0, batch.num_rows, 4096):
+                    part = batch.slice(k, 4096)
+                    counts = np.column_stack([part.column(c).to_numpy() for c in ("n0", "n1", "n")]) * [1.0, 1.0, unlabelled if labelled else 1.0]
+                    own = now.sums(_dense(part.column("votes"), voters), counts, known, pairs)
+                    total = own if total is None else total + own
+            if total is not None:
+                yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
+
+        sums = in_arrow(patterns, partial, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toArrow()
+        if not sums.num_rows:
+            break
+        model.update(sums["v"].to_numpy(), pairs)
+    return model
+
+
+def fitted(rows: list[np.ndarray], width: int, target: np.ndarray, weight: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
+    """Weights of a logistic regression on soft targets, the intercept last; rows: the places of the ones of each row.
+
+    Newton steps, each solved by conjugate gradients, so nothing of the square of the width is held."""
+    n = np.array([len(r) for r in rows], np.int64)
+    own, flat = np.repeat(np.arange(len(rows)), n), np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+    penalty = np.append(np.full(width, ridge), 1e-6)
+    times = lambda w: np.bincount(own, w[flat], len(rows)) + w[-1]
+    back = lambda r: np.append(np.bincount(flat, r[own], width), r.sum())
+    w = np.zeros(width + 1)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - target) + penalty * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), gradient)
-        w -= step
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        r = -(back(weight * (p - target)) + penalty * w)
+        curve = weight * (p * (1 - p) + 1e-6)
+        step, d, size = np.zeros_like(w), r.copy(), r @ r
+        first = size
+        for _ in range(200):
+            if size <= 1e-10 * first or size < 1e-18:
+                break
+            hd = back(curve * times(d)) + penalty * d
+            alpha = size / (d @ hd)
+            step += alpha * d
+            r = r - alpha * hd
+            size, before = r @ r, size
+            d = r + size / before * d
+        w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
@@ -167,16 +250,17 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(id, held_out, score, predicted) for every row of df.
 
     labels(id, label 0 or 1) marks some rows; those whose crc32(id as text) mod `folds` is 0 are held out and
-    never learnt from. Twelve voters look at every whole text: fixed lexicons and patterns, and lexicons that
+    never learnt from. Voters look at every whole text: fixed lexicons and patterns, and the families of a lexicon that
     labelled texts give (words and word beginnings over-represented with label 1). The votes of all rows,
-    counted by pattern, fit the label model; its posteriors are the targets of the classifier.
+    counted by pattern, fit the label model, in which a label is one more voter; its posteriors are the only targets of the classifier.
 
-    sample bounds the labelled rows that give the lexicon and fit the classifier: those with the least hash of
-    their id, at most `sample`. Everything else covers all rows. One pass over the texts beside that of the sample.
+    sample bounds the labelled rows that give the lexicon and fit the classifier (those with the least hash of
+    their id), and the rows without a label that fit it. Everything else covers all rows. One pass over the texts beside that of the sample.
+    Very long texts are looked at whole.
 
     A null or empty text gets a score from an empty set of features. A row with a null id is scored, not held out,
     and has no label. Several labels of one id count as their greatest; null labels and labels other than 0 and
-    1 as none. Without labels of both kinds the fixed voters alone are used. Repeated rows get equal scores.
+    1 as none. Without labels of both kinds the fixed voters alone are used. Repeated rows get equal scores. An empty table gives no rows.
     """
     out = _scored(df, labels, id_col, text_col, label_col, folds, sample, False)
     return out.select("id", _out_of(folds).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")).withColumnRenamed("id", id_col)
@@ -196,40 +280,36 @@ def _scored(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     along = "".join(f", row {f.dataType.simpleString()}" for f in rows.schema if f.name == "row")
     chosen_rows = known.orderBy(F.xxhash64("id"), "id").limit(sample)  # at most `sample` pairs of numbers: small enough for every executor
     train = written(rows.select("id", "text").join(F.broadcast(chosen_rows), "id"), "train")
-    shares = lexicon(train)
-    chosen = list(shares)
-
-    votes = written(in_arrow(rows, _voting(chosen), f"id {kind}, votes int, features array<int>{along}"), "votes")
-    seen = {r[0]: r[1] for r in votes.groupBy("votes").count().collect()}  # 4,096 patterns at most
-    told = {(r[0], r[1]): r[2] for r in votes.join(known, "id").groupBy("votes", "label").count().collect()}
-    patterns = np.array(sorted(seen), np.int64) if seen else np.zeros(1, np.int64)
-    bits = (patterns[:, None] >> np.arange(VOTERS)) & 1
-    labelled = np.array([[told.get((p, y), 0) for y in (0, 1)] for p in patterns.tolist()], float)
-    posterior, _ = label_model(bits, np.array([seen.get(p, 0) for p in patterns.tolist()], float), labelled)
-
-    fit = votes.join(F.broadcast(chosen_rows), "id").select("votes", "features", "label").limit(2 * sample).collect()
-    at = {p: k for k, p in enumerate(patterns.tolist())}
-    x = np.zeros((len(fit) + len(patterns) + len(chosen), len(chosen) + BUILT_IN), np.float32)
-    target = np.empty(len(x))
-    for k, r in enumerate(fit):
-        x[k, r.features] = 1
-        x[k, len(chosen) :] = (r.votes >> np.arange(BUILT_IN)) & 1
-        target[k] = posterior[at[r.votes], r.label]
-    alone = len(fit) + np.arange(len(patterns))  # the fixed voters of every pattern once, so that those without labelled rows count too
-    x[alone, len(chosen) :] = bits[:, :BUILT_IN]
-    target[alone] = posterior[:, 2] * bits[:, :BUILT_IN].any(1)
-    alone = len(fit) + len(patterns) + np.arange(len(chosen))  # and every entry of the lexicon by itself, with its share of label 1
-    x[alone, np.arange(len(chosen))] = 1
-    target[alone] = list(shares.values())
-    weights = fitted(x, target)
+    chosen = lexicon(train)
+    drop(train)
+    voters = int(families(chosen).max(initial=BUILT_IN - 1)) + 1
+
+    votes = written(in_arrow(rows, _voting(chosen), f"id {kind}, votes array<int>, features array<int>{along}"), "votes")
+    marked = votes.select("id", "votes").join(known, "id", "left")
+    count = lambda y: F.count(F.when(y, 1))
+    patterns = written(marked.groupBy("votes").agg(count(F.col("label") == 0).alias("n0"), count(F.col("label") == 1).alias("n1"), count(F.col("label").isNull()).alias("n")), "patterns")
+    model = label_model(patterns, voters)
+    drop(patterns)
+
+    mixed = [F.xxhash64("id"), "id", "votes", "features"]
+    told = votes.join(F.broadcast(chosen_rows), "id").select("id", "votes", "features", "label").orderBy(*mixed).limit(sample)
+    others = votes.join(known.select("id"), "id", "left_anti").select("id", "votes", "features", F.lit(2).alias("label")).orderBy(*mixed).limit(sample)
+    fit = told.union(others).drop("id").toArrow().combine_chunks()  # 2 x sample rows
+    x, target = [], np.zeros(0)
+    if fit.num_rows:
+        lists = [c.chunk(0) for c in (fit["votes"], fit["features"])]
+        target = model.posterior(_dense(lists[0], voters))[np.arange(fit.num_rows), fit["label"].to_numpy()]
+        x = [np.array([k for k in v if k < BUILT_IN] + [BUILT_IN + k for k in f], np.int64) for v, f in zip(*(c.to_pylist() for c in lists), strict=True)]
+    weights = fitted(x, BUILT_IN + len(chosen), target, np.ones(len(x)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = batch.column(2)
-            n = np.diff(np.asarray(held.offsets))
-            flat = np.asarray(held.flatten())
-            z = np.bincount(np.repeat(np.arange(len(n)), n), weights[flat], len(n)) + weights[-1]
-            z += ((batch.column(1).to_numpy()[:, None] >> np.arange(BUILT_IN)) & 1) @ weights[len(chosen) : -1]
+            z = np.full(batch.num_rows, weights[-1])
+            for lists, first in ((batch.column(1), 0), (batch.column(2), BUILT_IN)):
+                place = lists.flatten().to_numpy() + first
+                own = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+                use = place < BUILT_IN if first == 0 else np.ones(len(place), bool)
+                z += np.bincount(own[use], weights[place[use]], batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(1 / (1 + np.exp(-z))), *batch.columns[3:]], ["id", "score", *batch.schema.names[3:]])
 
     return in_arrow(votes, score, f"id {kind}, score double{along}")
