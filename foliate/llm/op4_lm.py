@@ -1,4 +1,4 @@
-"""Log-bilinear language model, trained with noise-contrastive estimation; base scores from token counts."""
+"""Log-bilinear language model over two words of context, trained with noise-contrastive estimation; base scores from token counts."""
 
 from __future__ import annotations
 
@@ -8,17 +8,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliate.llm.common import in_arrow, slices, text_of, utf8, written
 
-#: The model's own words; other words are classes by a hash of their last two bytes. END is a token as the contract has it.
-WORDS, CLASSES = 1023, 96
-END = b""
-#: Words whose counts every task holds, at most LONGEST bytes each: a bound of 16 MB however large the corpus.
+#: The model's own words, the most frequent ones, of at most LONGEST bytes each: 16 MB of them and as much for each of two
+#: matrices is what a task holds at most. They are more the larger the corpus is, up to this bound.
 HELD, LONGEST = 1 << 17, 64
+#: Other words are one of these by a hash of their last two bytes. END is a token as the contract has it.
+TAILS = 96
+END = b""
+#: Groups of outputs; components of a vector; words of context.
+GROUPS, DIMENSION, CONTEXT = 256, 16, 2
 
 
 def tokens(text: str) -> list[bytes]:
@@ -53,162 +56,285 @@ def _counts(folds: int, fold: int, most: int = 400_000):
 
 
 class Lexicon:
-    """What every task holds of the vocabulary: frequent words, their counts and classes, and sums over the classes."""
+    """What every task holds of the vocabulary: the model's own words, and sums over the tails of all others.
+
+    A symbol is an own word or a tail; symbols are numbered by how often training texts have them, and groups of symbols are
+    ranges of these numbers with equal sums of square roots of their counts: frequent words are a group alone.
+    """
 
     def __init__(self, words: list[tuple[bytes, int]], size: int, total: int, rows: list[tuple[int, int, int]]):
         self.total, self.size = total, size
-        own = [w for w, _ in words if w != END][:WORDS]
         self.index = {w: k for k, (w, _) in enumerate(words)}
         self.n = np.array([n for _, n in words] + [0], np.int64)
-        place = {w: k + 1 for k, w in enumerate(own)} | {END: 0}
-        self.offset = len(own) + 1
-        self.outputs = self.offset + CLASSES
-        self.symbol = np.array([place[w] if w in place else self.offset + suffix(w) for w, _ in words] + [0], np.int32)
-        # of each class: training tokens and distinct training words that aren't the model's own
-        self.class_n, self.class_v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        # of each tail: training tokens and distinct training words that aren't the model's own
+        self.tail_n, self.tail_v = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
         for c, n, v in rows:
-            self.class_n[c], self.class_v[c] = n, v
-        for w in own:
-            self.class_n[suffix(w)] -= self.n[self.index[w]]
-            self.class_v[suffix(w)] -= 1
+            self.tail_n[c], self.tail_v[c] = n, v
+        for w, n in words:
+            if w != END:
+                self.tail_n[suffix(w)] -= n
+                self.tail_v[suffix(w)] -= 1
+        mass = np.concatenate([self.n[:-1], self.tail_n + self.tail_v, [0] if END not in self.index else []]) + 1.0
+        rank = np.empty(len(mass), np.int32)
+        order = np.argsort(-mass, kind="stable")
+        rank[order] = np.arange(len(mass), dtype=np.int32)
+        self.symbol, self.tail = np.append(rank[: len(words)], np.int32(-1)), rank[len(words) : len(words) + TAILS]
+        self.end = int(rank[self.index[END]] if END in self.index else rank[-1])
+        self.share = mass[order] / mass.sum()
+        root = np.cumsum(np.sqrt(self.share))
+        self.group = np.minimum((root / root[-1] * GROUPS - 1e-9).astype(np.int64), GROUPS - 1)
+        self.group = np.unique(self.group, return_inverse=True)[1]
+        self.first = np.append(np.searchsorted(self.group, np.arange(self.group[-1] + 1)), len(mass))
+        self.group_share = np.add.reduceat(self.share, self.first[:-1])
 
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(place among the held words, len(held) if none; symbol of the model) of each word."""
+        """(place among the own words, len(own) if none; symbol) of each word."""
         missing = len(self.n) - 1
         get = self.index.get
         at = np.fromiter((get(w, missing) for w in words), np.int64, len(words))
         symbol = self.symbol[at]
-        for k in np.flatnonzero(at == missing).tolist():
-            symbol[k] = self.offset + suffix(words[k])
+        rare = np.flatnonzero(at == missing)
+        if len(rare):
+            symbol[rare] = self.tail[[suffix(words[k]) for k in rare.tolist()]]
         return at, symbol
 
+    def contexts(self, symbol: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """tokens x CONTEXT: the symbols before each, nearest first; END stands before a text."""
+        out = np.full((len(symbol), CONTEXT), self.end, np.int32)
+        place = np.arange(len(symbol)) - np.repeat(starts, np.diff(np.append(starts, len(symbol))))
+        for k in range(CONTEXT):
+            at = np.flatnonzero(place > k)
+            out[at, k] = symbol[at - k - 1]
+        return out
+
 
 def suffix(word: bytes) -> int:
-    """The class of a word beyond the model's own."""
-    return zlib.crc32(word[-2:]) % CLASSES
+    """The tail of a word beyond the model's own."""
+    return zlib.crc32(word[-2:]) % TAILS
 
 
-def _pairs(lexicon: Broadcast, folds: int, fold: int):
-    """Counts of (symbol before, symbol) over the training rows of a partition; END comes before the first."""
+class LogBilinear:
+    """P(w | context) = P(group of w | context) P(w | its group, context), each a softmax of products with the context's vector.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lexicon.value
-        size = known.outputs
-        total = np.zeros(size * size, np.int64)
+    That vector is the sum of the vectors of the words before, each weighted by a vector of its place. Arrays: r, vectors of
+    context words; c, of places; u and q, of groups and words as outputs, with a bias as their last component.
+    """
+
+    def __init__(self, lexicon: Lexicon, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        size, groups = len(lexicon.share), len(lexicon.group_share)
+        self.lexicon = lexicon
+        self.r = rng.normal(0, 0.3, (size, DIMENSION)).astype(np.float32)
+        self.c = np.ones((CONTEXT, DIMENSION), np.float32)
+        self.u, self.q = np.zeros((groups, DIMENSION + 1), np.float32), np.zeros((size, DIMENSION + 1), np.float32)
+        self.u[:, -1] = np.log(lexicon.group_share)
+        self.q[:, -1] = np.log(lexicon.share / lexicon.group_share[lexicon.group])
+
+    def arrays(self) -> dict[str, np.ndarray]:
+        return {"r": self.r, "c": self.c, "u": self.u, "q": self.q}
+
+    def hidden(self, contexts: np.ndarray) -> np.ndarray:
+        """The vectors of contexts, with a one at the end that biases meet."""
+        h = np.ones((len(contexts), DIMENSION + 1), np.float32)
+        h[:, :-1] = (self.r[contexts] * self.c).sum(1)
+        return h
+
+    def log_probabilities(self, contexts: np.ndarray, symbol: np.ndarray, step: int = 16384) -> np.ndarray:
+        """Natural logarithms of the normalised probabilities of symbols after contexts, by batched products."""
+        lexicon, out = self.lexicon, np.empty(len(symbol))
+        for a in range(0, len(symbol), step):
+            h, s = self.hidden(contexts[a : a + step]), symbol[a : a + step]
+            group = lexicon.group[s]
+            odds = h @ self.u.T
+            own = odds[np.arange(len(s)), group] - _log_sum(odds)
+            order = np.argsort(group, kind="stable")
+            bounds = np.searchsorted(group[order], np.arange(len(lexicon.first)))
+            for g in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(lexicon.first) > 1)).tolist():
+                rows = order[bounds[g] : bounds[g + 1]]
+                odds = h[rows] @ self.q[lexicon.first[g] : lexicon.first[g + 1]].T
+                own[rows] += odds[np.arange(len(rows)), s[rows] - lexicon.first[g]] - _log_sum(odds)
+            out[a : a + step] = own
+        return out
+
+
+def _log_sum(odds: np.ndarray) -> np.ndarray:
+    most = odds.max(1)
+    return np.log(np.exp(odds - most[:, None]).sum(1)) + most
+
+
+class Trainer:
+    """Noise-contrastive estimation on batches of (context, word): a logistic regression tells words from noise drawn by how often
+    texts have it, of all groups and of the words of the own group; adaptive steps on the rows that a batch touches."""
+
+    def __init__(self, model: LogBilinear, seed: int, noise: int = 48, inner: int = 3, rate: float = 0.15):
+        self.model, self.noise, self.inner, self.rate = model, noise, inner, rate
+        self.rng = np.random.default_rng(seed)
+        lexicon = model.lexicon
+        pool = 1 << 10
+        sums = np.concatenate([[0.0], np.cumsum(lexicon.share)])
+        low, wide = sums[lexicon.first[:-1]], lexicon.group_share
+        drawn = np.searchsorted(sums, low[:, None] + self.rng.random((len(wide), pool)) * wide[:, None], "right") - 1
+        self.pool = np.clip(drawn, lexicon.first[:-1, None], lexicon.first[1:, None] - 1).astype(np.int32)
+        self.squares = {name: np.full(len(x), 1e-3, np.float32) for name, x in model.arrays().items()}
+        self.touched = {name: np.zeros(len(x), np.float32) for name, x in model.arrays().items()}
+
+    def _step(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        sums, rows = np.add.reduceat(gradient[order], starts), rows[starts]
+        self.squares[name][rows] += (sums * sums).mean(1)
+        self.model.arrays()[name][rows] -= self.rate * sums / np.sqrt(self.squares[name][rows])[:, None]
+        self.touched[name][rows] += np.diff(np.append(starts, len(order)))
+
+    def batch(self, contexts: np.ndarray, symbol: np.ndarray) -> None:
+        model, lexicon = self.model, self.model.lexicon
+        n = len(symbol)
+        before = model.r[contexts]
+        h = np.ones((n, DIMENSION + 1), np.float32)
+        h[:, :-1] = (before * model.c).sum(1)
+        group = lexicon.group[symbol]
+        fake = self.pool_of_groups()
+        shift = np.log(len(fake) * lexicon.group_share).astype(np.float32)
+        own = model.u[group]
+        real = _sigmoid((h * own).sum(1) - shift[group]) - 1
+        false = _sigmoid(h @ model.u[fake].T - shift[fake])
+        dh = real[:, None] * own + false @ model.u[fake]
+        rows, gradients = [group, fake], [real[:, None] * h, false.T @ h]
+        at = np.flatnonzero(np.diff(lexicon.first)[group] > 1)
+        if len(at):
+            s, hs = symbol[at], h[at]
+            words = np.column_stack([s, self.pool[group[at][:, None], self.rng.integers(0, self.pool.shape[1], (len(at), self.inner))]])
+            q = model.q[words]
+            shift = np.log(self.inner * lexicon.share[words] / lexicon.group_share[group[at]][:, None]).astype(np.float32)
+            p = _sigmoid(np.einsum("nkd,nd->nk", q, hs) - shift)
+            p[:, 0] -= 1
+            dh[at] += np.einsum("nk,nkd->nd", p, q)
+            self._step("q", words.ravel(), (p[:, :, None] * hs[:, None, :]).reshape(-1, DIMENSION + 1))
+        self._step("u", np.concatenate(rows), np.concatenate(gradients))
+        dh = dh[:, None, :-1]
+        self._step("c", np.repeat(np.arange(CONTEXT), n), (before * dh).transpose(1, 0, 2).reshape(-1, DIMENSION))
+        self._step("r", contexts.ravel(), (model.c * dh).reshape(-1, DIMENSION))
+
+    def pool_of_groups(self) -> np.ndarray:
+        """Groups drawn as noise for a batch."""
+        return np.minimum(np.searchsorted(np.cumsum(self.model.lexicon.group_share), self.rng.random(self.noise)), len(self.model.lexicon.group_share) - 1)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _texts(batch: pa.RecordBatch, folds: int, fold: int, training: bool) -> Iterator[tuple[int, int, list[bytes], np.ndarray, list[bool]]]:
+    """(first row, end, tokens of the rows end to end, where each text ends, held-out flags) of some megabytes at a time."""
+    held = _held_out(batch.column(0).to_pylist(), folds, fold)
+    for a, b in slices(utf8(batch.column(1))[1], 1 << 21):
+        words: list[bytes] = []
+        ends = []
+        for out, text in zip(held[a:b], batch.column(1)[a:b].to_pylist(), strict=True):
+            if not (training and out):
+                words += tokens(text)
+                words.append(END)
+                ends.append(len(words))
+        yield a, b, words, np.array(ends, np.int64), held[a:b]
+
+
+#: Rows of an array that are sent together.
+_ROWS = 512
+
+
+def _training(lexicon: Broadcast, folds: int, fold: int, size: int = 4096):
+    """Trains a model on the training texts of a partition: how far rows of its arrays moved, weighted by their uses, as (name, block, moves)."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, start = LogBilinear(lexicon.value), LogBilinear(lexicon.value)
+        trainer = Trainer(model, TaskContext.get().partitionId() + 1)
         for batch in batches:
-            held = _held_out(batch.column(0).to_pylist(), folds, fold)
-            for a, b in slices(utf8(batch.column(1))[1], 1 << 21):
-                words: list[bytes] = []
-                for out, text in zip(held[a:b], batch.column(1)[a:b].to_pylist(), strict=True):
-                    if not out:
-                        words += tokens(text)
-                        words.append(END)
+            for _, _, words, ends, _ in _texts(batch, folds, fold, True):
                 if words:
-                    symbol = known.symbols(words)[1].astype(np.int64)
-                    total += np.bincount(np.concatenate([[0], symbol[:-1]]) * size + symbol, minlength=size * size)
-        at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array((at // size).astype(np.int32)), pa.array((at % size).astype(np.int32)), pa.array(total[at])], ["before", "symbol", "n"])
-
-    return count
-
-
-def log_bilinear(pairs: np.ndarray, dimension: int = 48, noise: float = 20.0, steps: int = 300, rate: float = 0.05, prior: float = 200.0, seed: int = 7) -> np.ndarray:
-    """Natural log P(symbol | symbol before) as a matrix, from counts of pairs over the whole corpus.
-
-    The score of w after h is (C r_h) . q_w + b_w with word vectors r, q, a context matrix C and biases b. Noise-contrastive
-    estimation tells the counted pairs from `noise` times as many with w drawn from the unigram distribution;
-    as the counts of all pairs are at hand, its expectations are taken exactly, by products of whole matrices, and
-    maximised with Adam. Every context has `prior` tokens of the unigram distribution beside its own. Rows are normalised at the end, so probabilities of a context sum to one.
-    """
-    size = len(pairs)
-    rng = np.random.default_rng(seed)
-    unigram = (pairs.sum(0) + 1.0) / (pairs.sum() + size)
-    pairs = pairs + prior * unigram[None, :]
-    context = pairs.sum(1)
-    seen = (pairs / max(pairs.sum(), 1)).astype(np.float32)
-    fake = (noise * np.outer(context / max(context.sum(), 1), unigram)).astype(np.float32)
-    # every context weighs by the root of its share, so that rare ones are learnt too
-    lift = 1 / np.sqrt(np.maximum(context / max(context.sum(), 1), 1e-7))[:, None].astype(np.float32)
-    seen, fake = seen * lift, fake * lift
-    shift = (np.log(noise) + np.log(unigram)).astype(np.float32)
-    params = [rng.normal(0, 0.1, (size, dimension)).astype(np.float32), np.eye(dimension, dtype=np.float32), rng.normal(0, 0.1, (size, dimension)).astype(np.float32), np.log(unigram).astype(np.float32)]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for t in range(1, steps + 1):
-        r, c, q, b = params
-        rc = r @ c
-        odds = rc @ q.T + (b - shift)[None, :]
-        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        g = p * (seen + fake) - seen
-        rc_g = g @ q
-        grads = [rc_g @ c.T + 1e-6 * r, r.T @ rc_g, g.T @ rc + 1e-6 * q, g.sum(0)]
-        step = rate * min(1.0, 2 * (1 - t / (steps + 1)))
-        for k, x in enumerate(grads):
-            first[k] = 0.9 * first[k] + 0.1 * x
-            second[k] = 0.99 * second[k] + 0.01 * x * x
-            params[k] = params[k] - step * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-10)
-    r, c, q, b = params
-    logits = ((r @ c) @ q.T + b[None, :]).astype(np.float64)
-    logits -= logits.max(1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(1, keepdims=True))
-
-
-def _scores(lexicon: Broadcast, model: Broadcast, folds: int, fold: int):
-    """Of each document: what held words and the model give, and its other words with how often it has them."""
+                    symbol = lexicon.value.symbols(words)[1]
+                    contexts = lexicon.value.contexts(symbol, np.append(0, ends[:-1]))
+                    order = trainer.rng.permutation(len(symbol))
+                    for k in range(0, len(order), size):
+                        trainer.batch(contexts[order[k : k + size]], symbol[order[k : k + size]])
+        for name, values in model.arrays().items():
+            uses = np.sqrt(trainer.touched[name])
+            move = np.column_stack([uses[:, None] * (values - start.arrays()[name]), uses]).astype(np.float32)
+            for k in range(0, len(move), _ROWS):
+                own = move[k : k + _ROWS]
+                on = np.flatnonzero(own[:, -1])
+                if len(on):
+                    yield pa.record_batch([pa.array([name]), pa.array([k], pa.int32()), pa.array([on.astype(np.int32)], pa.list_(pa.int32())), pa.array([own[on].astype(np.float16).tobytes()], pa.binary())], ["name", "first", "rows", "moves"])
+
+    return train
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the moves of a block over all partitions, one after the other: a task holds its own blocks only."""
+    sums: dict[tuple[str, int], np.ndarray] = {}
+    for batch in batches:
+        for name, first, rows, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            move = np.frombuffer(data, np.float16).astype(float).reshape(len(rows), -1)
+            sums.setdefault((name, first), np.zeros((_ROWS, move.shape[1])))[rows] += move
+    for (name, first), total in sums.items():
+        mean = (total[:, :-1] / np.maximum(total[:, -1:], 1e-9)).astype(np.float32)
+        yield pa.record_batch([pa.array([name]), pa.array([first], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["name", "first", "moves"])
+
+
+def trained(rows: DataFrame, lexicon: Lexicon, shared: Broadcast, folds: int, fold: int) -> LogBilinear:
+    """A model trained on all training rows of rows(id, text): each partition trains on its own from one start, what its rows moved is averaged."""
+    moves = in_arrow(rows, _training(shared, folds, fold), "name string, first int, rows array<int>, moves binary").repartition("name", "first")
+    model = LogBilinear(lexicon)
+    for r in in_arrow(moves, _averaged, "name string, first int, moves binary").toLocalIterator():  # the model's own arrays: bounded by HELD
+        own = model.arrays()[r.name][r.first : r.first + _ROWS]
+        own += np.frombuffer(r.moves, np.float32).reshape(_ROWS, -1)[: len(own)]
+    return model
+
+
+def _scores(model: Broadcast, folds: int, fold: int):
+    """Of each document: what own words and the model give, and its other words with how often it has them."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, table = lexicon.value, model.value
-        size, missing = known.outputs, len(known.n) - 1
+        known = model.value.lexicon
+        missing = len(known.n) - 1
         log_n = np.log10(known.n + 1.0)
-        log_class = np.log10(known.class_n + known.class_v + 1.0)
-        own = known.symbol < known.offset
-        own[missing] = False
-        inner = np.where(own, 0.0, log_n)
+        inside = np.zeros(len(known.share))
+        inside[known.tail] = np.log10(known.tail_n + known.tail_v + 1.0)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            held = _held_out(ids, folds, fold)
-            for a, b in slices(utf8(batch.column(1))[1], 1 << 21):
-                words: list[bytes] = []
-                ends = []
-                for text in batch.column(1)[a:b].to_pylist():
-                    words += tokens(text)
-                    words.append(END)
-                    ends.append(len(words))
+            for a, b, words, ends, held in _texts(batch, folds, fold, False):
                 at, symbol = known.symbols(words)
-                before = np.concatenate([[0], symbol[:-1]])  # END stands before every text's first word
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                logp = table[before, symbol] / np.log(10)
-                beyond = symbol >= known.offset
-                logp[beyond] -= log_class[symbol[beyond] - known.offset]
+                starts = np.append(0, ends[:-1])
+                logp = model.value.log_probabilities(known.contexts(symbol, starts), symbol) / np.log(10) - inside[symbol]
                 total = lambda x: np.add.reduceat(x, starts)
                 rare = np.flatnonzero(at == missing)
-                whose = np.searchsorted(np.array(ends), rare, "right")
+                whose = np.searchsorted(ends, rare, "right")
                 lists, sums = [], [0]
                 counts: list[int] = []
-                for k, own_rare in enumerate(np.split(rare, np.searchsorted(whose, np.arange(1, b - a)))):
+                for own_rare in np.split(rare, np.searchsorted(whose, np.arange(1, b - a))):
                     c = Counter(words[i] for i in own_rare.tolist())
                     lists += c.keys()
                     counts += c.values()
                     sums.append(len(lists))
                 pairs = pa.StructArray.from_arrays([pa.array(lists, pa.binary()), pa.array(counts, pa.int64())], ["token", "n"])
                 yield pa.record_batch(
-                    [batch.column(0)[a:b], pa.array(held[a:b]), pa.array(np.diff([0, *ends])), pa.array(total((known.n[at] > 0).astype(np.int64))), pa.array(total(log_n[at])), pa.array(total(logp + inner[at])), pa.ListArray.from_arrays(pa.array(sums, pa.int32()), pairs)],
+                    [batch.column(0)[a:b], pa.array(held), pa.array(np.diff(ends, prepend=0)), pa.array(total((known.n[at] > 0).astype(np.int64))), pa.array(total(log_n[at])), pa.array(total(logp)), pa.ListArray.from_arrays(pa.array(sums, pa.int32()), pairs)],
                     ["id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
                 )
 
     return score
 
 
-def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, **training: float) -> DataFrame:
+def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of df.
 
     Rows with crc32(id as text) mod `folds` = `fold` are held out; all others train, whole texts of them. Tokens are
     the words of the text, A-Z in lower case, and one end. base_score: log10 of add-one unigram probabilities.
-    score: log10 probability by a log-bilinear model over its most frequent words and classes of other words; a word of a
-    class has (c + 1) / (N + V + 1) of the class's probability, where one share is for words never seen.
+    score: log10 probability by a log-bilinear model of two words of context over the HELD most frequent words and tails of other words; a word of a
+    tail has (c + 1) / (N + V + 1) of the tail's probability, where one share is for words never seen.
 
     Counts are grouped over all tokens; every task holds only the most frequent words, to a fixed bound, and other
-    words of a document meet their counts in a join. The model has as many parameters as its vocabulary, whatever
-    the corpus; the pair counts that it is trained on cover all training rows.
+    words of a document meet their counts in a join. The model is trained on every token of all training rows, partition
+    by partition, and averaged; it has as many parameters as its vocabulary. Whole texts are read, some megabytes at a time.
 
     Null and empty texts are one end token. Rows with null ids train and are not held out. Repeated rows count as often as they
     are there. An empty table gives no rows.
@@ -219,19 +345,13 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     counts = written(in_arrow(rows, _counts(folds, fold), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     size, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     frequent = [(bytes(r.token), r.n) for r in counts.where(F.length("token") <= LONGEST).orderBy(F.desc("n"), "token").limit(HELD).collect()]
-    ending = F.pmod(F.crc32(F.expr("substr(token, greatest(length(token) - 1, 1), 2)")), F.lit(CLASSES))
-    classes = [tuple(r) for r in counts.where(F.length("token") > 0).groupBy(ending.alias("c")).agg(F.sum("n"), F.count("*")).collect()]
-    lexicon = Lexicon(frequent, size, total, [(int(c), n, v) for c, n, v in classes])
-    shared = spark.sparkContext.broadcast(lexicon)
-
-    found = in_arrow(rows, _pairs(shared, folds, fold), "before int, symbol int, n long").groupBy("before", "symbol").agg(F.sum("n").alias("n"))
-    pairs = np.zeros((lexicon.outputs, lexicon.outputs))
-    for batch in found.toArrow().to_batches():  # at most one row for each pair of the model's symbols
-        pairs[batch.column(0).to_numpy(), batch.column(1).to_numpy()] = batch.column(2).to_numpy()
-    model = spark.sparkContext.broadcast(log_bilinear(pairs, **training).astype(np.float32))
+    ending = F.pmod(F.crc32(F.expr("substr(token, greatest(length(token) - 1, 1), 2)")), F.lit(TAILS))
+    tails = [tuple(r) for r in counts.where(F.length("token") > 0).groupBy(ending.alias("c")).agg(F.sum("n"), F.count("*")).collect()]
+    lexicon = Lexicon(frequent, size, total, [(int(c), n, v) for c, n, v in tails])
+    model = spark.sparkContext.broadcast(trained(rows, lexicon, spark.sparkContext.broadcast(lexicon), folds, fold))
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<token: binary, n: bigint>>"
-    parts = written(in_arrow(rows, _scores(shared, model, folds, fold), schema).withColumn("uid", F.monotonically_increasing_id()), "scores")
+    parts = written(in_arrow(rows, _scores(model, folds, fold), schema).withColumn("uid", F.monotonically_increasing_id()), "scores")
     rare = parts.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.token").alias("token"), F.col("r.n").alias("times"))
     met = rare.join(counts, "token").groupBy("uid").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"))
     out = parts.drop("rare").join(met, "uid", "left").withColumns({"known": F.coalesce("known", F.lit(0)), "logs": F.coalesce("logs", F.lit(0.0))})
