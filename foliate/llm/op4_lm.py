@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from foliate.llm.common import in_arrow, slices, text_of, utf8, written
 
-#: The model's own words, the most frequent ones, of at most LONGEST bytes each: 16 MB of them and as much for each of two
-#: matrices is what a task holds at most. They are more the larger the corpus is, up to this bound.
-HELD, LONGEST = 1 << 17, 64
+#: Words whose counts every task holds, the most frequent ones of at most LONGEST bytes each: 16 MB at most. The first OWN of
+#: them are the model's own: they are more the larger the corpus is, up to this bound.
+HELD, OWN, LONGEST = 1 << 17, 1 << 15, 64
 #: Other words are one of these by a hash of their last two bytes. END is a token as the contract has it.
-TAILS = 96
+TAILS = 512
 END = b""
 #: Groups of outputs; components of a vector; words of context.
-GROUPS, DIMENSION, CONTEXT = 256, 16, 2
+GROUPS, DIMENSION, CONTEXT = 128, 7, 2
 
 
 def tokens(text: str) -> list[bytes]:
@@ -56,7 +56,7 @@ def _counts(folds: int, fold: int, most: int = 400_000):
 
 
 class Lexicon:
-    """What every task holds of the vocabulary: the model's own words, and sums over the tails of all others.
+    """What every task holds of the vocabulary: frequent words, the first of which are the model's own, and sums over the tails of all others.
 
     A symbol is an own word or a tail; symbols are numbered by how often training texts have them, and groups of symbols are
     ranges of these numbers with equal sums of square roots of their counts: frequent words are a group alone.
@@ -70,15 +70,20 @@ class Lexicon:
         self.tail_n, self.tail_v = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
         for c, n, v in rows:
             self.tail_n[c], self.tail_v[c] = n, v
-        for w, n in words:
+        own = min(len(words), OWN)
+        if END in self.index:
+            own = max(own, self.index[END] + 1)
+        for w, n in words[:own]:
             if w != END:
                 self.tail_n[suffix(w)] -= n
                 self.tail_v[suffix(w)] -= 1
-        mass = np.concatenate([self.n[:-1], self.tail_n + self.tail_v, [0] if END not in self.index else []]) + 1.0
+        mass = np.concatenate([self.n[:own], self.tail_n + self.tail_v, [0] if END not in self.index else []]) + 1.0
         rank = np.empty(len(mass), np.int32)
         order = np.argsort(-mass, kind="stable")
         rank[order] = np.arange(len(mass), dtype=np.int32)
-        self.symbol, self.tail = np.append(rank[: len(words)], np.int32(-1)), rank[len(words) : len(words) + TAILS]
+        self.tail = rank[own : own + TAILS]
+        self.symbol = np.concatenate([rank[:own], self.tail[np.array([suffix(w) for w, _ in words[own:]], np.int64)], [-1]]).astype(np.int32)
+        self.inside = np.append(np.where(np.arange(len(words)) < own, 0.0, np.log10(self.n[:-1] + 1.0)), 0.0)
         self.end = int(rank[self.index[END]] if END in self.index else rank[-1])
         self.share = mass[order] / mass.sum()
         root = np.cumsum(np.sqrt(self.share))
@@ -88,7 +93,7 @@ class Lexicon:
         self.group_share = np.add.reduceat(self.share, self.first[:-1])
 
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(place among the own words, len(own) if none; symbol) of each word."""
+        """(place among the held words, len(held) if none; symbol) of each word."""
         missing = len(self.n) - 1
         get = self.index.get
         at = np.fromiter((get(w, missing) for w in words), np.int64, len(words))
@@ -139,34 +144,41 @@ class LogBilinear:
         h[:, :-1] = (self.r[contexts] * self.c).sum(1)
         return h
 
-    def log_probabilities(self, contexts: np.ndarray, symbol: np.ndarray, step: int = 16384) -> np.ndarray:
+    def log_probabilities(self, contexts: np.ndarray, symbol: np.ndarray, step: int = 65536) -> np.ndarray:
         """Natural logarithms of the normalised probabilities of symbols after contexts, by batched products."""
         lexicon, out = self.lexicon, np.empty(len(symbol))
         for a in range(0, len(symbol), step):
             h, s = self.hidden(contexts[a : a + step]), symbol[a : a + step]
             group = lexicon.group[s]
-            odds = h @ self.u.T
-            own = odds[np.arange(len(s)), group] - _log_sum(odds)
-            order = np.argsort(group, kind="stable")
+            own = np.empty(len(s))
+            for k in range(0, len(s), 1024):
+                own[k : k + 1024] = _log_share(h[k : k + 1024], self.u, group[k : k + 1024])
+            order = np.argsort(group.astype(np.int16), kind="stable")
             bounds = np.searchsorted(group[order], np.arange(len(lexicon.first)))
             for g in np.flatnonzero((np.diff(bounds) > 0) & (np.diff(lexicon.first) > 1)).tolist():
-                rows = order[bounds[g] : bounds[g + 1]]
-                odds = h[rows] @ self.q[lexicon.first[g] : lexicon.first[g + 1]].T
-                own[rows] += odds[np.arange(len(rows)), s[rows] - lexicon.first[g]] - _log_sum(odds)
+                low, high = lexicon.first[g], lexicon.first[g + 1]
+                wide = max(1, (1 << 18) // int(high - low))  # products stay in the processor's cache
+                for k in range(bounds[g], bounds[g + 1], wide):
+                    rows = order[k : min(k + wide, bounds[g + 1])]
+                    own[rows] += _log_share(h[rows], self.q[low:high], s[rows] - low)
             out[a : a + step] = own
         return out
 
 
-def _log_sum(odds: np.ndarray) -> np.ndarray:
-    most = odds.max(1)
-    return np.log(np.exp(odds - most[:, None]).sum(1)) + most
+def _log_share(h: np.ndarray, outputs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of the products with all outputs, at one of them for each row."""
+    odds = h @ outputs.T
+    odds -= odds.max(1, keepdims=True)
+    own = odds[np.arange(len(h)), at]
+    np.exp(odds, out=odds)
+    return own - np.log(odds.sum(1))
 
 
 class Trainer:
     """Noise-contrastive estimation on batches of (context, word): a logistic regression tells words from noise drawn by how often
     texts have it, of all groups and of the words of the own group; adaptive steps on the rows that a batch touches."""
 
-    def __init__(self, model: LogBilinear, seed: int, noise: int = 48, inner: int = 3, rate: float = 0.15):
+    def __init__(self, model: LogBilinear, seed: int, noise: int = 24, inner: int = 2, rate: float = 0.15):
         self.model, self.noise, self.inner, self.rate = model, noise, inner, rate
         self.rng = np.random.default_rng(seed)
         lexicon = model.lexicon
@@ -179,12 +191,14 @@ class Trainer:
         self.touched = {name: np.zeros(len(x), np.float32) for name, x in model.arrays().items()}
 
     def _step(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.int16) if len(self.squares[name]) <= 1 << 15 else rows, kind="stable")
         rows = rows[order]
         starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         sums, rows = np.add.reduceat(gradient[order], starts), rows[starts]
-        self.squares[name][rows] += (sums * sums).mean(1)
-        self.model.arrays()[name][rows] -= self.rate * sums / np.sqrt(self.squares[name][rows])[:, None]
+        squares = self.squares[name][rows] + np.einsum("nd,nd->n", sums, sums) / np.float32(sums.shape[1])
+        self.squares[name][rows] = squares
+        sums *= (self.rate / np.sqrt(squares)).astype(np.float32)[:, None]
+        self.model.arrays()[name][rows] -= sums
         self.touched[name][rows] += np.diff(np.append(starts, len(order)))
 
     def batch(self, contexts: np.ndarray, symbol: np.ndarray) -> None:
@@ -213,7 +227,7 @@ class Trainer:
             self._step("q", words.ravel(), (p[:, :, None] * hs[:, None, :]).reshape(-1, DIMENSION + 1))
         self._step("u", np.concatenate(rows), np.concatenate(gradients))
         dh = dh[:, None, :-1]
-        self._step("c", np.repeat(np.arange(CONTEXT), n), (before * dh).transpose(1, 0, 2).reshape(-1, DIMENSION))
+        self._step("c", np.arange(CONTEXT), np.einsum("ncd,nd->cd", before, dh[:, 0]))
         self._step("r", contexts.ravel(), (model.c * dh).reshape(-1, DIMENSION))
 
     def pool_of_groups(self) -> np.ndarray:
@@ -222,7 +236,7 @@ class Trainer:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 1 / (1 + np.exp(np.minimum(-x, 30)))
 
 
 def _texts(batch: pa.RecordBatch, folds: int, fold: int, training: bool) -> Iterator[tuple[int, int, list[bytes], np.ndarray, list[bool]]]:
@@ -285,14 +299,14 @@ def trained(rows: DataFrame, lexicon: Lexicon, shared: Broadcast, folds: int, fo
     """A model trained on all training rows of rows(id, text): each partition trains on its own from one start, what its rows moved is averaged."""
     moves = in_arrow(rows, _training(shared, folds, fold), "name string, first int, rows array<int>, moves binary").repartition("name", "first")
     model = LogBilinear(lexicon)
-    for r in in_arrow(moves, _averaged, "name string, first int, moves binary").toLocalIterator():  # the model's own arrays: bounded by HELD
+    for r in in_arrow(moves, _averaged, "name string, first int, moves binary").toLocalIterator():  # the model's own arrays: bounded by OWN
         own = model.arrays()[r.name][r.first : r.first + _ROWS]
         own += np.frombuffer(r.moves, np.float32).reshape(_ROWS, -1)[: len(own)]
     return model
 
 
 def _scores(model: Broadcast, folds: int, fold: int):
-    """Of each document: what own words and the model give, and its other words with how often it has them."""
+    """Of each document: what held words and the model give, and its other words with how often it has them."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value.lexicon
@@ -304,7 +318,7 @@ def _scores(model: Broadcast, folds: int, fold: int):
             for a, b, words, ends, held in _texts(batch, folds, fold, False):
                 at, symbol = known.symbols(words)
                 starts = np.append(0, ends[:-1])
-                logp = model.value.log_probabilities(known.contexts(symbol, starts), symbol) / np.log(10) - inside[symbol]
+                logp = model.value.log_probabilities(known.contexts(symbol, starts), symbol) / np.log(10) - inside[symbol] + known.inside[at]
                 total = lambda x: np.add.reduceat(x, starts)
                 rare = np.flatnonzero(at == missing)
                 whose = np.searchsorted(ends, rare, "right")
@@ -329,7 +343,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
 
     Rows with crc32(id as text) mod `folds` = `fold` are held out; all others train, whole texts of them. Tokens are
     the words of the text, A-Z in lower case, and one end. base_score: log10 of add-one unigram probabilities.
-    score: log10 probability by a log-bilinear model of two words of context over the HELD most frequent words and tails of other words; a word of a
+    score: log10 probability by a log-bilinear model of two words of context over the OWN most frequent words and tails of other words; a word of a
     tail has (c + 1) / (N + V + 1) of the tail's probability, where one share is for words never seen.
 
     Counts are grouped over all tokens; every task holds only the most frequent words, to a fixed bound, and other
