@@ -28,3 +28,20 @@ def utc_text(time: Column) -> Column:
 
 def seconds_between(later: Column, earlier: Column) -> Column:
     return (F.unix_micros(later) - F.unix_micros(earlier)) / F.lit(1e6)
+
+
+def human_size(size: Column) -> Column:
+    """A number of bytes in words: 512 B, 1.5 KB, 20.0 MB."""
+    step = lambda n, unit: F.concat(F.format_string("%.1f", size / F.lit(float(1024**n))), F.lit(" " + unit))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).when(size < 1024**2, step(1, "KB")).when(size < 1024**3, step(2, "MB")).otherwise(step(3, "GB"))
+
+
+def normal_path(path: Column) -> Column:
+    """A path without empty and . segments and without slashes at its ends; null where a segment is .., which could leave its folder."""
+    kept = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
+    return F.when(~F.array_contains(kept, ".."), F.array_join(kept, "/"))
+
+
+def age_days(now: Column, then: Column) -> Column:
+    """Whole days since a time; null counts as never."""
+    return F.datediff(now.cast("date"), then.cast("date"))

@@ -35,11 +35,11 @@ def resolution(spark, folder):
     return graph.resolved(edges, notes, "page_id", "p").select("id", "position", "dst")
 
 
-_EDGES = "WITH e AS (SELECT DISTINCT l_partkey AS a, -l_suppkey AS b FROM lineitem WHERE l_quantity >= 49)"
+_EDGES = "WITH e AS (SELECT DISTINCT l_partkey AS a, -l_suppkey AS b FROM lineitem)"
 
 
 def _edges(spark, folder):
-    return table(spark, folder, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b")).distinct()
+    return table(spark, folder, "lineitem").select(F.col("l_partkey").alias("a"), (-F.col("l_suppkey")).alias("b")).distinct()
 
 
 @query("graph_neighbourhood", _EDGES + """, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
@@ -64,9 +64,9 @@ def backlinks(spark, folder):
     return graph.backlinks(_refs(spark, folder))
 
 
-@query("graph_orphans", "WITH e AS (SELECT o_orderkey AS src, o_custkey AS dst FROM orders) SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT src FROM e WHERE src % 2 = 0 UNION SELECT dst FROM e WHERE src % 2 = 0)")
+@query("graph_orphans", "WITH e AS (SELECT o_orderkey AS src, o_custkey AS dst FROM orders) SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT src FROM e UNION SELECT dst FROM e)")
 def orphans(spark, folder):
-    edges = table(spark, folder, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
+    edges = table(spark, folder, "orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
     return graph.orphans(table(spark, folder, "customer").select(F.col("c_custkey").alias("node")), edges)
 
 

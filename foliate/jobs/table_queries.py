@@ -103,10 +103,9 @@ def configurations(spark, folder):
 
 @query("usage_with_owners", """
 SELECT c_name AS owner, (o_custkey IS NOT NULL AND c_custkey IS NULL) AS owner_missing, count(*) AS n, sum(o_totalprice) AS total
-FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON o_custkey = c_custkey GROUP BY 1, 2""")
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
 def with_owners(spark, folder):
-    owners = table(spark, folder, "customer").where("c_custkey % 7 <> 0")
-    rows = usage.with_dimensions(table(spark, folder, "orders"), "o_custkey", owners, "c_custkey", "c_name")
+    rows = usage.with_dimensions(table(spark, folder, "orders"), "o_custkey", table(spark, folder, "customer"), "c_custkey", "c_name")
     return rows.groupBy("owner", "owner_missing").agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
 
 

@@ -37,3 +37,28 @@ def interval(deltas: DataFrame, by: list[str], query: str, delta: str, resamples
     edge = [(1 - level) / 2, (1 + level) / 2]
     out = sums.groupBy(*by).agg(F.max(F.when(own, F.col("n"))).alias("n"), F.max(F.when(own, mean)).alias("mean"), F.percentile(F.when(~own, mean), edge).alias("_e"))
     return out.select(*by, "n", "mean", F.col("_e")[0].alias("low"), F.col("_e")[1].alias("high"))
+
+
+def novelty(run: DataFrame, baseline: DataFrame, query: str, item: str, k: int) -> DataFrame:
+    """(query, novelty): the share of a run's k first items that the baseline's k first don't have, from (query, item, rank)."""
+    top = lambda df: df.where(F.col("rank") <= k).select(query, item).distinct()
+    both = top(run).join(top(baseline).withColumn("_old", F.lit(1)), [query, item], "left")
+    return both.groupBy(query).agg((F.count_if(F.col("_old").isNull()) / F.count("*")).alias("novelty"))
+
+
+def thresholds(answers: DataFrame, value: str, right: str, at: list[float]) -> DataFrame:
+    """(threshold, answered, right): rows of which the value reaches each threshold, and those of them that are right.
+
+    Rows are summed by the number of thresholds that they reach before anything moves: as many sums as thresholds.
+    """
+    reached = sum((F.coalesce(F.col(value) >= t, F.lit(False)).cast("int") for t in sorted(at)), F.lit(0))
+    sums = answers.groupBy(reached.alias("_n")).agg(F.count("*").alias("answered"), F.count_if(F.col(right)).alias("right"))
+    steps = sums.select(F.explode(F.expr("CASE WHEN _n > 0 THEN sequence(1, _n) ELSE array() END")).alias("_k"), "answered", "right").groupBy("_k").agg(F.sum("answered").alias("answered"), F.sum("right").alias("right"))
+    return steps.select(F.element_at(F.array(*[F.lit(float(t)) for t in sorted(at)]), F.col("_k")).alias("threshold"), "answered", "right")
+
+
+def verdict(deltas: DataFrame, by: list[str], delta: str, least: float = 0.0, worst: float = -0.5) -> DataFrame:
+    """(by, n, mean, losses, verdict): 'pass' where the mean difference reaches `least` and no query loses more than `worst`, else 'fail'; 'empty' without differences."""
+    d = F.col(delta)
+    out = deltas.groupBy(*by).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), F.count_if(d < worst).alias("losses"))
+    return out.withColumn("verdict", F.when(F.col("n") == 0, "empty").when((F.col("mean") >= least) & (F.col("losses") == 0), "pass").otherwise("fail"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,29 +24,59 @@ def has_tags(tags: str, wanted: list[str]) -> Column:
 
 
 def contains_json(column: str, wanted: dict) -> Column:
-    """JSON containment of a literal object: scalars of the same type and value, nested objects, and arrays of which each element is found."""
+    """JSON containment of a literal object: scalars of the same type and value at every depth, nested objects, arrays of which each element is found.
+
+    A key may have either kind of quotation mark, not both: a path can't name such a one.
+    """
 
     def holds(value: Column, want: object) -> Column:
+        kind = F.schema_of_variant(value)
         if isinstance(want, dict):
-            return reduce(lambda a, kv: a & holds(F.get_json_object(value, f"$['{kv[0]}']"), kv[1]), want.items(), value.startswith("{"))
+            at = {k: f"$['{k}']" if "'" not in k else f'$["{k}"]' for k in want}
+            inside = [holds(F.try_variant_get(value, at[k], "variant"), w) for k, w in want.items()]
+            return reduce(lambda a, b: a & b, inside, kind.startswith("OBJECT"))
         if isinstance(want, list):
-            items = F.from_json(value, "array<string>")
-            return value.startswith("[") & reduce(lambda a, w: a & F.exists(items, lambda x: x == (w if isinstance(w, str) else json.dumps(w))), want, F.lit(True))
+            items = F.try_variant_get(value, "$", "array<variant>")
+            return reduce(lambda a, w: a & F.exists(items, lambda x: holds(x, w)), want, kind.startswith("ARRAY"))
         if want is None:
-            return value == "null"
+            return F.is_variant_null(value)
         if isinstance(want, bool):
-            return value == json.dumps(want)
+            return (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == want)
         if isinstance(want, (int, float)):
-            return value.try_cast("double") == float(want)
-        return value == want
+            return kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (F.try_variant_get(value, "$", "double") == float(want))
+        return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == want)
+
+    return F.coalesce(holds(F.try_parse_json(F.col(column)), wanted), F.lit(False))
+
+
+def under_none(tags: Column, wanted: list[str]) -> Column:
+    """No tag equal to or below one of those; rows without tags match."""
+    return ~under_any(tags, wanted)
+
+
+def under_all(tags: Column, wanted: list[str]) -> Column:
+    """Of every wanted tag one equal to or below it; rows without tags never match."""
+    return reduce(lambda a, w: a & under_any(tags, [w]), wanted, F.lit(True))
+
+
+def has_words(folded: Column, words: list[str]) -> Column:
+    """All of the words somewhere in a folded text."""
+    return reduce(lambda a, w: a & F.contains(folded, F.lit(w.lower())), words, F.lit(True))
+
+
+def in_range(day: Column, first: str | None, last: str | None) -> Column:
+    """Days from `first` to `last`, both included; rows without a day match only without bounds."""
+    out = F.lit(True)
+    for bound, ok in ((first, lambda b: day >= b), (last, lambda b: day <= b)):
+        if bound is not None:
+            out = out & F.coalesce(ok(F.lit(bound).cast("date")), F.lit(False))
+    return out
 
-    def typed(key: str, want: object) -> Column:
-        kind = F.schema_of_variant(F.try_parse_json(F.col(column)))
-        name = "STRING" if isinstance(want, str) else "BOOLEAN" if isinstance(want, bool) else "OBJECT" if isinstance(want, dict) else "ARRAY" if isinstance(want, list) else None
-        found = kind.rlike(rf"\b{key}: {name}") if name else ~kind.rlike(rf"\b{key}: (?:STRING|BOOLEAN|OBJECT|ARRAY)")
-        return found & holds(F.get_json_object(column, f"$['{key}']"), want)
 
-    return F.coalesce(reduce(lambda a, kv: a & typed(*kv), wanted.items(), F.lit(True)), F.lit(False))
+def one_of(value: Column, wanted: list[str | None]) -> Column:
+    """A value of a set, in which None stands for rows without one."""
+    named = [w for w in wanted if w is not None]
+    return F.coalesce(value.isin(named), F.lit(False)) | (value.isNull() if None in wanted else F.lit(False))
 
 
 def current(valid_to: str = "valid_to") -> Column:

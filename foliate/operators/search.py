@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,10 +18,23 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def parse_query(query: str) -> tuple[list[list[str]], list[list[str]]]:
-    """(units, negated units): a unit is a word, or the words of a quoted phrase; a leading - negates."""
-    found = [(sign == "-", re.findall(r"\w+", phrase or word)) for sign, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query.lower())]
-    return [u for no, u in found if u and not no], [u for no, u in found if u and no]
+def parse_query(query: str) -> tuple[list[list[list[str]]], list[list[str]]]:
+    """(groups, negated units): a unit is a word, or the words of a quoted phrase; units joined by OR are a group, others one each; a leading - negates."""
+    groups: list[list[list[str]]] = []
+    nots, joining = [], False
+    for sign, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
+        if word == "OR" and not sign:
+            joining = bool(groups)
+            continue
+        unit = re.findall(r"\w+", (phrase or word).lower())
+        if unit and sign:
+            nots.append(unit)
+        elif unit and joining:
+            groups[-1].append(unit)
+        elif unit:
+            groups.append([unit])
+        joining = False
+    return groups, nots
 
 
 def _has(words: str, unit: list[str]) -> Column:
@@ -31,23 +45,46 @@ def _has(words: str, unit: list[str]) -> Column:
 def keyword(notes: DataFrame, id_col: str, query: str, limit: int, title: str | None = None, body: str = "text") -> DataFrame:
     """(id, match, matched, score): rows with every unit first, then rows with any of them, up to `limit` rows.
 
-    The score adds the weight of each unit's part: A in the title, D in the body. Within a block by score, then id; a negated unit
+    Of units joined by OR one is enough. The score adds the weight of each unit's part: A in the title, D in the body. Within a block by score, then id; a negated unit
     excludes. One scan: the blocks are a sort key, and only ids and scores are sorted.
     """
-    units, nots = parse_query(query)
+    groups, nots = parse_query(query)
     spaced = lambda c: F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(c, F.lit(""))), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
     rows = notes.select(F.col(id_col).alias("id"), spaced(F.col(title) if title else F.lit("")).alias("a"), spaced(F.col(body)).alias("d"))
-    hit = [(_has("a", u), _has("d", u)) for u in units]
+    either = lambda part, group: reduce(lambda x, u: x | _has(part, u), group, F.lit(False))
+    hit = [(either("a", g), either("d", g)) for g in groups]
     matched = sum(((a | d).cast("int") for a, d in hit), F.lit(0))
     score = sum((a.cast("double") * WEIGHTS["A"] + d.cast("double") * WEIGHTS["D"] for a, d in hit), F.lit(0.0))
-    bad = F.lit(False)
-    for u in nots:
-        bad = bad | _has("a", u) | _has("d", u)
+    bad = either("a", nots) | either("d", nots)
     out = rows.where(~bad).select("id", matched.alias("matched"), F.round(score, 6).alias("score")).where("matched > 0")
-    out = out.withColumn("match", F.when(F.col("matched") == len(units), "all").otherwise("any"))
+    out = out.withColumn("match", F.when(F.col("matched") == len(groups), "all").otherwise("any"))
     return out.orderBy(F.col("match") != "all", F.desc("score"), "id").limit(limit)
 
 
+def hybrid(notes: DataFrame, vectors: DataFrame, allowed: Column, id_col: str, text_col: str, vec_col: str, query: str, like: list[float], limit: int, depth: int = 100, threshold: float = 0.5) -> DataFrame:
+    """(id, score, place, keyword_rank, vector_rank, similarity, matched_in, confidence) of the `limit` best notes for a text and a vector.
+
+    notes(id, text, ...) and vectors(id, vector) are first held to one filter over notes; each arm gives its `depth` best, the keyword arm in
+    the order of keyword(), the other by cosine, and reciprocal rank fusion orders what either has. confidence is that of the whole answer.
+    """
+    rows = notes.where(allowed)
+    words = keyword(rows, id_col, query, depth, body=text_col)
+    words = words.withColumn("keyword_rank", F.row_number().over(Window.orderBy(F.col("match") != "all", F.desc("score"), "id")))  # depth rows
+    target = F.array(*[F.lit(float(x)) for x in like])
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+    near = vectors.join(rows.select(id_col), id_col).select(F.col(id_col).alias("id"), F.round(dot(F.col(vec_col), target) / F.sqrt(dot(F.col(vec_col), F.col(vec_col).cast("array<double>"))) / F.sqrt(dot(target, target)), 9).alias("similarity"))
+    near = near.where(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), "id").limit(depth)
+    near = near.withColumn("vector_rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")))  # depth rows
+    both = words.select("id", "keyword_rank", (F.col("match") == "all").alias("all")).join(near, "id", "full_outer")
+    part = lambda rank: F.coalesce(F.lit(1.0) / (F.lit(60.0) + F.col(rank)), F.lit(0.0))
+    both = both.withColumn("score", F.round(part("keyword_rank") + part("vector_rank"), 12))
+    every = Window.partitionBy(F.lit(1))
+    both = both.withColumn("confidence", confidence(F.max("all").over(every), F.max("similarity").over(every), threshold))
+    where = F.when(F.col("vector_rank").isNull(), "keyword").when(F.col("keyword_rank").isNull(), "vector").otherwise("both")
+    place = F.row_number().over(Window.orderBy(F.desc("score"), F.least("keyword_rank", "vector_rank"), "id"))
+    return both.select("id", "score", place.alias("place"), "keyword_rank", "vector_rank", "similarity", where.alias("matched_in"), "confidence").where(F.col("place") <= limit)
+
+
 def index_of(notes: DataFrame, id_col: str, text: str) -> DataFrame:
     """Inverted index: (term, id, tf, first position) for every term of every text."""
     rows = notes.select(F.col(id_col).alias("id"), F.posexplode(terms(F.col(text))).alias("pos", "term"))

@@ -15,8 +15,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A folder below spark.checkpoint.dir, which all executors share; a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="foliate-stream-")
+    """A folder below spark.checkpoint.dir, which all executors share; a temporary one where that is unset and the master is local."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="foliate-stream-")
     return f"{base.rstrip('/')}/foliate-stream/{uuid.uuid4().hex}/{name}"
 
 
@@ -55,18 +59,26 @@ def finished(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def sequence_batches(stream: DataFrame, scope: str, order: list[str], name: str) -> DataFrame:
-    """Consecutive numbers per scope over micro-batches: a single writer adds each batch after the last numbers written."""
+    """Consecutive numbers per scope over micro-batches: a single writer adds each batch after the last numbers written.
+
+    The last number of every scope is a table of its own beside each batch, so a batch reads one such table and not what came before.
+    """
     spark = stream.sparkSession
-    out, at = scratch(spark, name), scratch(spark, name + "-state")
+    out, at, ends = scratch(spark, name), scratch(spark, name + "-state"), scratch(spark, name + "-last")
+    last = T.StructType([stream.schema[scope], T.StructField("last", T.LongType())])
     schema = T.StructType([*stream.schema.fields, T.StructField("seq", T.LongType())])
 
     def add(batch: DataFrame, number: int) -> None:
         rank = F.row_number().over(Window.partitionBy(scope).orderBy(*order)).cast("bigint")
         rows = batch.withColumn("seq", rank)
         if number:
-            before = spark.read.schema(schema).parquet(*[os.path.join(out, f"batch={k:06d}") for k in range(number)]).groupBy(scope).agg(F.max("seq").alias("last"))
-            rows = rows.join(before, scope, "left").withColumn("seq", F.col("seq") + F.coalesce("last", F.lit(0))).drop("last")
+            before = spark.read.schema(last).parquet(os.path.join(ends, f"batch={number - 1:06d}"))
+            met = before.withColumnRenamed(scope, "_scope")
+            rows = rows.join(met, F.col(scope).eqNullSafe(F.col("_scope")), "left").withColumn("seq", F.col("seq") + F.coalesce("last", F.lit(0))).drop("last", "_scope")
         rows.select(*[f.name for f in schema]).write.mode("overwrite").parquet(os.path.join(out, f"batch={number:06d}"))
+        now = spark.read.schema(schema).parquet(os.path.join(out, f"batch={number:06d}")).select(scope, F.col("seq").alias("last"))
+        both = now.union(before) if number else now
+        both.groupBy(scope).agg(F.max("last").alias("last")).write.mode("overwrite").parquet(os.path.join(ends, f"batch={number:06d}"))
 
     stream.writeStream.option("checkpointLocation", at).foreachBatch(add).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(out + "/*")
