@@ -13,8 +13,9 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from foliate.llm import bpe, op1_quotes, op2_vectors, op3_tokens, op4_lm, op5_exact, op6_language, op7_ngrams, op8_packing, op9_toxicity, op10_codec, queries
+from foliate.llm import bpe, common, op1_quotes, op2_vectors, op3_tokens, op4_lm, op5_exact, op6_language, op7_ngrams, op8_packing, op9_toxicity, op10_codec, queries
 from tests.conftest import SMALL
 from tests.oracle import compare
 
@@ -89,6 +90,24 @@ def test_both_merges_agree(texts):
     assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
 
 
+def test_long_pretokens_merge_as_the_library_does():
+    v, e = bpe.Vocabulary.of_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), encoding()
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdeghilmnoprstué"), n)) for n in (2, 255, 256, 257, 300, 512, 513, 900, 2000)] + ["=" * 1500, "ab" * 700, "the" * 300]
+    ids, n = bpe.merged_padded(v, [x.encode() for x in texts])
+    ends = np.cumsum(n)
+    for x, a, b in zip(texts, ends - n, ends, strict=True):
+        assert ids[a:b].tolist() == e._core_bpe.encode_single_piece(x.encode())
+
+
+def test_store_keeps_no_long_pretokens():
+    store = bpe.Store(lambda new: (np.array([len(x) for x in new], np.int32), np.ones(len(new), np.int64)), most=10)
+    for k in range(20):
+        names = [f"w{k}", "x" * (70 + k), "a", "y" * 65, "x" * (70 + k)]
+        at = store.look_up(names)
+        assert store.ids[store.starts[at]].tolist() == [len(x) for x in names] and len(store.index) <= 10 and max(map(len, store.index)) <= 64
+
+
 def test_store_forgets(spark):
     v = bpe.Vocabulary.of_json(public_tokenizers.path("byte_bpe_50k.json"))
     store, split = bpe.Store(lambda new: bpe.merged_ragged(v, [x.encode() for x in new]), most=50), bpe.Splitter(public_tokenizers.PATTERN)
@@ -177,8 +196,6 @@ def test_repeated_rows_leave_one(spark):
 
 def test_long_chains_go_by_pages(spark):
     texts = spark.createDataFrame([(i, f"t{i % 3}", 7) for i in range(60)], "uid long, text string, key long").withColumnRenamed("key", "key")
-    from pyspark.sql import functions as F
-
     heads = op5_exact._heads(texts.withColumn("bucket", F.lit(1)), 60, page=10).collect()
     assert len(heads) == 60 and len({r.head for r in heads}) == 3 and all((r.head - r.uid) % 3 == 0 for r in heads)
 
@@ -227,6 +244,24 @@ def test_bounds_hold(vectors):
     assert (np.abs(u @ u.T - near) <= bound).all()
 
 
+def test_products_are_exact_at_any_dimension():
+    rng = np.random.default_rng(6)
+    a, b = rng.choice([-127, 127, 126], (5, 4096)), rng.choice([127, -126], (7, 4096))
+    assert (op2_vectors._product(a.astype(np.float32), b.astype(np.float32)) == a @ b.T).all()
+
+
+def test_joins_of_hot_keys_and_parts(spark):
+    left = spark.createDataFrame([(k if k % 3 else 7, k) for k in range(300)] + [(None, -1)], "k long, v long")
+    right = spark.createDataFrame([(k, k * 10, 100 if k == 7 else 1) for k in range(0, 300, 2)] + [(7, 70, 101)], "k long, w long, n long").where("k <> 7 OR n > 100")
+    got = sorted((r.k, r.v, r.w) for r in common.met(left, right, ["k"], "n", 300, 16).collect())
+    assert got == sorted((r.k, r.v, r.w) for r in left.join(right, "k").collect()) and len(got) > 200
+    hashed = left.select(F.xxhash64("v").alias("h"), "v")
+    sure, rest = common.parted(hashed, "h", hashed.where("v % 50 = 0").select("h"))
+    sure, rest = {r.v for r in sure.collect()}, {r.v for r in rest.collect()}
+    assert not sure & rest and len(sure | rest) == 301 and {0, 50, 100, 150, 200, 250} <= rest and len(rest) < 20
+    assert common.parted(hashed, "h", hashed.limit(0).select("h"))[1].count() == 0
+
+
 # 7
 
 
@@ -266,6 +301,16 @@ def test_similar(spark, nothing, monkeypatch):
     monkeypatch.setattr(op7_ngrams, "TILE", 2)  # groups are cut into tiles
     tiled = {r.doc_id: r.n_links for r in op7_ngrams.similar(docs(spark, texts)).collect()}
     assert tiled == {i: r.n_links for i, r in got.items()}
+    monkeypatch.setattr(op7_ngrams, "WIDE", 1)  # and candidate groups by their band buckets
+    bucketed = {r.doc_id: (r.n_links, r.component_id) for r in op7_ngrams.similar(docs(spark, texts)).collect()}
+    assert bucketed == {i: (r.n_links, r.component_id) for i, r in got.items()}
+
+
+def test_words_fold_beyond_ascii(spark):
+    base = "Ähnliche Straßen führen über Brücken, später „nach Süden“ und weiter – zurück"
+    texts = [base, base.upper().replace("STRASSEN", "STRAßEN"), base.replace(" ", "\u3000"), base.replace("–", "-"), "ganz andere Wörter als in allen Texten davor"]
+    got = {r.doc_id: r.component_id for r in op7_ngrams.similar(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
 
 
 def test_bands():
@@ -330,6 +375,49 @@ def test_deep_thread(spark):
     assert {(r.turn, r.depth, r.thread_turn) for r in got} == {(k, k, 0) for k in range(40)}
 
 
+def plain_links(rows):
+    """Plain linking: (conv, turn) to (linked passages, link scope, parent) for rows(conv, turn, text) of single-paragraph lines, quoted whole."""
+    norm = lambda x: re.sub(r"\\s+", " ", x).strip().lower()
+    first = {}
+    for conv, turn, text in sorted(rows):
+        for line in text.split("\n\n"):
+            if not line.startswith(">"):
+                first.setdefault(norm(line), []).append((conv, turn))
+    out = {}
+    for conv, turn, text in rows:
+        found = {}
+        for block in text.split("\n\n"):
+            if block.startswith("> "):
+                at = first.get(norm(block[2:]), [])
+                here = [x for x in at if x[0] == conv and x[1] < turn][:1]
+                away = [x for x in at if x[0] != conv][:1]
+                if here or away:
+                    found[norm(block[2:])] = (0, -here[0][1], here[0]) if here else (1, -away[0][1], away[0])
+        best = min(found.values(), default=None)
+        out[conv, turn] = (len(found), None if best is None else ("conversation", "corpus")[best[0]], best and best[2])
+    return out
+
+
+def test_quotes_equal_a_plain_version(spark):
+    rng = np.random.default_rng(12)
+    lines = [f"{rng.choice(WORDS)} {rng.choice(WORDS)} alpha{k}" for k in range(25)]
+    rows = []
+    for conv in range(12):
+        for turn in range(8):
+            said, told = rng.choice(lines, 2, replace=False), rng.choice(lines)
+            rows.append((conv, turn, f"> {said[0]}\n\n{told}" if rng.random() < 0.7 else str(told)))
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_linked, r.link_scope, r.n_linked and (r.parent_conv, r.parent_turn) or None) for r in op1_quotes.linked(df).collect()}
+    assert got == plain_links(rows)
+
+
+def test_very_long_message(spark):
+    text = "\n".join("" if k % 5 == 4 else ("> " if k % 3 == 0 else "") + f"line number {k}" for k in range(20_000))
+    rows = spark.createDataFrame([(1, 0, "u", text), (1, 1, "u", "> line number 7\nok")], "conv_id long, turn long, role string, text string")
+    got = {r.turn: r for r in op1_quotes.linked(rows).collect()}
+    assert got[0].n_quoted == 5334 and (got[1].n_linked, got[1].parent_turn) == (1, 0)
+
+
 # 4
 
 
@@ -350,17 +438,48 @@ def test_language_model(spark, nothing):
     assert op4_lm.scored(nothing).count() == 0
 
 
-def test_model_is_normalised():
-    log = op4_lm.log_bilinear(np.random.default_rng(0).poisson(3.0, (30, 30)).astype(float), dimension=8, steps=40)
-    assert np.allclose(np.exp(log).sum(1), 1)
+def test_scores_are_normalised_and_those_of_the_model(spark, monkeypatch):
+    """score equals a plain sum over tokens of the trained model's probabilities; those of all symbols after a context sum to one."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(WORDS, 30)) + f" rare{k}" for k in range(60)] + ["", None, "neverseen"]
+    monkeypatch.setattr(op4_lm, "OWN", 20)
+    kept, trained = [], op4_lm.trained
+    monkeypatch.setattr(op4_lm, "trained", lambda *a: kept.append(trained(*a)) or kept[-1])
+    got = {r.doc_id: r for r in op4_lm.scored(docs(spark, texts, [*range(62), None])).collect()}
+    (model,) = kept
+    lex = model.lexicon
+    size = len(lex.share)
+    assert size == lex.first[-1] == min(len(lex.n) - 1, max(20, lex.index[b""] + 1)) + op4_lm.TAILS
+    for context in ([lex.end, lex.end], [0, 3], [size - 1, 1]):
+        log = model.log_probabilities(np.tile(np.array([context], np.int32), (size, 1)), np.arange(size))
+        assert np.exp(log).sum() == pytest.approx(1, abs=1e-4)
+    counts = Counter(w for i, x in enumerate(texts[:62]) if zlib.crc32(str(i).encode()) % 7 != 2 for w in [*op4_lm.tokens(x or ""), b""])
+    counts.update([b"neverseen", b""])  # its id is null: it trains
+    tail = defaultdict(lambda: [0, 0])
+    own = {w for w, k in lex.index.items() if lex.symbol[k] not in lex.tail}
+    for w, n in counts.items():
+        if w not in own:
+            tail[op4_lm.suffix(w)][0] += n
+            tail[op4_lm.suffix(w)][1] += 1
+    for i in (0, 1, 5, 60, 61, None):
+        before, total = [lex.end, lex.end], 0.0
+        for w in [*op4_lm.tokens((texts[-1] if i is None else texts[i]) or ""), b""]:
+            sym = int(lex.symbol[lex.index[w]]) if w in own else int(lex.tail[op4_lm.suffix(w)])
+            h = np.append((model.r[before] * model.c).sum(0), 1)
+            g = lex.group[sym]
+            odds, inner = model.u @ h, model.q[lex.first[g] : lex.first[g + 1]] @ h
+            total += odds[g] - np.log(np.exp(odds).sum()) + inner[sym - lex.first[g]] - np.log(np.exp(inner).sum())
+            if w not in own:
+                n, v = tail[op4_lm.suffix(w)]
+                total += math.log((counts[w] + 1) / (n + v + 1))
+            before = [sym, before[0]]
+        assert got[i].score == pytest.approx(total / math.log(10), rel=1e-4, abs=1e-3)
 
 
 # 6
 
 
 def test_language(spark, nothing):
-    from pyspark.sql import functions as F
-
     de, en = "der die das und nicht sich mit auch schön über straße kleine häuser".split(), WORDS
     rng = np.random.default_rng(9)
     rows = [(k, " ".join(rng.choice(de if k % 2 else en, 40)), "de" if k % 2 else "en", f"h{k % 5}.example.{'de' if k % 2 else 'org'}") for k in range(200)]
@@ -375,8 +494,6 @@ def test_language(spark, nothing):
 
 def test_rare_and_many_languages(spark):
     """A language with a thousandth of the rows, 40 others, and codes that have no model."""
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(4)
     word = lambda a: "".join(rng.choice(list(a), 5))
     letters = [rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9, replace=False) for _ in range(41)]
@@ -397,9 +514,85 @@ def test_rare_and_many_languages(spark):
     assert (got["void"].lang, got["void"].kept) == ("zx", True)
 
 
+def test_posteriors_equal_a_plain_version(spark, monkeypatch):
+    """lang and prob of every row against plain sums over rows, with ties, repeated rows, empty hosts and texts."""
+    from math import exp, log
+
+    monkeypatch.setattr(op6_language, "TRIGRAMS", 10)
+    rng = np.random.default_rng(21)
+    de, en = "der die das und nicht sich mit auch schön".split(), WORDS[:20]
+    rows = [(k, " ".join(rng.choice(de if k % 3 == 0 else en, rng.integers(6, 20))), ["de", "en", None, "en-GB"][k % 4] if k % 3 else "de", ["a.x.org", "b.x.org", "", "c.de"][int(rng.integers(4))]) for k in range(60)]
+    rows = [r for r in rows if not (r[0] % 3 and r[2] == "de")] + [(900, "", "en", "a.x.org"), (901, None, None, "c.de"), (901, None, None, "c.de")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "k long, t string, d string, h string, each string")
+    got = Counter((r.k, r.lang, round(r.prob, 5)) for r in op6_language.identify(df, F.col("t"), F.col("d"), F.col("h"), ["k"]).collect())
+
+    def grams(text):
+        data = (text or "").encode()
+        return op6_language.trigrams(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist()
+
+    code = [re.match("[A-Za-z]*", d or "")[0][:3].lower() for _, _, d, _ in rows]
+    names = [c for c, n in sorted(Counter(c for c in code if c).items(), key=lambda x: (-x[1], x[0])) if n >= op6_language.ROWS]
+    counts = {c: Counter(g for r, x in zip(rows, code, strict=True) if x == c for g in grams(r[1])) for c in names}
+    each = []
+    for _, t, _, _ in rows:
+        each.append([sum(log((counts[c][g] + 0.5) / (sum(counts[c].values()) + 0.5 * op6_language.BUCKETS)) for g in grams(t)) / 3 for c in names])
+    soft = lambda x: [exp(v - max(x)) / sum(exp(w - max(x)) for w in x) for v in x]
+    votes = [soft(x) for x in each]
+    place = [0 if not c else names.index(c) + 1 for c in code]
+    said = [[sum(v[j] for v, p in zip(votes, place, strict=True) if p == d) + 0.5 for j in range(len(names))] for d in range(len(names) + 2)]
+    want = Counter()
+    for i, (k, _, _, h) in enumerate(rows):
+        level = lambda r, n: ".".join(r[3].split(".")[-n:])
+        prior = [(sum(v[j] for v in votes) + 20 / len(names)) / (len(rows) + 20) for j in range(len(names))]
+        for n in (1, 2):
+            own = [x for x, r in enumerate(rows) if level(r, n) == level(rows[i], n) and level(r, 1) == level(rows[i], 1)]
+            prior = [(sum(votes[x][j] for x in own) + 20 * prior[j]) / (len(own) + 20) for j in range(len(names))]
+        own = [x for x, r in enumerate(rows) if r[3] == h]
+        prior = [(max(sum(votes[x][j] for x in own) - votes[i][j], 0) + 20 * prior[j]) / (len(own) - 1 + 20) for j in range(len(names))]
+        q = soft([log(prior[j]) + each[i][j] + log(said[place[i]][j] / sum(s[j] for s in said)) for j in range(len(names))])
+        want[k, names[q.index(max(q))], round(max(q), 5)] += 1
+    assert {(k, c) for k, c, _ in got} == {(k, c) for k, c, _ in want}
+    assert sorted(p for *_, p in got.elements()) == pytest.approx(sorted(p for *_, p in want.elements()), abs=2e-5)
+
+
+def test_pages_and_documents_together(spark):
+    html = '<html lang="de"><head><style>p {}</style><script>var x = "the of";</script></head><body><nav>menu</nav><p>Der&nbsp;Text <b>hier</b></p><!-- the --><footer>foot</footer></body></html>'
+    page = spark.createDataFrame([(1, "http://user@www.Example.de:80/a?b", html), (2, None, None)], "page_id long, url string, html string")
+    assert page.select(op6_language.page_text(F.col("html")).alias("t")).first().t.split() == ["Der", "Text", "hier"]
+    found = op6_language.languages_of(docs(spark, ["some text", None]), page).collect()
+    assert {(r.doc_id, r.page_id) for r in found} == {(0, None), (1, None), (None, 1), (None, 2)}
+    assert [(r.declared, r.host) for r in found if r.page_id == 1] == [("de", "www.example.de")] and [(r.declared, r.host) for r in found if r.page_id == 2] == [(None, None)]
+
+
 # 9
 
 
+def test_label_model_finds_accuracies_and_dependence(spark):
+    rng = np.random.default_rng(5)
+    n = 20_000
+    y = rng.random(n) < 0.2
+    votes = np.column_stack([np.where(y, rng.random(n) < a, rng.random(n) < b) for a, b in ((0.8, 0.02), (0.6, 0.1), (0.5, 0.05), (0.7, 0.2))])
+    votes = np.column_stack([votes, np.where(rng.random(n) < 0.95, votes[:, 1], ~votes[:, 1])])  # a voter that copies another
+    label = np.where(rng.random(n) < 0.1, np.where(y, 1, 0), 2)
+    counts = Counter((tuple(np.flatnonzero(v).tolist()), int(z)) for v, z in zip(votes, label, strict=True))
+    keys = {k for k, _ in counts}
+    df = spark.createDataFrame([(list(k), counts[k, 0], counts[k, 1], counts[k, 2]) for k in keys], "votes array<int>, n0 long, n1 long, n long")
+    model = op9_toxicity.label_model(df, 5)
+    assert model.parent[4] == 1 or model.parent[1] == 4
+    assert model.given[1, 0].max() == pytest.approx(0.8, abs=0.08) and model.prior[1] == pytest.approx(0.2, abs=0.05)
+    q = model.posterior(votes.astype(np.float32))[:, 2]
+    assert ((q >= 0.5) == y).mean() > 0.9
+
+
+def test_fit_is_that_of_plain_newton_steps():
+    rng = np.random.default_rng(3)
+    x = rng.random((200, 6)) < 0.3
+    target, weight = rng.random(200), rng.random(200)
+    w = op9_toxicity.fitted([np.flatnonzero(r) for r in x], 6, target, weight)
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    assert np.abs(np.append(x.T @ (weight * (p - target)) + 0.1 * w[:-1], (weight * (p - target)).sum())).max() < 1e-3
+
+
 def test_toxicity(spark, nothing):
     rng = np.random.default_rng(11)
     texts, labels = [], []
@@ -433,6 +626,11 @@ def test_pipeline(spark):
         after = stage(spark, before, SMALL)
         assert after.columns == before.columns
         rows, left = before.collect(), {r.doc_id for r in after.collect()}
+        if name == "toxicity":
+            assert left == {r.doc_id for r in op9_toxicity.toxicity(before, table(spark, SMALL, "labels")).collect() if r.score < 0.5} and len(left) < len(rows)
+        if name == "language":
+            judged = op6_language.identify(before, F.col("text"), F.col("lang"), F.col("source"), ["doc_id"])
+            assert left == {r.doc_id for r in judged.collect() if r.kept}
         if name == "exact":
             first = {}
             for r in sorted(rows, key=lambda r: r.doc_id):
@@ -457,3 +655,12 @@ def test_pipeline(spark):
     n, least = check_packing(out, {r.doc_id: r.text for r in before.collect()})
     assert n <= 1.02 * least + 1
     assert json.dumps([k for k, _ in corpus_pipeline.STAGES])
+
+
+def test_pipeline_of_an_empty_table(spark, nothing):
+    import corpus_pipeline
+
+    docs_ = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        docs_ = stage(spark, docs_, SMALL)
+        assert docs_.count() == 0
