@@ -1,6 +1,8 @@
 """The corpus pipeline: filters, deduplicates and packs the documents of a folder, stage by stage.
 
 Each stage takes (spark, docs, folder) and gives a DataFrame that is written as Parquet and read again as the next stage's docs.
+All stages but the last give the columns of docs. Null texts count as empty; rows with null ids are judged as all others; of rows that tie
+(equal texts, equal ids) the stages for copies say which one stays; other columns, of any name, are carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("language", language), ("exact", exact), ("near", near), ("packing", packing)]
 
-#: The classifier's and the language model's decisions are not SQL; tests compare each stage with a brute-force version.
+#: The classifier's and the language model's decisions are not SQL. Tests compare the stages for copies and packing with brute force, and
+#: the first two with what their operators say of each row, whose posteriors are compared with plain versions.
 ORACLE_SQL = None
 
 
