@@ -269,8 +269,9 @@ def _training(lexicon: Broadcast, folds: int, fold: int, size: int = 4096):
                     symbol = lexicon.value.symbols(words)[1]
                     contexts = lexicon.value.contexts(symbol, np.append(0, ends[:-1]))
                     order = trainer.rng.permutation(len(symbol))
-                    for k in range(0, len(order), size):
-                        trainer.batch(contexts[order[k : k + size]], symbol[order[k : k + size]])
+                    step = max(32, min(size, len(order) // 64))  # a short run of texts gets smaller batches, so some dozens of them
+                    for k in range(0, len(order), step):
+                        trainer.batch(contexts[order[k : k + step]], symbol[order[k : k + step]])
         for name, values in model.arrays().items():
             uses = np.sqrt(trainer.touched[name])
             move = np.column_stack([uses[:, None] * (values - start.arrays()[name]), uses]).astype(np.float32)
