@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -115,3 +115,31 @@ def snapshot_diff(before: DataFrame, after: DataFrame, path: str, content: str)
     for k in kinds[1:]:
         out = out.union(k)
     return out
+
+
+def uncovered(runs: DataFrame, key: str, begin: str, end: str, start: object, stop: object, matching: Column, lossy: Column, clean: Column) -> DataFrame:
+    """(key, uncovered_from, uncovered_to): what of [start, stop) the runs of a key don't cover, as separate intervals in order.
+
+    A matching run that isn't lossy covers from its begin to its end; any other poisons that span. From a run's end to the next begin of
+    another run a clean one covers and an unclean one poisons, without a next run for ever. Poison wins over cover. A run of no length
+    looks only for runs behind it in order. Keys without runs aren't there. Sorting is within a key, by windows; nothing is paired.
+    """
+    own = Window.partitionBy("_k")
+    kind = runs.schema[begin].dataType
+    low, high = F.lit(start).cast(kind), F.lit(stop).cast(kind)
+    r = runs.select(F.col(key).alias("_k"), F.col(begin).alias("b"), F.col(end).alias("e"), F.coalesce(matching & ~lossy, F.lit(False)).alias("good"), F.coalesce(clean, F.lit(False)).alias("clean"))
+    turn = F.when(F.col("b") < F.col("e"), 0).otherwise(2)
+    points = r.select("_k", F.explode(F.array(F.struct(F.col("b").alias("t"), F.lit(1).alias("turn"), F.col("b").alias("begins")), F.struct(F.col("e").alias("t"), turn.alias("turn"), F.lit(None).cast(kind).alias("begins")))).alias("p"), "b", "e", "good", "clean")
+    behind = own.orderBy("p.t", "p.turn", "b", "e").rowsBetween(1, Window.unboundedFollowing)
+    ended = points.withColumn("next", F.min("p.begins").over(behind)).where("p.begins IS NULL")
+    span = lambda a, b, covers: F.struct(a.alias("a"), b.alias("b"), covers.alias("covers"))
+    rest = F.when(~F.col("clean"), span(F.col("e"), F.coalesce("next", high), F.lit(False))).when(F.col("next").isNotNull(), span(F.col("e"), F.col("next"), F.lit(True)))
+    spans = ended.select("_k", F.explode(F.array(span(F.col("b"), F.col("e"), F.col("good")), rest)).alias("s")).where("s IS NOT NULL")
+    cut = spans.select("_k", F.greatest("s.a", low).alias("a"), F.least("s.b", high).alias("b"), F.col("s.covers").alias("covers")).where("a < b")
+    all_ = cut.unionByName(r.select("_k").distinct().select("_k", low.alias("a"), high.alias("b"), F.lit(None).cast("boolean").alias("covers")).where("a < b"))
+    sign = lambda t, n: F.struct(t.alias("t"), F.when(F.col("covers"), n).otherwise(0).alias("cover"), F.when(~F.col("covers"), n).otherwise(0).alias("poison"))
+    moves = all_.select("_k", F.explode(F.array(sign(F.col("a"), 1), sign(F.col("b"), -1))).alias("m")).groupBy("_k", F.col("m.t").alias("t")).agg(F.sum("m.cover").alias("cover"), F.sum("m.poison").alias("poison"))
+    upto = own.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    bad = (F.sum("cover").over(upto) <= 0) | (F.sum("poison").over(upto) > 0)
+    pieces = moves.withColumns({"bad": bad, "until": F.lead("t").over(own.orderBy("t"))}).where("bad AND until IS NOT NULL")
+    return merged(pieces.select(F.col("_k").alias(key), "t", "until"), key, "t", "until").select(key, F.col("covered_from").alias("uncovered_from"), F.col("covered_to").alias("uncovered_to"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,58 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def hubs(edges: DataFrame, n: int = 5) -> DataFrame:
     """The n nodes that most sources link to."""
     return backlinks(edges).orderBy(F.desc("incoming"), "node").limit(n)
+
+
+def joined_path(base: Column, name: Column) -> Column:
+    """base/name with . and .. worked out; what climbs above the root keeps its .. segments."""
+    parts = F.filter(F.split(F.concat_ws("/", F.nullif(base, F.lit("")), name), "/"), lambda s: (s != "") & (s != "."))
+
+    def step(path: Column, s: Column) -> Column:
+        up = (s == "..") & F.coalesce(F.try_element_at(path, F.lit(-1)) != "..", F.lit(False))
+        return F.when(up, F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0)))).otherwise(F.concat(path, F.array(s)))
+
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def _key(kind: str, *parts: Column) -> Column:
+    return F.concat_ws("\u0000", F.lit(kind), *parts)
+
+
+def resolved_by_all_rules(edges: DataFrame, notes: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """edges(source, target, ...) of paths and raw targets with dst, the id of the note meant in notes(id, path), or null.
+
+    In order: the path (targets with a slash or .md; ./ and ../ begin at the source's folder), the source's folder, the stem, the same
+    three in any case, an alias of aliases(id, alias) in any case. Of several notes: the one in the source's folder, fewest segments,
+    shortest path, alphabetical. Case is folded by lower(). Null and empty targets have null; of equal paths the least id counts.
+
+    Every note gives a few keys, every different (folder, target) its attempts in order: one join of keys and one grouping, however
+    many rules there are, and links that repeat are resolved once.
+    """
+    at = notes.where("path IS NOT NULL").groupBy("path").agg(F.min("id").alias("nid"))
+    folder, stem = F.regexp_extract("path", r"^(.*)/", 1), F.regexp_replace(F.regexp_extract("path", r"([^/]*)$", 1), r"\.md$", "")
+    at = at.withColumns({"folder": folder, "stem": stem})
+    named = at.select("nid", "path", "folder", F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in (("s", F.col("stem")), ("P", F.lower("path")), ("S", F.lower("stem")))]).alias("names"))
+    keys = named.select("nid", "path", "folder", F.explode("names").alias("n")).select("nid", "path", "folder", F.col("n.k").alias("k"), F.col("n.v").alias("v"))
+    if aliases is not None:
+        called = aliases.where("alias IS NOT NULL").select(F.col("id").alias("nid"), F.lower(F.trim("alias")).alias("v"))
+        keys = keys.unionByName(called.join(at, "nid").select("nid", "path", "folder", F.lit("a").alias("k"), "v"))
+    rank = F.struct(F.size(F.split("path", "/")), F.length("path"), "path")
+    both = keys.select("nid", rank.alias("rank"), F.explode(F.array(F.concat_ws("\u0000", "k", "v"), F.concat_ws("\u0000", "k", "v", "folder"))).alias("key"))
+    lookup = both.groupBy("key").agg(F.min_by("nid", "rank").alias("nid")).union(at.select(_key("p", F.col("path")), "nid"))
+
+    name = F.trim(F.coalesce("target", F.lit("")))
+    asked = edges.withColumns({"_folder": F.regexp_extract(F.coalesce("source", F.lit("")), r"^(.*)/", 1), "_name": name})
+    one = asked.select("_folder", "_name").distinct().where("_name <> ''").withColumn("bare", F.regexp_replace("_name", r"\.md$", ""))
+    styled = F.col("bare").contains("/") | F.col("_name").endswith(".md")
+    one = one.withColumn("full", F.when(styled & F.col("bare").rlike(r"^\.\.?/"), joined_path(F.col("_folder"), F.col("bare"))).otherwise(F.col("bare")))
+    near = lambda kind, v: [_key(kind, v, F.col("_folder")), _key(kind, v)]
+    local = F.concat(F.col("_folder"), F.lit("/"), F.col("bare"), F.lit(".md"))
+    base = F.regexp_extract("bare", r"([^/]*)$", 1)
+    inside = F.col("_folder") != ""
+    file = F.concat(F.col("full"), F.lit(".md"))
+    tries = [F.when(styled, _key("p", file)), F.when(styled, _key("p", F.col("full"))), F.when(inside, _key("p", local)), *near("s", base)]
+    tries += [F.when(styled, k) for v in (file, F.col("full")) for k in near("P", F.lower(v))] + [F.when(inside, k) for k in near("P", F.lower(local))]
+    tries += near("S", F.lower(base)) + near("a", F.lower("bare")) + near("a", F.lower("_name"))
+    tried = one.select("_folder", "_name", F.posexplode(F.array(*tries)).alias("turn", "key")).where("key IS NOT NULL")
+    meant = tried.join(lookup, "key").groupBy("_folder", "_name").agg(F.min_by("nid", "turn").alias("dst"))
+    return asked.join(meant, ["_folder", "_name"], "left").drop("_folder", "_name")

@@ -59,28 +59,15 @@ def agenda(tasks: DataFrame, due: str, scheduled: str, day: str, days: int, orde
     return rows.withColumn("place", rank).where(F.col("place") <= cap), totals
 
 
-def next_date(anchor: Column, unit: Column, every: Column) -> Column:
-    """The next date of a rule 'every n days, weeks, months or years' from an anchor; months and years clamp to the month's end."""
-    return (
-        F.when(unit == "day", F.date_add(anchor, every.cast("int")))
-        .when(unit == "week", F.date_add(anchor, (every * 7).cast("int")))
-        .when(unit == "month", F.add_months(anchor, every.cast("int")))
-        .when(unit == "year", F.add_months(anchor, (every * 12).cast("int")))
-    )
-
+def next_occurrence(rule: Column, due: Column, scheduled: Column, start: Column, done: Column | None = None, strict: bool = False) -> Column:
+    """The dates of the next occurrence: the first of due, scheduled, start moves by the rule and the others by as many days.
 
-def parse_rule(text: Column) -> tuple[Column, Column]:
-    """(unit, number) of 'every day', 'every 3 weeks', 'every weekday'-free rules; null where it isn't one."""
-    rule = r"(?i)^\s*every\s+(?:([1-9][0-9]{0,3})\s+)?(day|week|month|year)s?\s*$"
-    unit = F.nullif(F.lower(F.regexp_extract(text, rule, 2)), F.lit(""))
-    return unit, F.when(unit.isNotNull(), F.coalesce(F.nullif(F.regexp_extract(text, rule, 1), F.lit("")).cast("int"), F.lit(1)))
-
-
-def next_occurrence(rule: Column, due: Column, scheduled: Column, start: Column) -> Column:
-    """The dates of the next occurrence: the first of due, scheduled, start moves by the rule and the others by as many days."""
-    unit, n = parse_rule(rule)
+    A rule 'when done' counts from the day `done`, and without one from the date that moves.
+    """
+    parsed = recurrence(rule, strict)
     anchor = F.coalesce(due, scheduled, start)
-    shift = F.datediff(next_date(anchor, unit, n), anchor)
+    begin = anchor if done is None else F.when(parsed["when_done"], F.coalesce(done, anchor)).otherwise(anchor)
+    shift = F.datediff(next_by_rule(parsed, begin, strict), anchor)
     move = lambda d: F.when(shift.isNotNull() & d.isNotNull(), F.date_add(d, shift))
     return F.struct(move(due).alias("due"), move(scheduled).alias("scheduled"), move(start).alias("start"))
 
@@ -95,3 +82,91 @@ def similar_descriptions(left: DataFrame, right: DataFrame, threshold: float = 0
     met = l.select("a", "na", F.explode("t").alias("w")).join(r.select("b", "nb", F.explode("t").alias("w")), "w").groupBy("a", "b").agg(F.count("*").alias("s"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     out = met.withColumns({"containment": F.col("s") / F.least("na", "nb"), "jaccard": F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))})
     return out.where(F.greatest("containment", "jaccard") >= threshold).select("a", "b", "containment", "jaccard")
+
+
+#: The signs of a task line's fields and priorities, and the names in recurrence rules.
+DATE_SIGNS = {"due": "📅📆🗓", "scheduled": "⏳⌛", "start": "🛫", "created": "➕", "done": "✅", "cancelled": "❌"}
+PRIORITY_SIGNS = {"🔺": "highest", "⏫": "high", "🔼": "medium", "🔽": "low", "⏬": "lowest"}
+REPEAT_SIGN, OTHER_SIGNS = "🔁", "🏁🆔⛔"
+WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+MONTH_DAYS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+
+
+def fields(text: Column) -> Column:
+    """The fields of a task line: six dates, priority, recurrence rule, tags.
+
+    Of a field that comes several times the last counts; a last one without a valid date has none. A rule ends at the next sign or tag.
+    """
+    last = lambda pattern: F.nullif(F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), 1), F.lit(-1)), F.lit(""))
+    dates = [F.try_to_date(last(f"[{signs}]️?\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}})?"), "yyyy-MM-dd").alias(name) for name, signs in DATE_SIGNS.items()]
+    signs = "".join([*DATE_SIGNS.values(), *PRIORITY_SIGNS, REPEAT_SIGN, OTHER_SIGNS])
+    rank = F.create_map(*[F.lit(x) for pair in PRIORITY_SIGNS.items() for x in pair])
+    tags = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|(?<=[\s(,;]))#([\p{L}\p{N}_/\-]+)"), 1))
+    rule = F.nullif(F.trim(last(f"{REPEAT_SIGN}️?([^{signs}#]*)")), F.lit(""))
+    return F.struct(*dates, F.try_element_at(rank, last(f"([{''.join(PRIORITY_SIGNS)}])")).alias("priority"), rule.alias("recurrence"), tags.alias("tags"))
+
+
+def recurrence(text: Column, strict: bool = True) -> Column:
+    """A rule as struct(kind, n, days, month, when_done), null where it is none of: every [n] days, weeks, months or years, every weekday,
+    every [week on] names of weekdays, every month on the nth or the last, every month's name on the nth; each may end in 'when done'.
+
+    n is the number of units or the day; days count from 0 for Monday. Ordinals need their right suffix, weekdays may not repeat, and a
+    day of a named month must be one that it has every year. n is 2 to 999; when not strict 1 to 9999, with or without an s at the unit.
+    """
+    clean = F.trim(text)
+    ends = r"(?i)(?<=.) when done\z"
+    body = F.lower(F.trim(F.regexp_replace(clean, ends, "")))
+    got = lambda pattern, group=1: F.nullif(F.regexp_extract(body, rf"^every +{pattern}\z", group), F.lit(""))
+    is_ = lambda pattern: body.rlike(rf"^every +{pattern}\z")
+    number, ordinal, name = "([2-9]|[1-9][0-9]{1,2})", "([1-9]|[12][0-9]|3[01])(st|nd|rd|th)", f"(?:{'|'.join(WEEKDAYS)})"
+    month_name = f"({'|'.join(MONTHS)})"
+    rule = lambda kind, n, days=None, month=None: F.struct(
+        F.lit(kind).alias("kind"), n.cast("int").alias("n"), (F.array().cast("array<int>") if days is None else days).alias("days"),
+        F.lit(month).cast("int").alias("month") if month is None else month.alias("month"), clean.rlike(ends).alias("when_done"))
+    right = lambda k, suffix: suffix == F.when((k % 100).between(11, 13), "th").when(k % 10 == 1, "st").when(k % 10 == 2, "nd").when(k % 10 == 3, "rd").otherwise("th")
+    out = F.when(~clean.rlike(r"^[a-zA-Z0-9, !]+\z"), None)
+    for unit in ("day", "week", "month", "year"):
+        many = f"{number} +{unit}s" if strict else f"([1-9][0-9]{{0,3}}) +{unit}s?"
+        out = out.when(is_(unit if strict else f"{unit}s?"), rule(unit, F.lit(1))).when(is_(many), rule(unit, got(many)))
+    listed = rf"(?:week +on +)?({name}(?:, *{name})*)"
+    days = F.transform(F.split(got(listed), ", *"), lambda d: F.array_position(F.array(*[F.lit(x) for x in WEEKDAYS]), d).cast("int") - 1)
+    day, named = f"month +on +the +{ordinal}", f"{month_name} +on +the +{ordinal}"
+    k = got(day).cast("int")
+    month = F.array_position(F.array(*[F.lit(x) for x in MONTHS]), got(named)).cast("int")
+    nth = got(named, 2).cast("int")
+    return (
+        out.when(is_("weekday"), rule("weekday", F.lit(1)))
+        .when(is_(listed) & (F.size(F.array_distinct(days)) == F.size(days)), rule("week_on", F.lit(1), days))
+        .when(is_("month +on +the +last"), rule("month_last", F.lit(1)))
+        .when(is_(day) & right(k, got(day, 2)), rule("month_on", k))
+        .when(is_(named) & right(nth, got(named, 3)) & (nth <= F.try_element_at(F.array(*[F.lit(x) for x in MONTH_DAYS]), month)), rule("year_on", nth, None, month))
+    )
+
+
+def next_by_rule(rule: Column, anchor: Column, strict: bool = True) -> Column:
+    """The first date after an anchor by a rule of `recurrence`. Months clamp to their end; yearly from February 29 there is none, or when not strict the 28th."""
+    kind, n = rule["kind"], rule["n"]
+    today = F.weekday(anchor)
+    first = F.trunc(anchor, "month")
+    ahead = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.add_months(first, i))
+    holds = F.filter(F.transform(ahead, lambda m: F.when(F.day(F.last_day(m)) >= n, F.date_add(m, n - 1))), lambda d: d > anchor)
+    own = F.add_months(F.trunc(anchor, "year"), rule["month"] - 1)
+    named = F.date_add(own, n - 1)
+    later = F.date_add(F.add_months(own, 12), n - 1)
+    return (
+        F.when(kind == "day", F.date_add(anchor, n)).when(kind == "week", F.date_add(anchor, n * 7)).when(kind == "month", F.add_months(anchor, n))
+        .when((kind == "year") & (~((F.month(anchor) == 2) & (F.day(anchor) == 29)) | F.lit(not strict)), F.add_months(anchor, n * 12))
+        .when(kind == "weekday", F.date_add(anchor, F.when(today == 4, 3).when(today == 5, 2).otherwise(1)))
+        .when(kind == "week_on", F.date_add(anchor, F.array_min(F.transform(rule["days"], lambda d: F.pmod(d - today - 1, F.lit(7)) + 1))))
+        .when(kind == "month_last", F.when(F.last_day(anchor) > anchor, F.last_day(anchor)).otherwise(F.last_day(F.add_months(first, 1))))
+        .when(kind == "month_on", F.array_min(holds))
+        .when(kind == "year_on", F.when(named > anchor, named).otherwise(later))
+    )
+
+
+def similarity_terms(text: Column, n: int = 8) -> Column:
+    """The n longest different words of a text, in lower case; of equal length the alphabetically first."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    ordered = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w"))))
+    return F.transform(F.slice(ordered, 1, n), lambda x: x["w"])
