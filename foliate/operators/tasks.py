@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +70,7 @@ def next_occurrence(rule: Column, due: Column, scheduled: Column, start: Column,
     anchor = F.coalesce(due, scheduled, start)
     begin = anchor if done is None else F.when(parsed["when_done"], F.coalesce(done, anchor)).otherwise(anchor)
     shift = F.datediff(next_by_rule(parsed, begin, strict), anchor)
-    move = lambda d: F.when(shift.isNotNull() & d.isNotNull(), F.date_add(d, shift))
-    return F.struct(move(due).alias("due"), move(scheduled).alias("scheduled"), move(start).alias("start"))
+    return once(shift, lambda days: F.struct(*[F.date_add(d, days).alias(name) for name, d in (("due", due), ("scheduled", scheduled), ("start", start))]))
 
 
 def similar_descriptions(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -107,6 +108,11 @@ def fields(text: Column) -> Column:
     return F.struct(*dates, F.try_element_at(rank, last(f"([{''.join(PRIORITY_SIGNS)}])")).alias("priority"), rule.alias("recurrence"), tags.alias("tags"))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often `use` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def recurrence(text: Column, strict: bool = True) -> Column:
     """A rule as struct(kind, n, days, month, when_done), null where it is none of: every [n] days, weeks, months or years, every weekday,
     every [week on] names of weekdays, every month on the nth or the last, every month's name on the nth; each may end in 'when done'.
@@ -114,18 +120,22 @@ def recurrence(text: Column, strict: bool = True) -> Column:
     n is the number of units or the day; days count from 0 for Monday. Ordinals need their right suffix, weekdays may not repeat, and a
     day of a named month must be one that it has every year. n is 2 to 999; when not strict 1 to 9999, with or without an s at the unit.
     """
-    clean = F.trim(text)
     ends = r"(?i)(?<=.) when done\z"
-    body = F.lower(F.trim(F.regexp_replace(clean, ends, "")))
+    clean = F.trim(text)
+    known = F.when(clean.rlike(r"^[a-zA-Z0-9, !]+\z"), F.struct(F.lower(F.trim(F.regexp_replace(clean, ends, ""))).alias("body"), clean.rlike(ends).alias("when_done")))
+    return once(known, lambda x: _rule(x["body"], x["when_done"], strict))
+
+
+def _rule(body: Column, when_done: Column, strict: bool) -> Column:
     got = lambda pattern, group=1: F.nullif(F.regexp_extract(body, rf"^every +{pattern}\z", group), F.lit(""))
     is_ = lambda pattern: body.rlike(rf"^every +{pattern}\z")
     number, ordinal, name = "([2-9]|[1-9][0-9]{1,2})", "([1-9]|[12][0-9]|3[01])(st|nd|rd|th)", f"(?:{'|'.join(WEEKDAYS)})"
     month_name = f"({'|'.join(MONTHS)})"
     rule = lambda kind, n, days=None, month=None: F.struct(
         F.lit(kind).alias("kind"), n.cast("int").alias("n"), (F.array().cast("array<int>") if days is None else days).alias("days"),
-        F.lit(month).cast("int").alias("month") if month is None else month.alias("month"), clean.rlike(ends).alias("when_done"))
+        F.lit(month).cast("int").alias("month") if month is None else month.alias("month"), when_done.alias("when_done"))
     right = lambda k, suffix: suffix == F.when((k % 100).between(11, 13), "th").when(k % 10 == 1, "st").when(k % 10 == 2, "nd").when(k % 10 == 3, "rd").otherwise("th")
-    out = F.when(~clean.rlike(r"^[a-zA-Z0-9, !]+\z"), None)
+    out = F.when(body.isNull(), None)
     for unit in ("day", "week", "month", "year"):
         many = f"{number} +{unit}s" if strict else f"([1-9][0-9]{{0,3}}) +{unit}s?"
         out = out.when(is_(unit if strict else f"{unit}s?"), rule(unit, F.lit(1))).when(is_(many), rule(unit, got(many)))
@@ -146,6 +156,10 @@ def recurrence(text: Column, strict: bool = True) -> Column:
 
 def next_by_rule(rule: Column, anchor: Column, strict: bool = True) -> Column:
     """The first date after an anchor by a rule of `recurrence`. Months clamp to their end; yearly from February 29 there is none, or when not strict the 28th."""
+    return once(F.struct(rule.alias("rule"), anchor.alias("day")), lambda x: _next(x["rule"], x["day"], strict))
+
+
+def _next(rule: Column, anchor: Column, strict: bool) -> Column:
     kind, n = rule["kind"], rule["n"]
     today = F.weekday(anchor)
     first = F.trunc(anchor, "month")
