@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from foliate.jobs import backlog_queries, graph_queries, note_queries, ranking_queries, search_queries, table_queries, time_queries  # noqa: F401
+    from foliate.jobs import backlog_queries, graph_queries, history_queries, note_queries, ranking_queries, search_queries, table_queries, time_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
