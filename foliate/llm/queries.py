@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliate.llm import op1_quotes, op2_vectors, op3_tokens, op4_lm, op5_exact, op6_language, op7_ngrams, op8_packing, op9_toxicity, op10_codec
+from foliate.llm import op1_quotes, op2_vectors, op3_tokens, op4_lm, op5_exact, op6_language, op7_ngrams, op8_packing, op9_toxicity, op10_codec, op11_trie, op12_divergence, op13_mix
 from foliate.session import table
 
 _VECTORS_SQL = """
@@ -58,6 +58,73 @@ FROM documents LEFT JOIN class USING (doc_id) LEFT JOIN n ON n.a = class.c LEFT
 """
 
 
+_TRIE_SQL = """
+WITH RECURSIVE turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || '|' || coalesce(text, ''))) AS pos,
+         md5(coalesce(role, '')) || md5(coalesce(text, '')) AS d, length(coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc(conv_id, digits, k, c) AS (
+  SELECT DISTINCT conv_id, conv_id::VARCHAR, 0, 4294967295::BIGINT FROM turns
+  UNION ALL
+  SELECT conv_id, digits, k + 1, xor(z >> 1, CASE WHEN z & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END)
+  FROM (SELECT *, CASE WHEN k % 8 = 0 THEN xor(c, ascii(substr(digits, k // 8 + 1, 1))::BIGINT) ELSE c END AS z FROM crc WHERE k < 8 * length(digits))
+), opening AS (
+  SELECT conv_id, xor(c, 4294967295::BIGINT) % 6 AS h, conv_id - conv_id % 100 AS base FROM crc WHERE k = 8 * length(digits)
+), built AS (
+  SELECT o.conv_id, t.pos, t.d, t.n FROM opening o JOIN turns t ON t.conv_id = o.base AND t.pos <= o.h
+  UNION ALL
+  SELECT o.conv_id, t.pos, t.d, t.n FROM opening o JOIN turns t ON t.conv_id = o.conv_id AND t.pos > o.h
+), path AS (
+  SELECT o.conv_id, coalesce(list(b.d ORDER BY b.pos) FILTER (b.d IS NOT NULL), []) AS p, coalesce(list(b.n ORDER BY b.pos) FILTER (b.d IS NOT NULL), []) AS s
+  FROM opening o LEFT JOIN built b USING (conv_id) GROUP BY o.conv_id
+), member AS (
+  SELECT conv_id, d, md5(array_to_string(p[1:d], ' ')) AS node, CASE WHEN d > 0 THEN md5(array_to_string(p[1:d - 1], ' ')) END AS over,
+         CASE WHEN d > 0 THEN s[d] ELSE 0 END AS n, d = len(p) AS ends
+  FROM (SELECT *, unnest(range(0, len(p) + 1)) AS d FROM path)
+), node AS (
+  SELECT d AS depth, node, any_value(over) AS over, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM member GROUP BY d, node
+), kids AS (SELECT depth - 1 AS depth, over AS node, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL
+), full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (depth, node)
+), up AS (
+  SELECT depth AS at_depth, node AS at_node, depth, node, over, saved, n_children FROM full_node
+  UNION ALL
+  SELECT up.at_depth - 1, up.over_at, up.depth, up.node, up.over, up.saved, up.n_children
+  FROM (SELECT u.*, f.over AS over_at FROM up u JOIN full_node f ON f.depth = u.at_depth AND f.node = u.at_node) up WHERE up.at_depth > 0
+), sums AS (SELECT at_depth AS depth, at_node AS node, sum(saved)::BIGINT AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM up GROUP BY ALL)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+FROM full_node f JOIN sums s USING (depth, node) LEFT JOIN full_node p ON p.depth = f.depth - 1 AND p.node = f.over
+"""
+
+_DIVERGENCE_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), word AS (SELECT id, lang, source, unnest(ws) AS term FROM doc
+), kept AS (SELECT lang, term, count(*) AS n FROM word GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), lang AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang
+), grp AS (SELECT DISTINCT lang, source FROM doc
+), c AS (SELECT lang, source, term, count(*) AS c FROM word GROUP BY ALL
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, k.n AS lang_c FROM grp g JOIN kept k USING (lang) LEFT JOIN c USING (lang, source, term)
+), total AS (SELECT lang, source, sum(c) AS n FROM dense GROUP BY ALL
+), p AS (
+  SELECT d.lang, d.source, d.term, d.c, 1 + 1000000000::HUGEINT * (d.c + 2) // (t.n + 2 * l.v) AS p, 1 + 1000000000::HUGEINT * (d.lang_c + 2) // (l.n + 2 * l.v) AS q
+  FROM dense d JOIN total t USING (lang, source) JOIN lang l USING (lang)
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM grp g JOIN grp o ON g.lang = o.lang AND g.source <> o.source LEFT JOIN f ON f.lang = g.lang AND f.source = g.source AND f.item = o.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     documents = lambda f: lambda spark, folder: f(table(spark, folder, "documents"))
     return {
@@ -71,8 +138,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": documents(op8_packing.packed),
         "op9_toxicity": lambda spark, folder: op9_toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels")),
         "op10_codec": documents(op10_codec.codec_digests),
+        "op11_trie": lambda spark, folder: op11_trie.nodes(table(spark, folder, "conversations")),
+        "op12_divergence": documents(op12_divergence.divergences),
+        "op13_mix": documents(op13_mix.mix),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_vectors": _VECTORS_SQL, "op5_exact": _EXACT_SQL, "op7_ngrams": _NGRAMS_SQL}
+    return {"op2_vectors": _VECTORS_SQL, "op5_exact": _EXACT_SQL, "op7_ngrams": _NGRAMS_SQL, "op11_trie": _TRIE_SQL, "op12_divergence": _DIVERGENCE_SQL}
