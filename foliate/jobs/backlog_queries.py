@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliate.functions import text
-from foliate.jobs.registry import query
-from foliate.operators import backlog, evaluation, filters, search, vectors
+from foliate.jobs.registry import indexed, query
+from foliate.operators import backlog, evaluation, filters, search, textindex, vectors
 from foliate.session import table
 
 
@@ -46,8 +46,8 @@ def upsert(spark, folder):
 
 
 def _log(spark, folder):
-    """Orders as searches whose result list holds their first parts; open orders have no owner."""
-    lines = table(spark, folder, "lineitem").where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_json(F.sort_array(F.collect_list(F.col("l_partkey").cast("string")))).alias("result_paths"))
+    """Orders as searches whose result list holds their parts; open orders have no owner."""
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_json(F.sort_array(F.collect_list(F.col("l_partkey").cast("string")))).alias("result_paths"))
     return table(spark, folder, "orders").join(lines, "o_orderkey").select(F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")).alias("owner"), "result_paths")
 
 
@@ -55,7 +55,7 @@ def _notes(spark, folder):
     return table(spark, folder, "part").select(F.when(F.col("p_size") > 10, "F").alias("owner"), F.col("p_partkey").cast("string").alias("path"))
 
 
-_LOG = """WITH log AS (SELECT DISTINCT CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS owner, o_orderkey, l_partkey::VARCHAR AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 2),
+_LOG = """WITH log AS (SELECT DISTINCT CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END AS owner, o_orderkey, l_partkey::VARCHAR AS path FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 named AS (SELECT owner, path, count(*) AS times FROM log GROUP BY owner, path),
 notes AS (SELECT CASE WHEN p_size > 10 THEN 'F' END AS owner, p_partkey::VARCHAR AS path FROM part)"""
 
@@ -126,7 +126,7 @@ m AS (SELECT id, (contains(d, ' license ') OR contains(d, ' copyright '))::INT +
 SELECT id, matched, round(matched * 0.02, 6) AS score, CASE WHEN matched = 2 THEN 'all' ELSE 'any' END AS match FROM m WHERE matched > 0
 ORDER BY match <> 'all', score DESC, id LIMIT 100""")
 def keyword_or(spark, folder):
-    return search.keyword(table(spark, folder, "documents"), "doc_id", "license OR copyright version", 100)
+    return textindex.keyword(indexed(spark, folder, {"text": "D"}), "license OR copyright version", 100)
 
 
 @query("hybrid_search", f"""

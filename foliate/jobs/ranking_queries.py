@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliate.jobs.registry import query
-from foliate.operators import evaluation, ranking, vectors
+from foliate.jobs.registry import indexed, query
+from foliate.operators import evaluation, ranking, textindex, vectors
 from foliate.operators.search import WEIGHTS
 from foliate.session import table
 
@@ -32,7 +32,7 @@ k AS (SELECT id, count(*) AS covers, round(sum(value), 6) AS score FROM c GROUP
 
 
 def _density(spark, folder, n):
-    return ranking.density(table(spark, folder, "documents"), "doc_id", _UNITS, _PARTS, n)
+    return textindex.density(indexed(spark, folder, {"source": "A", "text": "D"}), _UNITS, n)
 
 
 @query("keyword_density", _COVERS + "SELECT id, covers, score FROM k ORDER BY score DESC, id LIMIT 50")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliate.jobs.registry import query
-from foliate.operators import search, vectors
+from foliate.jobs.registry import indexed, query
+from foliate.operators import search, textindex, vectors
 from foliate.session import table
 
 _NEAREST = """
@@ -53,7 +53,7 @@ k AS (SELECT id, matched, round(matched * 0.02, 6) AS score, CASE WHEN matched =
 
 
 def _keyword(spark, folder, text, n):
-    return search.keyword(table(spark, folder, "documents"), "doc_id", text, n)
+    return textindex.keyword(indexed(spark, folder, {"text": "D"}), text, n)
 
 
 @query("keyword_search", _KEYWORD + "SELECT id, matched, score, match FROM k ORDER BY match <> 'all', score DESC, id LIMIT 50")

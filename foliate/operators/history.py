@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliate.streaming.events import scratch
+from foliate.storage import drop, written
 
 
 def commits(records: DataFrame, record: str) -> DataFrame:
@@ -46,7 +46,6 @@ def lineages(changes: DataFrame) -> DataFrame:
     root, and so is a change of a path without one: its root_at is null. A path has at most one change at a time; null paths are left out.
     Descent is halved in every round (a chain of n renames takes log2 n), and rounds are written to the shared folder, so none is computed again.
     """
-    spark = changes.sparkSession
     rows = changes.where("path IS NOT NULL")
     births = rows.where(F.col("status").isin("A", "C", "R")).select("path", "at", F.when(F.col("status") == "R", F.col("from_path")).alias("src"))
     moved = _alive(births.where("src IS NOT NULL"), births, "src", True)
@@ -54,18 +53,15 @@ def lineages(changes: DataFrame) -> DataFrame:
     up = F.col("alive_from").isNotNull()
     first = first.select("path", "at", F.when(up, F.col("src")).otherwise(F.col("path")).alias("root_path"), F.coalesce("alive_from", "at").alias("root_at"))
 
-    def kept(df: DataFrame) -> DataFrame:
-        place = scratch(spark, "lineages")
-        df.write.parquet(place)
-        return spark.read.schema(df.schema).parquet(place)
-
-    nodes = kept(first)
+    nodes = written(first, "lineages")
     while True:
         above = nodes.select(F.col("path").alias("root_path"), F.col("at").alias("root_at"), F.col("root_path").alias("_path"), F.col("root_at").alias("_at"))
-        nodes = kept(nodes.join(above, ["root_path", "root_at"]).select("path", "at", F.col("_path").alias("root_path"), F.col("_at").alias("root_at"), ((F.col("_path") != F.col("root_path")) | (F.col("_at") != F.col("root_at"))).alias("_moved")))
+        moved_on = ((F.col("_path") != F.col("root_path")) | (F.col("_at") != F.col("root_at"))).alias("_moved")
+        higher = written(nodes.join(above, ["root_path", "root_at"]).select("path", "at", F.col("_path").alias("root_path"), F.col("_at").alias("root_at"), moved_on), "lineages")
+        drop(nodes)
+        nodes = higher
         if nodes.where("_moved").isEmpty():
             break
-        nodes = nodes.drop("_moved")
     known = nodes.select(F.col("path").alias("_path"), F.col("at").alias("_at"), "root_path", "root_at")
     out = _alive(rows, births, "path", False).join(known, (F.col("path") == F.col("_path")) & (F.col("alive_from") == F.col("_at")), "left")
     return out.select(*changes.columns, F.coalesce("root_path", "path").alias("root_path"), "root_at")

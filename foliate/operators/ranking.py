@@ -17,22 +17,33 @@ def _hits(part: Column, first: Column, weight: float, units: list[str]) -> Colum
     return F.filter(each, lambda x: x["term"].isin(units))
 
 
-def covers(notes: DataFrame, id_col: str, units: list[str], parts: dict[str, float]) -> DataFrame:
-    """(id, begin, end, value): the shortest spans of words that hold every unit, none inside another.
-
-    parts: weights of text columns, whose words stand one part after the other. A span is worth the harmonic mean of its hits' weights, divided by
-    one more than its words that are no hits. id_col is a key. Only the hits leave the scan; windows order those of one note.
-    A note without all units has no rows, null texts have no words.
-    """
-    units = sorted({u.lower() for u in units})
+def hits_of(notes: DataFrame, id_col: str, units: list[str], parts: dict[str, float]) -> DataFrame:
+    """(id, pos, term, weight) of every word that is one of the units. parts: weights of text columns, whose words stand one part after the other."""
     found, first = [], F.lit(0)
     for column, weight in parts.items():
         part = words(F.col(column))
         found.append(_hits(part, first, weight, units))
         first = first + F.size(part)
+    return notes.select(F.col(id_col).alias("id"), F.explode(F.concat(*found)).alias("h")).select("id", "h.*")
+
+
+def covers(notes: DataFrame, id_col: str, units: list[str], parts: dict[str, float]) -> DataFrame:
+    """(id, begin, end, value): the shortest spans of words that hold every unit, none inside another.
+
+    id_col is a key. Only the hits leave the scan. A note without all units has no rows, null texts have no words.
+    """
+    units = sorted({u.lower() for u in units})
+    return spans(hits_of(notes, id_col, units, parts), units)
+
+
+def spans(hits: DataFrame, units: list[str]) -> DataFrame:
+    """covers() of hits(id, pos, term, weight), wherever they come from.
+
+    A span is worth the harmonic mean of its hits' weights, divided by one more than its words that are no hits. Windows order the hits of
+    one note.
+    """
     w = Window.partitionBy("id").orderBy("pos")
-    rows = notes.select(F.col(id_col).alias("id"), F.explode(F.concat(*found)).alias("h")).select("id", "h.*")
-    rows = rows.withColumns({"n": F.row_number().over(w), "sum": F.sum(1 / F.col("weight")).over(w)})
+    rows = hits.withColumns({"n": F.row_number().over(w), "sum": F.sum(1 / F.col("weight")).over(w)})
     here = F.struct("n", "pos", (F.col("sum") - 1 / F.col("weight")).alias("before"))
     latest = {f"u{k}": F.max(F.when(F.col("term") == u, here)).over(w) for k, u in enumerate(units)}
     rows = rows.withColumns(latest).dropna(subset=list(latest)).withColumn("from", F.array_min(F.array(*latest)))
@@ -41,11 +52,25 @@ def covers(notes: DataFrame, id_col: str, units: list[str], parts: dict[str, flo
     return rows.select("id", F.col("from.pos").alias("begin"), F.col("pos").alias("end"), value.alias("value"))
 
 
-def density(notes: DataFrame, id_col: str, units: list[str], parts: dict[str, float], limit: int) -> DataFrame:
-    """(id, covers, score, best) of the `limit` notes whose covers are worth most together, then by id; best(begin, end) is the worthiest cover."""
+def ordered(found: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` rows by score, then id."""
+    return found.orderBy(F.desc("score"), "id").limit(limit)
+
+
+def densities(hits: DataFrame, units: list[str], limit: int) -> DataFrame:
+    """density() of hits(id, pos, term, weight)."""
     best = F.max_by(F.struct("begin", "end"), F.struct(F.round("value", 9), -F.col("begin")))
-    out = covers(notes, id_col, units, parts).groupBy("id").agg(F.count("*").alias("covers"), F.round(F.sum("value"), 6).alias("score"), best.alias("best"))
-    return out.orderBy(F.desc("score"), "id").limit(limit)
+    out = spans(hits, units).groupBy("id").agg(F.count("*").alias("covers"), F.round(F.sum("value"), 6).alias("score"), best.alias("best"))
+    return ordered(out, limit)
+
+
+def density(notes: DataFrame, id_col: str, units: list[str], parts: dict[str, float], limit: int) -> DataFrame:
+    """(id, covers, score, best) of the `limit` notes whose covers are worth most together, then by id; best(begin, end) is the worthiest cover.
+
+    Reads every text; textindex.density() gives the same rows from postings.
+    """
+    units = sorted({u.lower() for u in units})
+    return densities(hits_of(notes, id_col, units, parts), units, limit)
 
 
 def snippets(notes: DataFrame, id_col: str, ranked: DataFrame, units: list[str], parts: list[str], around: int = 4, least: int = 6, most: int = 18) -> DataFrame:

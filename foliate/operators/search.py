@@ -26,7 +26,7 @@ def parse_query(query: str) -> tuple[list[list[list[str]]], list[list[str]]]:
         if word == "OR" and not sign:
             joining = bool(groups)
             continue
-        unit = re.findall(r"\w+", (phrase or word).lower())
+        unit = re.findall(r"[^\W_]+", (phrase or word).lower())  # letters and digits, as terms() cuts texts
         if unit and sign:
             nots.append(unit)
         elif unit and joining:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,15 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder below spark.checkpoint.dir, which all executors share; a temporary one where that is unset and the master is local."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="foliate-stream-")
-    return f"{base.rstrip('/')}/foliate-stream/{uuid.uuid4().hex}/{name}"
+from foliate.storage import scratch
 
 
 def read(spark: SparkSession, folder: str, name: str, files: int = 8) -> DataFrame:
