@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliate.jobs.registry import query
@@ -165,3 +166,31 @@ def stream_sequence(spark, folder):
 
     rows = events.read(spark, folder, "events").select("event_id", "user_id", "ts")
     return events.sequence_whole(rows, "user_id", ["ts", "event_id"], "sequence").select("event_id", "user_id", "seq")
+
+
+@query("feed_appended", """
+WITH e AS (SELECT user_id AS scope, dense_rank() OVER (PARTITION BY user_id ORDER BY ts::DATE) AS append, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS item, event_type AS path, value >= 100 AS lost FROM events),
+a AS (SELECT scope, append, count(*) FILTER (NOT lost) AS n, count(*) FILTER (lost) AS misses FROM e GROUP BY ALL),
+g AS (SELECT *, sum((n > 0)::INT) OVER (PARTITION BY scope ORDER BY append ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM a),
+l AS (SELECT scope, max(append) FILTER (n > 0) AS append, sum(misses) AS misses FROM g GROUP BY scope, coalesce(run, 0)),
+k AS (SELECT *, row_number() OVER (PARTITION BY scope, append ORDER BY item) AS r FROM e WHERE NOT lost),
+f AS (SELECT scope, append, 0 AS r, 'gap' AS kind, NULL AS path, 'write_failed' AS gap_reason, misses AS gap_count FROM l WHERE misses > 0 AND append IS NOT NULL
+  UNION ALL SELECT scope, append, r, 'modified', path, NULL, NULL FROM k WHERE r <= 3
+  UNION ALL SELECT scope, append, 4, 'gap', NULL, 'pass_overflow', n - 3 FROM a WHERE n > 3)
+SELECT scope, row_number() OVER (PARTITION BY scope ORDER BY append, r) AS seq, append, kind, path, gap_reason, gap_count::BIGINT AS gap_count FROM f""")
+def feed_appended(spark, folder):
+    """Every user's events of a day as one append to the user's feed, of which three are kept; large values stand for events that were lost."""
+    from foliate.storage import scratch
+    from foliate.streaming import feed
+
+    day = Window.partitionBy("user_id", F.col("ts").cast("date"))
+    rows = table(spark, folder, "events").withColumns({"item": F.row_number().over(day.orderBy("ts", "event_id")), "items": F.count("*").over(day)})
+    rows = rows.withColumn("append", F.dense_rank().over(Window.partitionBy("user_id").orderBy(F.col("ts").cast("date"))))
+    none, lost = F.lit(None).cast("string"), F.col("value") >= 100
+    values = {"kind": F.when(lost, feed.MISS).otherwise("modified"), "path": F.col("event_type"), "from_path": none, "hash": none, "reason": none, "count": F.when(lost, 1), "quiet": F.lit(False)}
+    types = {f.name: f.dataType for f in feed.ITEM}
+    log = rows.select(F.col("user_id").alias("scope"), *(values.get(n, F.col(n)).cast(t).alias(n) for n, t in types.items()))
+    at = scratch(spark, "log")
+    log.repartition(4, "path").write.parquet(at)  # an append is spread over files
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(at)
+    return feed.record(stream, "scope", scratch(spark, "feed"), 3).select("scope", "seq", "append", "kind", "path", "gap_reason", "gap_count")
