@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliate.jobs.registry import query
-from foliate.operators import graph, parsing
+from foliate.operators import blocks, graph, parsing, upkeep
 from foliate.session import table
 
 _LINKS = """WITH l AS (SELECT page_id AS id, regexp_extract_all(coalesce(html, ''), '<a\\s[^>]*?href="([^"]*)"', 1) AS t FROM pages),
@@ -88,18 +88,30 @@ def collapsed_length(spark, folder):
 
 @query("parse_chunks")
 def chunks(spark, folder):
-    return parsing.chunks(table(spark, folder, "documents"), "doc_id", "text", 1200, 200)
+    found = blocks.chunks(_as_notes(table(spark, folder, "documents")), "doc_id", "text", 1200, 200)
+    return found.select("doc_id", "chunk", "start", "end", "section", "path", F.sha2("body", 256).alias("sha"), "cut")
+
+
+def _as_notes(documents: DataFrame) -> DataFrame:
+    """Documents as notes: language and source become tags, the first line a heading, each further line a task or paragraph that links to the source."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rest = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x, i: F.concat(F.when(i % 2 == 0, F.lit("- [ ] ")).otherwise(F.lit("")), x, F.lit(" [["), F.coalesce(F.col("source"), F.lit("none")), F.lit("]]")))
+    head = F.concat(F.lit("---\ntags: ["), F.coalesce("lang", F.lit("none")), F.lit(", "), F.coalesce("source", F.lit("none")), F.lit("]\n---\n# "), lines[0])
+    return documents.select("doc_id", F.concat_ws("\n", head, F.array_join(rest, "\n")).alias("text"))
 
 
 @query("parse_markdown")
 def markdown(spark, folder):
-    return parsing.markdown(parsing.as_markdown(table(spark, folder, "documents")), "doc_id", "text")
+    return parsing.markdown(_as_notes(table(spark, folder, "documents")), "doc_id", "text")
+
+
+@query("parse_outline")
+def outline(spark, folder):
+    return blocks.outline(_as_notes(table(spark, folder, "documents")), "doc_id", "text")
 
 
-@query("parse_chunk_lengths", r"""WITH p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents),
-n AS (SELECT doc_id, length(x) AS n FROM p WHERE x <> '')
-SELECT quantile_disc(n, 0.1)::INT AS d1, quantile_disc(n, 0.5)::INT AS d5, quantile_disc(n, 0.9)::INT AS d9, count(*) AS n, count(*) FILTER (WHERE n < 40) AS under FROM n""")
+@query("parse_chunk_lengths")
 def chunk_lengths(spark, folder):
-    lines = table(spark, folder, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("x")).where("x <> ''").select(F.length("x").alias("n"))
-    q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY n)").cast("int")
-    return lines.agg(q(0.1).alias("d1"), q(0.5).alias("d5"), q(0.9).alias("d9"), F.count("*").alias("n"), F.count_if(F.col("n") < 40).alias("under"))
+    """Deciles of the collapsed lengths of all chunks, how many are under the least length, and of how many notes."""
+    found = blocks.chunks(_as_notes(table(spark, folder, "documents")), "doc_id", "text", 1200, 200)
+    return upkeep.chunk_lengths(found, "doc_id", parsing.collapsed_length(F.col("body")), blocks.LEAST)

@@ -244,10 +244,10 @@ def recurrence(spark, folder):
 
 
 @query("tasks_keys", """
-WITH k AS (SELECT o_orderkey, o_custkey, substr(sha256('omcp-task-v1'::BLOB || '\\x00'::BLOB || o_orderpriority::BLOB), 1, 12) AS key FROM orders)
+WITH k AS (SELECT o_orderkey, o_custkey, substr(sha256('task'::BLOB || '\\x00'::BLOB || o_orderpriority::BLOB), 1, 12) AS key FROM orders)
 SELECT o_orderkey, key, row_number() OVER (PARTITION BY o_custkey, key ORDER BY o_orderkey)::INT AS key_ordinal, count(*) OVER (PARTITION BY o_custkey, key) AS key_count FROM k""")
 def task_keys(spark, folder):
-    rows = table(spark, folder, "orders").withColumn("key", tasks.task_key(F.col("o_orderpriority")))
+    rows = table(spark, folder, "orders").withColumn("key", tasks.task_key(F.col("o_orderpriority"), "task"))
     return tasks.with_ordinals(rows, "o_custkey", "key", "o_orderkey").select("o_orderkey", "key", "key_ordinal", "key_count")
 
 

@@ -42,8 +42,13 @@ def contains_json(column: str, wanted: dict) -> Column:
             return F.is_variant_null(value)
         if isinstance(want, bool):
             return (kind == "BOOLEAN") & (F.try_variant_get(value, "$", "boolean") == want)
-        if isinstance(want, (int, float)):
-            return kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (F.try_variant_get(value, "$", "double") == float(want))
+        if isinstance(want, int) or isinstance(want, float) and want.is_integer() and abs(want) < 10**37:
+            # whole numbers are compared digit by digit: doubles are exact to 2^53 only
+            exact = F.try_variant_get(value, "$", "decimal(38,0)") == F.lit(str(int(want))).try_cast("decimal(38,0)")
+            near = F.try_variant_get(value, "$", "double") == float(want)
+            return kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & near & F.when(kind == "DOUBLE", True).otherwise(F.coalesce(exact, F.lit(False)))
+        if isinstance(want, float):
+            return kind.rlike("^(BIGINT|DECIMAL|DOUBLE)") & (F.try_variant_get(value, "$", "double") == want)
         return (kind == "STRING") & (F.try_variant_get(value, "$", "string") == want)
 
     return F.coalesce(holds(F.try_parse_json(F.col(column)), wanted), F.lit(False))

@@ -9,32 +9,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliate.operators.blocks import Blocks, canonical, scan
 from foliate.session import ship
 
-_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
-_HEADING = re.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
-_LINK = re.compile(r"(!?)\[\[([^\[\]|#\n]*)(?:#([^\[\]|\n]*))?(?:\|([^\[\]\n]*))?\]\]|(!?)\[([^\[\]\n]*)\]\(([^()\s]+)\)")
-_TAG = re.compile(r"(?:^|(?<=[\s(,;]))#([\w/\-]+)")
+_TAG = re.compile(r"(?:^|(?<=\s))#([\w/\-]+)")
 _TASK = re.compile(r"^\s*(?:[-*+]|\d+[.)])\s+\[(.)\]\s+(.*)$")
 
 
-def canonical(text: Column) -> Column:
-    """LF for all line ends, no NUL."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\u0000", "")
-
-
 def collapsed_length(text: Column) -> Column:
     """Characters after white space is made single and trimmed."""
     return F.length(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\t\n\x0b\f\r ]+", " ")))
 
 
 def is_tag(tag: str) -> bool:
-    """Not a number, not a hex colour with a digit, not one letter repeated at a colour's length."""
-    if not tag or tag.isdigit():
-        return False
-    if len(tag) in (3, 4, 6, 8) and re.fullmatch(r"[0-9a-fA-F]+", tag) and (any(c.isdigit() for c in tag) or len(set(tag.lower())) == 1):
+    """Has a letter or digit or _, is no number, and not the code of a colour (3, 6 or 8 hex digits with a decimal one, or one repeated)."""
+    if not re.search(r"\w", tag) or tag.isdigit():
         return False
-    return True
+    colour = len(tag) in (3, 6, 8) and re.fullmatch(r"[0-9a-fA-F]+", tag)
+    return not (colour and (re.search("[0-9]", tag) or len(set(tag.lower())) == 1))
 
 
 def partition(text: str) -> tuple[dict[str, object], str]:
@@ -59,42 +51,107 @@ def partition(text: str) -> tuple[dict[str, object], str]:
     return {}, text
 
 
-def masked(body: str) -> str:
+def blanked(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with spaces for all of the spans but their line ends; every offset stays."""
+    out, at = [], 0
+    for a, b in spans:
+        out += [text[at:a], re.sub(r"[^\n]", " ", text[a:b])]
+        at = b
+    return "".join([*out, text[at:]])
+
+
+def masked(body: str, blocks: Blocks | None = None) -> str:
     """The body with fenced and inline code and %%comments%% blanked, every offset kept."""
-    out, fence = [], None
-    for line in body.split("\n"):
-        m = _FENCE.match(line)
-        if fence:
-            out.append(" " * len(line))
-            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not line.strip(" \t" + fence[0]):
-                fence = None
-        elif m:
-            fence = m[1]
-            out.append(" " * len(line))
-        else:
-            out.append(line)
     blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    return re.sub(r"%%.*?%%", blank, re.sub(r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)", blank, "\n".join(out)), flags=re.S)
+    clean = blanked(body, (blocks or scan(body)).fences)
+    return re.sub(r"%%.*?%%", blank, re.sub(r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)", blank, clean), flags=re.S)
+
+
+class _Next:
+    """The next place of a sign from ever later places, looked for once."""
+
+    def __init__(self, text: str, sign: str) -> None:
+        self.text, self.sign, self.at = text, sign, -2
+
+    def from_(self, p: int) -> int:
+        if self.at != -1 and self.at < p:
+            self.at = self.text.find(self.sign, p)
+        return self.at if self.at >= 0 else len(self.text)
+
+
+def links(clean: str) -> list[tuple[str, str, int]]:
+    """(kind, target, place) of the links of a masked text in order: `[[target#part|name]]`, `[name](target "title")`, `[name](<a target>)`.
+
+    kind is link, markdown, or embed after a `!`. A link ends on its line; an inner `[[` begins anew. Each sign is looked for once from
+    left to right, so the work is linear in the text, whatever is left open in it.
+    """
+    out: list[tuple[str, str, int]] = []
+    line, double, single, angle = (_Next(clean, s) for s in ("\n", "]]", "]", ">"))
+    at = clean.find("[")
+    while at >= 0:
+        stop, after = line.from_(at), at + 1
+        embed = at > 0 and clean[at - 1] == "!"
+        if clean.startswith("[[", at):
+            close = double.from_(at + 2)
+            inner = clean.find("[", at + 2, min(close, stop))
+            if close < stop and inner < 0:
+                out.append(("embed" if embed else "link", clean[at + 2 : close].split("|")[0].split("#")[0].strip(), at))
+                after = close + 2
+            elif inner >= 0:
+                after = inner
+        else:
+            close = single.from_(at + 1)
+            inner = clean.find("[", at + 1, min(close, stop))
+            if close < stop and inner < 0 and clean.startswith("(", close + 1):
+                target, end = _destination(clean, close + 2, stop, angle)
+                if target:
+                    out.append(("embed" if embed else "markdown", target, at))
+                    after = end
+                else:
+                    after = close + 2
+            elif inner >= 0:
+                after = inner
+        at = clean.find("[", after)
+    return out
+
+
+def _destination(text: str, at: int, stop: int, angle: _Next) -> tuple[str, int]:
+    """(what stands in the brackets of a link, where they end); empty without one. Brackets inside of it must be paired."""
+    if text.startswith("<", at):
+        close = angle.from_(at)
+        end = text.find(")", close, stop) if close < stop else -1
+        return (text[at + 1 : close].strip(), end + 1) if end >= 0 else ("", at)
+    depth = 0
+    for p in range(at, stop):
+        if text[p] == "(":
+            depth += 1
+        elif text[p] == ")":
+            if depth == 0:
+                target, _, title = text[at:p].strip().partition(" ")
+                return (target, p + 1) if not title or title.strip()[0] in "\"'(" else ("", at)
+            depth -= 1
+    return "", at
 
 
 def parse(text: str) -> dict[str, list]:
-    """Tags (sorted), links, headings and tasks of one note."""
+    """Tags (sorted), links, headings and tasks of one note. Indented code has no tags; links and tasks in it count, as lists look alike."""
     front, body = partition(text)
-    clean = masked(body)
+    blocks = scan(body)
+    clean = masked(body, blocks)
     own = front.get("tags", front.get("tag", []))
     own = re.split(r"[,\s]+", own) if isinstance(own, str) else own
-    tags = sorted({t.strip("#/") for t in [*own, *_TAG.findall(clean)] if is_tag(t.strip("#/"))})
-    links = [("embed" if m[1] or m[5] else "link" if m[2] is not None else "markdown", (m[2] if m[2] is not None else m[7]).strip()) for m in _LINK.finditer(clean)]
-    headings, tasks, path = [], [], []
+    tags = sorted({t.strip("#/") for t in [*own, *_TAG.findall(blanked(clean, blocks.code))] if is_tag(t.strip("#/"))})
+    headings = [(h.depth, h.text, h.line) for h in blocks.headings]
+    tasks, under, at = [], -1, 0
     for n, (line, raw) in enumerate(zip(clean.split("\n"), body.split("\n"), strict=True)):
-        if m := _HEADING.match(line):
-            path = [*path[: len(m[1]) - 1], m[2]]
-            headings.append((len(m[1]), m[2], n))
-        elif (m := _TASK.match(line)) and _TASK.match(raw):
+        while under + 1 < len(blocks.headings) and blocks.headings[under + 1].start <= at:
+            under += 1
+        at += len(raw) + 1
+        if (m := _TASK.match(line)) and (own_line := _TASK.match(raw)):
             state = "done" if m[1] in "xX" else "cancelled" if m[1] == "-" else "open"
             due = re.findall(r"\U0001F4C5\s*(\d{4}-\d{2}-\d{2})", raw)
-            tasks.append((n, state, _TASK.match(raw)[2], due[-1] if due else None, " > ".join(path)))
-    return {"tags": tags, "links": links, "headings": headings, "tasks": tasks}
+            tasks.append((n, state, own_line[2], due[-1] if due else None, " > ".join(blocks.path(under))))
+    return {"tags": tags, "links": [(kind, target) for kind, target, _ in links(clean)], "headings": headings, "tasks": tasks}
 
 
 _SCHEMA = "tags array<string>, links array<struct<kind:string,target:string>>, headings array<struct<depth:int,text:string,line:int>>, tasks array<struct<line:int,state:string,text:string,due:string,heading:string>>"
@@ -123,49 +180,3 @@ def markdown(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ship(df.sparkSession)
     out = df.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("text")).mapInArrow(run, f"id {kind}, {_SCHEMA}")
     return out.withColumnRenamed("id", id_col)
-
-
-def as_markdown(documents: DataFrame) -> DataFrame:
-    """Documents as notes: language and source become tags, the first line a heading, each further line a task or paragraph that links to the source."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    rest = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x, i: F.concat(F.when(i % 2 == 0, F.lit("- [ ] ")).otherwise(F.lit("")), x, F.lit(" [["), F.coalesce(F.col("source"), F.lit("none")), F.lit("]]")))
-    head = F.concat(F.lit("---\ntags: ["), F.coalesce("lang", F.lit("none")), F.lit(", "), F.coalesce("source", F.lit("none")), F.lit("]\n---\n# "), lines[0])
-    return documents.select("doc_id", F.concat_ws("\n", head, F.array_join(rest, "\n")).alias("text"))
-
-
-def cut_points(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """Chunks of at most `size` characters that end at a blank line, line, sentence or word where one is in the last third, and step back `overlap`."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            low = start + 2 * size // 3
-            for mark in ("\n\n", "\n", ". ", " "):
-                at = text.rfind(mark, low, end)
-                if at >= 0:
-                    end = at + len(mark)
-                    break
-        out.append((start, end))
-        if end >= n:
-            break
-        start = max(end - overlap, start + 1)
-    return out
-
-
-def chunks(df: DataFrame, id_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
-    """(id, chunk, start, length, sha) for every chunk of every text; sections begin chunks of their own."""
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, rows = batch.column(0), []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                heads = [0, *[m.start() for m in re.finditer(r"(?m)^#{1,6} ", text) if m.start()], len(text)]
-                spans = [(a + s, a + e) for a, b in zip(heads, heads[1:]) for s, e in cut_points(text[a:b], size, overlap)]
-                rows += [(k, n, s, e - s, text[s:e]) for n, (s, e) in enumerate(spans)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            yield pa.record_batch([ids.take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int32()) for c in cols[1:4]), pa.array(cols[4], pa.string())], ["id", "chunk", "start", "length", "body"])
-
-    ship(df.sparkSession)
-    out = df.select(F.col(id_col).alias("id"), canonical(F.col(text_col)).alias("text")).mapInArrow(run, f"id {kind}, chunk int, start int, length int, body string")
-    return out.select(F.col("id").alias(id_col), "chunk", "start", "length", F.sha2("body", 256).alias("sha"))

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 #: Ranks of priorities; none lies between medium and low.
 RANKS = {"highest": 0, "high": 1, "medium": 2, "low": 4, "lowest": 5}
-KEY_TAG = "omcp-task-v1"  # part of the identity of stored tasks
 CAPS = {"overdue": 25, "today": 25, "scheduled": 15, "later": 15, "upcoming": 50}
 
 
@@ -21,9 +20,9 @@ def priority_rank(priority: Column) -> Column:
     return rank
 
 
-def task_key(text: Column) -> Column:
-    """Identity of a task line: the first 12 digits of the SHA-256 of a tagged text."""
-    return F.substring(F.sha2(F.concat(F.encode(F.lit(KEY_TAG), "utf-8"), F.unhex(F.lit("00")), F.encode(text, "utf-8")), 256), 1, 12)
+def task_key(text: Column, tag: str) -> Column:
+    """Identity of a task line: the first 12 digits of the SHA-256 of tag, a zero byte and text; tag names who stores the tasks."""
+    return F.substring(F.sha2(F.concat(F.encode(F.lit(tag), "utf-8"), F.unhex(F.lit("00")), F.encode(text, "utf-8")), 256), 1, 12)
 
 
 def with_ordinals(tasks: DataFrame, note: str, key: str, line: str) -> DataFrame:
@@ -92,6 +91,9 @@ REPEAT_SIGN, OTHER_SIGNS = "🔁", "🏁🆔⛔"
 WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 MONTH_DAYS = [31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+UNITS = ["day", "week", "month", "year"]
+RULE_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789, !"
+WHEN_DONE = " when done"
 
 
 def fields(text: Column) -> Column:
@@ -103,7 +105,7 @@ def fields(text: Column) -> Column:
     dates = [F.try_to_date(last(f"[{signs}]️?\\s*(\\d{{4}}-\\d{{2}}-\\d{{2}})?"), "yyyy-MM-dd").alias(name) for name, signs in DATE_SIGNS.items()]
     signs = "".join([*DATE_SIGNS.values(), *PRIORITY_SIGNS, REPEAT_SIGN, OTHER_SIGNS])
     rank = F.create_map(*[F.lit(x) for pair in PRIORITY_SIGNS.items() for x in pair])
-    tags = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|(?<=[\s(,;]))#([\p{L}\p{N}_/\-]+)"), 1))
+    tags = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:^|(?<=\s))#([\p{L}\p{N}_/\-]+)"), 1))
     rule = F.nullif(F.trim(last(f"{REPEAT_SIGN}️?([^{signs}#]*)")), F.lit(""))
     return F.struct(*dates, F.try_element_at(rank, last(f"([{''.join(PRIORITY_SIGNS)}])")).alias("priority"), rule.alias("recurrence"), tags.alias("tags"))
 
@@ -119,38 +121,60 @@ def recurrence(text: Column, strict: bool = True) -> Column:
 
     n is the number of units or the day; days count from 0 for Monday. Ordinals need their right suffix, weekdays may not repeat, and a
     day of a named month must be one that it has every year. n is 2 to 999; when not strict 1 to 9999, with or without an s at the unit.
+    Words are looked up one by one: the second word tells what may follow, and numbers are read as values and checked as such.
     """
-    ends = r"(?i)(?<=.) when done\z"
     clean = F.trim(text)
-    known = F.when(clean.rlike(r"^[a-zA-Z0-9, !]+\z"), F.struct(F.lower(F.trim(F.regexp_replace(clean, ends, ""))).alias("body"), clean.rlike(ends).alias("when_done")))
-    return once(known, lambda x: _rule(x["body"], x["when_done"], strict))
-
-
-def _rule(body: Column, when_done: Column, strict: bool) -> Column:
-    got = lambda pattern, group=1: F.nullif(F.regexp_extract(body, rf"^every +{pattern}\z", group), F.lit(""))
-    is_ = lambda pattern: body.rlike(rf"^every +{pattern}\z")
-    number, ordinal, name = "([2-9]|[1-9][0-9]{1,2})", "([1-9]|[12][0-9]|3[01])(st|nd|rd|th)", f"(?:{'|'.join(WEEKDAYS)})"
-    month_name = f"({'|'.join(MONTHS)})"
-    rule = lambda kind, n, days=None, month=None: F.struct(
-        F.lit(kind).alias("kind"), n.cast("int").alias("n"), (F.array().cast("array<int>") if days is None else days).alias("days"),
-        F.lit(month).cast("int").alias("month") if month is None else month.alias("month"), when_done.alias("when_done"))
-    right = lambda k, suffix: suffix == F.when((k % 100).between(11, 13), "th").when(k % 10 == 1, "st").when(k % 10 == 2, "nd").when(k % 10 == 3, "rd").otherwise("th")
-    out = F.when(body.isNull(), None)
-    for unit in ("day", "week", "month", "year"):
-        many = f"{number} +{unit}s" if strict else f"([1-9][0-9]{{0,3}}) +{unit}s?"
-        out = out.when(is_(unit if strict else f"{unit}s?"), rule(unit, F.lit(1))).when(is_(many), rule(unit, got(many)))
-    listed = rf"(?:week +on +)?({name}(?:, *{name})*)"
-    days = F.transform(F.split(got(listed), ", *"), lambda d: F.array_position(F.array(*[F.lit(x) for x in WEEKDAYS]), d).cast("int") - 1)
-    day, named = f"month +on +the +{ordinal}", f"{month_name} +on +the +{ordinal}"
-    k = got(day).cast("int")
-    month = F.array_position(F.array(*[F.lit(x) for x in MONTHS]), got(named)).cast("int")
-    nth = got(named, 2).cast("int")
-    return (
-        out.when(is_("weekday"), rule("weekday", F.lit(1)))
-        .when(is_(listed) & (F.size(F.array_distinct(days)) == F.size(days)), rule("week_on", F.lit(1), days))
-        .when(is_("month +on +the +last"), rule("month_last", F.lit(1)))
-        .when(is_(day) & right(k, got(day, 2)), rule("month_on", k))
-        .when(is_(named) & right(nth, got(named, 3)) & (nth <= F.try_element_at(F.array(*[F.lit(x) for x in MONTH_DAYS]), month)), rule("year_on", nth, None, month))
+    low = F.lower(clean)
+    known = (clean != "") & (F.translate(clean, RULE_LETTERS, "") == "")
+    done = F.endswith(low, F.lit(WHEN_DONE)) & (F.length(low) > len(WHEN_DONE))
+    body = F.trim(F.when(done, F.substring(low, F.lit(1), F.length(low) - len(WHEN_DONE))).otherwise(low))
+    return once(F.when(known, F.struct(F.split(body, " +").alias("words"), done.alias("when_done"))), lambda x: _rule(x["words"], x["when_done"], strict))
+
+
+def _looked_up(values: dict[str, int], word: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), word)
+
+
+def _whole(digits: Column, low: int, high: int) -> Column:
+    """A number written without a sign or leading zeros, null beyond its bounds."""
+    n = digits.try_cast("int")
+    return F.when((n.cast("string") == digits) & n.between(low, high), n)
+
+
+def _nth(word: Column) -> Column:
+    """The number of an ordinal such as 22nd, null where the suffix is another number's."""
+    n = _whole(F.substring(word, F.lit(1), F.length(word) - 2), 1, 31)
+    ending = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for x in (1, "st", 2, "nd", 3, "rd")]), F.when(n.between(11, 13), 0).otherwise(n % 10)), F.lit("th"))
+    return F.when(F.right(word, F.lit(2)) == ending, n)
+
+
+def _rule(words: Column, when_done: Column, strict: bool) -> Column:
+    word, size = lambda k: F.get(words, k), F.size(words)
+    none = F.lit(None).cast("int")
+    rule = lambda kind, n=none, days=None, month=none: F.struct(
+        (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), n.cast("int").alias("n"), (F.array().cast("array<int>") if days is None else days).alias("days"), month.alias("month"), when_done.alias("when_done"))
+    units = F.array(*[F.lit(u) for u in UNITS])
+    named = lambda w, ending: F.try_element_at(units, F.nullif(F.array_position(F.transform(units, lambda u: F.concat(u, F.lit(ending))), w), F.lit(0)).cast("int"))
+    any_form = lambda w: F.coalesce(named(w, ""), named(w, "s"))
+    one, many = (named(word(1), ""), named(word(2), "s")) if strict else (any_form(word(1)), any_form(word(2)))
+    n = _whole(word(1), *((2, 999) if strict else (1, 9999)))
+    # a list of weekdays stands after 'every' or after 'every week on'
+    on = (word(1) == "week") & (word(2) == "on") & (size > 3)
+    names = F.split(F.array_join(F.slice(words, F.when(on, 4).otherwise(2), size), " "), ", ?")
+    days = F.transform(names, lambda w: _looked_up({d: k for k, d in enumerate(WEEKDAYS)}, w))
+    listed = ~F.exists(days, lambda d: d.isNull()) & (F.size(F.array_distinct(days)) == F.size(days))
+    dated = (size == 5) & (word(2) == "on") & (word(3) == "the")
+    nth, month = _nth(word(4)), _looked_up({m: k + 1 for k, m in enumerate(MONTHS)}, word(1))
+    longest = _looked_up(dict(zip(MONTHS, MONTH_DAYS, strict=True)), word(1))
+    return F.when(
+        word(0) == "every",
+        F.when((size == 2) & one.isNotNull(), rule(one, F.lit(1)))
+        .when((size == 3) & many.isNotNull() & n.isNotNull(), rule(many, n))
+        .when((size == 2) & (word(1) == "weekday"), rule("weekday", F.lit(1)))
+        .when(dated & (word(1) == "month") & (word(4) == "last"), rule("month_last", F.lit(1)))
+        .when(dated & (word(1) == "month") & nth.isNotNull(), rule("month_on", nth))
+        .when(dated & (nth <= longest), rule("year_on", nth, None, month))
+        .when((size > 1) & listed, rule("week_on", F.lit(1), days)),
     )
 
 

@@ -78,3 +78,19 @@ def unreferenced(rows: DataFrame, key: str, references: DataFrame, old: Column)
     """Rows to expire: old ones whose key no reference(key) names."""
     named = references.select(F.col(key).alias("_key")).where("_key IS NOT NULL")
     return rows.where(old).join(named, F.col(key) == F.col("_key"), "left_anti")
+
+
+def chunk_lengths(chunks: DataFrame, note: str, length: Column, least: int) -> DataFrame:
+    """One row: d1 to d9, the deciles of a length over all chunks (the first value that so many reach), n, under (chunks shorter than
+    `least`), notes, and notes_under that have such a chunk.
+
+    Values are counted before they are ordered, so what one task orders are different lengths, which a window bounds.
+    """
+    rows = chunks.select(F.col(note).alias("note"), length.alias("length"))
+    values = rows.groupBy("length").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("length"))
+    every = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    ranked = values.withColumns({"upto": upto, "every": every})
+    found = ranked.agg(*[F.min(F.when(F.col("upto") * 10 >= F.col("every") * k, F.col("length"))).alias(f"d{k}") for k in range(1, 10)], F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("length") < least, F.col("n"))), F.lit(0)).alias("under"))
+    notes = rows.groupBy("note").agg(F.min("length").alias("shortest")).agg(F.count("*").alias("notes"), F.count_if(F.col("shortest") < least).alias("notes_under"))
+    return found.crossJoin(notes)

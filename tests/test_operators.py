@@ -19,7 +19,7 @@ from tests.oracle import rows as sorted_rows
 
 def test_markdown():
     note = parsing.parse("---\ntags: [a, b/c]\ntitle: X\n---\n# One #\nsee [[Hub|home]] and ![[pic.png]] `[[no]]` #tag #123 #fff0\n```\n#code [[no]]\n```\n## Two\n- [x] done \U0001f4c5 2024-01-02\n- [ ] [open](b.md)\n%% #hidden %%\n")
-    assert note["tags"] == ["a", "b/c", "tag"]
+    assert note["tags"] == ["a", "b/c", "fff0", "tag"]
     assert note["links"] == [("link", "Hub"), ("embed", "pic.png"), ("markdown", "b.md")]
     assert note["headings"] == [(1, "One", 0), (2, "Two", 5)]
     assert [t[1:] for t in note["tasks"]] == [("done", "done \U0001f4c5 2024-01-02", "2024-01-02", "One > Two"), ("open", "[open](b.md)", None, "One > Two")]
@@ -30,13 +30,6 @@ def test_broken_front_matter_is_body():
     assert parsing.partition("---\na: 1\n")[1] == "---\na: 1\n"
 
 
-@given(st.text("ab .\n", max_size=300), st.integers(5, 40))
-@settings(deadline=None)
-def test_chunks_cover(text, size):
-    spans = parsing.cut_points(text, size, size // 4)
-    assert all(e - s <= size for s, e in spans)
-    assert not text or (spans[0][0] == 0 and spans[-1][1] == len(text) and all(b[0] <= a[1] for a, b in zip(spans, spans[1:], strict=False)))
-
 
 def test_recurrence(spark):
     day = dt.date(2021, 1, 31)
@@ -135,3 +128,30 @@ def test_streams_over_many_files_out_of_time_order(spark, tmp_path, name):
     out = con.execute(registry.oracle_sql()[name])
     df = registry.queries()[name](spark, str(tmp_path))
     assert sorted_rows(df.columns, [tuple(r) for r in df.collect()]) == sorted_rows([d[0] for d in out.description], out.fetchall())
+
+
+def test_words_with_underscores_are_found(spark):
+    df = spark.createDataFrame([(1, "call foo_bar now"), (2, "foo"), (3, "bar foo")], "id int, text string")
+    assert [(r.id, r.match) for r in search.keyword(df, "id", "foo_bar", 5).collect()] == [(1, "all")]
+
+
+def test_large_whole_numbers_in_json(spark):
+    df = spark.createDataFrame([('{"n": 9007199254740992}',), ('{"n": 9007199254740993}',), ('{"n": 9007199254740993.0}',), ('{"n": "9007199254740993"}',), ('{"n": 1.5}',), ('{"n": 7e0}',)], "data string")
+    found = lambda n: [r.data for r in df.where(filters.contains_json("data", {"n": n})).collect()]
+    assert found(9007199254740993) == ['{"n": 9007199254740993}', '{"n": 9007199254740993.0}']
+    assert found(1.5) == ['{"n": 1.5}'] and found(7) == ['{"n": 7e0}'] == found(7.0)
+
+
+def test_neighbourhood_five_steps_away(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(8)] + [(2, 7), (None, 1), (3, None)], "a long, b long")
+    start = spark.createDataFrame([(0,)], "node long")
+    got = {r.node: (r.distance, r.via) for r in graph.neighbourhood(edges, start, 5).collect()}
+    assert got == {0: (0, None), 1: (1, 0), 2: (2, 1), 3: (3, 2), 7: (3, 2), 4: (4, 3), 6: (4, 7), 8: (4, 7), 5: (5, 4)}
+    scans = graph.neighbourhood(edges, start, 6)._jdf.queryExecution().executedPlan().toString().count("Scan")
+    assert scans <= 8
+
+
+def test_notes_with_one_path_resolve_to_the_least_id(spark):
+    notes = spark.createDataFrame([(5, "b/Plan.md"), (3, "b/Plan.md")], "id long, path string")
+    edges = spark.createDataFrame([("", "Plan")], "folder string, target string")
+    assert graph.resolved(edges, notes, "id", "path").collect()[0].dst == 3
