@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliate.jobs.registry import query
-from foliate.operators import history, upkeep
+from foliate.operators import blame, history, upkeep
 from foliate.session import table
 
 _STATUS = "CASE l_linestatus WHEN 'F' THEN 'R' ELSE CASE WHEN l_returnflag = 'R' THEN 'A' ELSE 'M' END END"
@@ -53,6 +53,12 @@ def line_origins(spark, folder):
     return history.line_origins(table(spark, folder, "conversations"), "conv_id", "turn", "text").withColumnRenamed("path", "conv_id")
 
 
+@query("history_blame")
+def line_blame(spark, folder):
+    """The turn that each line of the last turn of a conversation dates from, moved or re-indented though it may be."""
+    return blame.origins(table(spark, folder, "conversations"), "conv_id", "turn", "text").withColumnRenamed("path", "conv_id")
+
+
 _FILES = "WITH f AS (SELECT replace(p_type, ' ', '/') || '/' || p_partkey || '.md' AS path FROM part)"
 
 

@@ -31,8 +31,8 @@ best AS (SELECT o_orderkey, id FROM hits QUALIFY row_number() OVER (PARTITION BY
 SELECT o_orderkey, best.id AS dst FROM edges LEFT JOIN best USING (o_orderkey)"""
 
 
-@query("graph_resolution_all", _NOTES)
-def resolution_all(spark, folder):
+def _vault(spark, folder):
+    """(edges, notes, aliases): parts as notes, orders as links of every form."""
     key = F.col("p_partkey")
     stem = F.concat(F.initcap("p_name"), F.lit(" "), F.expr("p_partkey div 3").cast("string"))
     where = F.concat("p_type", F.when(F.col("p_size") > 25, F.concat(F.lit("/"), F.replace("p_brand", F.lit("#"), F.lit("")))).otherwise(F.lit("")))
@@ -46,7 +46,21 @@ def resolution_all(spark, folder):
         F.concat(F.lit("./"), "stem"), F.concat(F.lit("../"), "dir", F.lit("/"), "stem"), F.concat(F.lit("Missing "), F.col("t").cast("string")), F.lit(""),
     ]
     edges = named.select("o_orderkey", "source", F.element_at(F.array(*forms), (F.col("o_orderkey") % 10 + 1).cast("int")).alias("target"))
-    return graph.resolved_by_all_rules(edges, notes, aliases).select("o_orderkey", "dst")
+    return edges, notes, aliases
+
+
+@query("graph_resolution_all", _NOTES)
+def resolution_all(spark, folder):
+    return graph.resolved_by_all_rules(*_vault(spark, folder)).select("o_orderkey", "dst")
+
+
+@query("graph_relinked", _NOTES)
+def relinked(spark, folder):
+    """Links resolved while some notes still lay elsewhere or had another alias, then brought up to date with the notes as they are."""
+    edges, notes, aliases = _vault(spark, folder)
+    elsewhere = F.when(F.col("id") % 11 == 0, F.concat(F.lit("Inbox/"), "path")).otherwise(F.col("path"))
+    links = graph.linked(edges, notes.withColumn("path", elsewhere), aliases.withColumn("alias", F.when(F.col("id") % 13 != 0, F.col("alias"))))
+    return graph.relinked(links, edges, notes, aliases).edges(edges).select("o_orderkey", "dst")
 
 
 #: Rules by the last digits of an order's number, for the two queries below; the last three are none.

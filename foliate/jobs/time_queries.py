@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliate.jobs.registry import query
-from foliate.operators import feed, filters
+from foliate.operators import bitemporal, feed, filters
 from foliate.session import table
+from foliate.storage import written
 
 
 @query("feed_sequence", """
@@ -72,6 +73,17 @@ def chain(spark, folder):
     return _chain(spark, folder)
 
 
+@query("intervals_backfilled", _CHAIN + "SELECT * FROM v WHERE event_type <> 'error' AND (valid_to IS NULL OR valid_from < valid_to)")
+def backfilled(spark, folder):
+    """The chain of a record to which events came in three parts, none of them in the order of their times."""
+    events = table(spark, folder, "events").select("user_id", "event_id", "event_type", "ts").withColumn("part", F.pmod(F.xxhash64("event_id"), F.lit(3)))
+    names = ["user_id", "ts", "event_id", "event_type"]
+    record = bitemporal.recorded(events.where("part = 0").drop("part"), *names)
+    for part in (1, 2):
+        record = written(bitemporal.backfilled(record, events.where(F.col("part") == part).drop("part"), *names)[0], "record")
+    return bitemporal.intervals(record, "event_type", "error").select("user_id", "event_id", "event_type", "valid_from", "valid_to")
+
+
 @query("intervals_as_of", _CHAIN + """SELECT user_id, event_type FROM v WHERE event_type <> 'error' AND (valid_to IS NULL OR valid_from < valid_to)
   AND valid_from <= TIMESTAMP '2024-01-15 12:00:00' AND (valid_to IS NULL OR valid_to > TIMESTAMP '2024-01-15 12:00:00')""")
 def as_of(spark, folder):

@@ -61,19 +61,20 @@ def keyword(notes: DataFrame, id_col: str, query: str, limit: int, title: str |
     return out.orderBy(F.col("match") != "all", F.desc("score"), "id").limit(limit)
 
 
-def hybrid(notes: DataFrame, vectors: DataFrame, allowed: Column, id_col: str, text_col: str, vec_col: str, query: str, like: list[float], limit: int, depth: int = 100, threshold: float = 0.5) -> DataFrame:
+def hybrid(notes: DataFrame, vectors: DataFrame, allowed: Column, id_col: str, text_col: str, vec_col: str, query: str, like: list[float] | None, limit: int, depth: int = 100, threshold: float = 0.5) -> DataFrame:
     """(id, score, place, keyword_rank, vector_rank, similarity, matched_in, confidence) of the `limit` best notes for a text and a vector.
 
     notes(id, text, ...) and vectors(id, vector) are first held to one filter over notes; each arm gives its `depth` best, the keyword arm in
-    the order of keyword(), the other by cosine, and reciprocal rank fusion orders what either has. confidence is that of the whole answer.
+    the order of keyword(), the other by the best cosine of a note's vectors, so a note has one place however many it has. Reciprocal rank
+    fusion orders what either has. confidence is that of the whole answer. like None: no vector is known, keywords alone answer.
     """
     rows = notes.where(allowed)
     words = keyword(rows, id_col, query, depth, body=text_col)
     words = words.withColumn("keyword_rank", F.row_number().over(Window.orderBy(F.col("match") != "all", F.desc("score"), "id")))  # depth rows
-    target = F.array(*[F.lit(float(x)) for x in like])
+    target = F.array(*[F.lit(float(x)) for x in like or [0.0]])
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
     near = vectors.join(rows.select(id_col), id_col).select(F.col(id_col).alias("id"), F.round(dot(F.col(vec_col), target) / F.sqrt(dot(F.col(vec_col), F.col(vec_col).cast("array<double>"))) / F.sqrt(dot(target, target)), 9).alias("similarity"))
-    near = near.where(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), "id").limit(depth)
+    near = near.where(F.col("similarity").isNotNull() & F.lit(like is not None)).groupBy("id").agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), "id").limit(depth)
     near = near.withColumn("vector_rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "id")))  # depth rows
     both = words.select("id", "keyword_rank", (F.col("match") == "all").alias("all")).join(near, "id", "full_outer")
     part = lambda rank: F.coalesce(F.lit(1.0) / (F.lit(60.0) + F.col(rank)), F.lit(0.0))
@@ -92,9 +93,13 @@ def index_of(notes: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def term_statistics(notes: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(term, documents, occurrences): grouped twice so that a frequent term is summed before it moves."""
-    once = notes.select(F.col(id_col).alias("id"), terms(F.col(text)).alias("w"))
-    return once.select(F.explode("w").alias("term"), F.lit(1).alias("o"), F.lit(0).alias("d")).union(once.select(F.explode(F.array_distinct("w")), F.lit(0), F.lit(1))).groupBy("term").agg(F.sum("d").alias("documents"), F.sum("o").alias("occurrences"))
+    """(term, documents, occurrences): words of a note are counted within the note, so each moves once, and summed before they move."""
+    words = notes.select(F.array_sort(terms(F.col(text))).alias("w"))
+    # in sorted words a run of equal ones begins where a word differs from the one before it
+    begins = F.filter(F.sequence(F.lit(0), F.size("w")), lambda k: (k == F.size("w")) | (k == 0) | (F.get("w", k) != F.get("w", k - 1)))
+    runs = words.where(F.size("w") > 0).select("w", begins.alias("b"))
+    each = runs.select(F.explode(F.transform(F.slice("b", 1, F.size("b") - 1), lambda k, i: F.struct(F.get("w", k).alias("term"), (F.get("b", i + 1) - k).alias("n")))).alias("x"))
+    return each.groupBy("x.term").agg(F.count("*").alias("documents"), F.sum("x.n").alias("occurrences"))
 
 
 def fused(arms: list[DataFrame], keys: list[str], k: int = 60) -> DataFrame:

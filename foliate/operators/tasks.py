@@ -75,11 +75,22 @@ def next_occurrence(rule: Column, due: Column, scheduled: Column, start: Column,
 def similar_descriptions(left: DataFrame, right: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(a, b, containment, jaccard) of term sets left(a, terms) and right(b, terms) that share a term, at or over the threshold by either.
 
-    Pairs come from shared terms; sizes and common terms are counted by grouping, so no pair without a common term is made.
+    Either measure is at most what is common by the smaller set. So of two sets that reach the threshold, the rarest words of the smaller
+    one, all but ceil(threshold n) - 1 of its n, have one in common with the other: pairs come only from these words of each side met with
+    all words of the other side, which leaves out frequent words; what is common is then counted on the sets themselves.
     """
-    l, r = (df.select(i, F.array_distinct("terms").alias("t")) for df, i in ((left, "a"), (right, "b")))  # noqa: E741
-    l, r = l.withColumn("na", F.size("t")), r.withColumn("nb", F.size("t"))  # noqa: E741
-    met = l.select("a", "na", F.explode("t").alias("w")).join(r.select("b", "nb", F.explode("t").alias("w")), "w").groupBy("a", "b").agg(F.count("*").alias("s"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    l, r = (df.select(i, F.array_distinct("terms").alias("t")).where(F.size("t") > 0) for df, i in ((left, "a"), (right, "b")))  # noqa: E741
+    words = l.select("a", F.explode("t").alias("w")).select("w").union(r.select("b", F.explode("t").alias("w")).select("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+    def rarest(df: DataFrame, i: str) -> DataFrame:
+        each = df.select(i, F.explode("t").alias("w")).join(words, "w").groupBy(i).agg(F.sort_array(F.collect_list(F.struct("n", "w"))).alias("s"))
+        keep = F.size("s") - F.ceil(F.lit(threshold) * F.size("s") - 1e-9).cast("int") + 1
+        return each.select(i, F.explode(F.slice("s", 1, F.greatest(F.lit(1), F.least(keep, F.size("s"))))).alias("x")).select(i, "x.w")
+
+    every = lambda df, i: df.select(i, F.explode("t").alias("w"))
+    pairs = rarest(l, "a").join(every(r, "b"), "w").select("a", "b").union(rarest(r, "b").join(every(l, "a"), "w").select("a", "b")).distinct()
+    both = pairs.join(l.withColumnRenamed("t", "ta"), "a").join(r.withColumnRenamed("t", "tb"), "b")
+    met = both.select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("s"), F.size("ta").alias("na"), F.size("tb").alias("nb"))
     out = met.withColumns({"containment": F.col("s") / F.least("na", "nb"), "jaccard": F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))})
     return out.where(F.greatest("containment", "jaccard") >= threshold).select("a", "b", "containment", "jaccard")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliate.storage import written
+
 
 def coalesced(events: DataFrame, key: str, time: str, width: str) -> DataFrame:
     """(key, opened, first, suppressed): one row for all events of a key in a fixed window; suppressed: those after the first."""
@@ -46,9 +48,21 @@ def versions_counted(vectors: DataFrame, valid_to: str) -> DataFrame:
 
 
 def rotated(owners: DataFrame, id_col: str, cursor: object) -> DataFrame:
-    """Rows with place: those after the cursor first, then those up to it, by id. Without a cursor all are after it. One row an owner."""
+    """Rows with place: those after the cursor first, then those up to it, by id. Without a cursor all are after it. One row an owner.
+
+    Rows are sorted by ranges and numbered in each; what is added to a range is how many rows those before it have. No task orders all.
+    """
     wrapped = F.lit(False) if cursor is None else F.col(id_col) <= F.lit(cursor)
-    return owners.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(wrapped, id_col)))
+    n = int(owners.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the low 33 bits of this id number the rows of a partition, the others number the partitions
+    parts = written(owners.repartitionByRange(n, wrapped, F.col(id_col)).sortWithinPartitions(wrapped, id_col).withColumn("_at", F.monotonically_increasing_id()), "rotated")
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before, seen = [], 0
+    for r in parts.groupBy(part.alias("p")).count().orderBy("p").collect():  # one row a partition
+        before.append((r["p"], seen))
+        seen += r["count"]
+    offsets = F.broadcast(owners.sparkSession.createDataFrame(before, "_p long, _before long"))
+    return parts.join(offsets, part == F.col("_p")).withColumn("place", (F.col("_before") + row + 1).cast("int")).drop("_at", "_p", "_before")
 
 
 def relationships(edges: DataFrame, n: int) -> DataFrame:

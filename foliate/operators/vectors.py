@@ -34,7 +34,15 @@ def _nearest(k: int):
         for start in range(0, len(own), 256):
             s = np.round(_unit(q.slice(start, 256), "vec") @ rows.T, 12)
             s[own[start : start + 256, None] == ids[None, :]] = -np.inf
-            best = np.argsort(-s, axis=1, kind="stable")[:, : k]  # ties by id
+            if k < s.shape[1]:  # all that reach the k-th value, of which the first by id stay
+                least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                row, col = np.nonzero(s >= least[:, None])
+                order = np.lexsort((col, -s[row, col], row))
+                row, col = row[order], col[order]
+                nth = np.arange(len(row)) - np.searchsorted(row, row)
+                best = col[nth < k].reshape(len(s), k)
+            else:
+                best = np.argsort(-s, axis=1, kind="stable")
             value = np.take_along_axis(s, best, 1)
             r, c = np.nonzero(np.isfinite(value))
             out_q.append(own[start + r]), out_i.append(ids[best[r, c]]), out_s.append(value[r, c])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from foliate.functions import text as paths
 from foliate.jobs import registry
-from foliate.operators import feed, filters, graph, parsing, search, tasks
+from foliate.operators import feed, filters, graph, parsing, search, tasks, usage
 from foliate.sources import readers
 from foliate.streaming import events
 from tests.conftest import SMALL
@@ -155,3 +155,52 @@ def test_notes_with_one_path_resolve_to_the_least_id(spark):
     notes = spark.createDataFrame([(5, "b/Plan.md"), (3, "b/Plan.md")], "id long, path string")
     edges = spark.createDataFrame([("", "Plan")], "folder string, target string")
     assert graph.resolved(edges, notes, "id", "path").collect()[0].dst == 3
+
+
+def test_percentiles_by_ranks(spark):
+    import random
+
+    draw = random.Random(9)
+    rows = [(k, draw.choice([None, "x"]), v) for k in ("a", "b", None) for v in [draw.choice([None, 0.0, -3.5, 1e-9, 7.0, 7.25, 1e12, draw.gauss(50, 9), draw.gauss(50, 9)]) for _ in range(draw.randrange(1, 120))]] + [("none", "x", None)]
+    df = spark.createDataFrame(rows, "k string, l string, v double")
+    got = {(r.k, r.l): (r.p0, r.p50, r.p99) for r in usage.percentiles(df, ["k", "l"], "v", {"p0": 0.0, "p50": 0.5, "p99": 0.99}).collect()}
+    want = {}
+    for key in {r[:2] for r in rows}:
+        own = sorted(r[2] for r in rows if r[:2] == key and r[2] is not None)
+        if own:
+            at = lambda q: (own[int(q * (len(own) - 1))], own[min(int(q * (len(own) - 1)) + 1, len(own) - 1)], q * (len(own) - 1) % 1)  # noqa: E731, B023
+            want[key] = tuple(pytest.approx(a + (b - a) * f) for a, b, f in map(at, (0.0, 0.5, 0.99)))
+    assert got == want
+    assert usage.percentiles(df.limit(0), ["k"], "v", {"p": 0.5}).count() == 0
+
+
+def test_similar_descriptions_equal_all_pairs(spark):
+    import random
+
+    draw = random.Random(8)
+    sets = [sorted(set(draw.choices("aaabbcdefghij", k=draw.randrange(6)))) for _ in range(60)]
+    left, right = [(k, s) for k, s in enumerate(sets[:30])], [(k, s) for k, s in enumerate(sets[30:])]
+    got = {(r.a, r.b): (r.containment, r.jaccard) for r in tasks.similar_descriptions(spark.createDataFrame(left, "a int, terms array<string>"), spark.createDataFrame(right, "b int, terms array<string>"), 0.6).collect()}
+    want = {}
+    for a, s in left:
+        for b, t in right:
+            n = len(set(s) & set(t))
+            if n and n / min(len(s), len(t)) >= 0.6:
+                want[a, b] = (pytest.approx(n / min(len(s), len(t))), pytest.approx(n / len(set(s) | set(t))))
+    assert got == want
+
+
+def test_rotation_over_ranges(spark):
+    from foliate.operators import upkeep
+
+    df = spark.createDataFrame([(k,) for k in range(100)], "id long").repartition(5)
+    assert [r.id for r in upkeep.rotated(df, "id", 40).orderBy("place").collect()] == [*range(41, 100), *range(41)]
+    assert [r.place for r in upkeep.rotated(df, "id", None).orderBy("id").collect()] == list(range(1, 101)) and upkeep.rotated(df.limit(0), "id", 3).count() == 0
+
+
+def test_hybrid_gives_a_note_one_place(spark):
+    notes = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "alpha beta")], "id int, text string")
+    chunks = spark.createDataFrame([(2, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0]), (3, [0.1, 1.0])], "id int, v array<double>")
+    ask = lambda like: search.hybrid(notes, chunks, F.lit(True), "id", "text", "v", "alpha", like, 9).orderBy("place").collect()
+    assert {(r.id, r.vector_rank) for r in ask([1.0, 0.0])} == {(1, None), (2, 1), (3, 2)}
+    assert [(r.id, r.matched_in) for r in ask(None)] == [(1, "keyword"), (3, "keyword")]
