@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliate.llm.common import drop, text_of, written
+from foliate.llm.common import drop, met, text_of, written
 
 _MARKS = r"^(?:[ \t]{0,3}>)+"
 #: A line that announces a quotation, in four languages.
 _SAID = r"(?i)^.{0,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$"
 
+#: Letters and digits that a passage must have to be looked for in other conversations: "Thanks!" is anybody's.
+TELLING = 20
+
 #: Slots of hashes that every task gets: a bound of 16 MB however many quotations there are.
 SLOTS = 1 << 20
 
@@ -78,20 +81,29 @@ def _hash(passage: Column) -> Column:
     return _digest(normal(passage))
 
 
+def _telling(passage: Column) -> Column:
+    return F.length(F.regexp_replace(passage, r"[^\p{L}\p{N}]", "")) >= TELLING
+
+
 def _met(quotes: DataFrame, first: DataFrame, original: str, part: int) -> DataFrame:
-    """quotes(conv, order, mid, level, unit, h) that have an original, with its place: (mid, level, unit, part, scope, pconv, porder)."""
+    """quotes(conv, order, mid, level, unit, h, telling) that have an original, with its place: (mid, level, unit, part, scope, pconv, porder).
+
+    What everybody quotes is a hot key of the search in other conversations: it goes by broadcast of its one row of originals.
+    """
     first = first.where(F.col(original).isNotNull())
     here = first.select(F.col("h").alias("h1"), F.col("conv").alias("conv1"), F.col(original).alias("here"))
     near = quotes.join(here, F.expr("h = h1 AND conv <=> conv1"), "left").withColumn("here", F.expr("CASE WHEN here < `order` THEN here END"))
+    near = written(near.select("conv", "mid", "level", "unit", "h", "telling", "here"), "near")
     # the two least conversations that have it: one of them isn't the quoting one
     place = F.struct(F.col("conv").isNull().alias("none"), "conv", F.col(original).alias("original"))
-    least = first.select(F.col("h").alias("h2"), place.alias("place")).withColumn("rank", F.row_number().over(Window.partitionBy("h2").orderBy("place"))).where("rank <= 2")
-    away = least.groupBy("h2").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    far = near.join(away, F.expr("h = h2 AND here IS NULL"), "left").withColumn("away", F.get(F.filter("places", lambda x: ~x["conv"].eqNullSafe(F.col("conv"))), F.lit(0)))
-    return far.where("here IS NOT NULL OR away IS NOT NULL").select(
-        "mid", "level", "unit", F.lit(part).alias("part"), F.when(F.col("here").isNotNull(), 0).otherwise(1).alias("scope"),
-        F.when(F.col("here").isNotNull(), F.col("conv")).otherwise(F.col("away.conv")).alias("pconv"),
-        F.coalesce("here", "away.original").alias("porder"),
+    asked = near.where("here IS NULL AND telling")
+    times = asked.groupBy("h").agg(F.count("*").alias("n"))
+    least = first.join(times, "h").select("h", "n", place.alias("place")).withColumn("rank", F.row_number().over(Window.partitionBy("h").orderBy("place"))).where("rank <= 2")
+    away = written(least.groupBy("h").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("place")).alias("places")), "away")
+    far = met(asked, away, ["h"], "n", asked.count()).withColumn("away", F.get(F.filter("places", lambda x: ~x["conv"].eqNullSafe(F.col("conv"))), F.lit(0))).where("away IS NOT NULL")
+    columns = ["mid", "level", "unit", F.lit(part).alias("part")]
+    return near.where("here IS NOT NULL").select(*columns, F.lit(0).alias("scope"), F.col("conv").alias("pconv"), F.col("here").alias("porder")).union(
+        far.select(*columns, F.lit(1), F.col("away.conv"), F.col("away.original"))
     )
 
 
@@ -103,8 +115,8 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
 
     A passage is a block of lines of one quote level, or blocks joined over blank lines; it is compared by 128 bits of the SHA-256 of its
     normalised text with the unquoted passages, runs and whole unquoted texts of all messages. The original of a passage is the first message, by
-    turn, of the same conversation that has it and comes before the quoting one; else the first message of
-    all conversations that has it, in the order of conversations, another one than that of the quotation. A quoted block that
+    turn, of the same conversation that has it and comes before the quoting one; else, for a passage of TELLING letters and digits, the first
+    message of all conversations that has it, in the order of conversations, another one than that of the quotation. A quoted block that
     is linked neither by itself nor as a part of a run is a trimmed one: its lines and sentences meet those of the unquoted blocks
     by the same rules, and the block counts as linked once. A message answers the original of its shallowest linked
     quotation, whole passages before lines and sentences, the latest if there are several; threads follow answers within a conversation.
@@ -132,9 +144,10 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     messages = written(messages.withColumn("order", F.struct(F.col("turn").isNull().alias("none"), "turn", "mid")), "messages")
 
     quotes = messages.where("deepest > 0").select("conv", "order", "mid", F.inline(F.filter("runs", lambda r: r["level"] > 0)))
-    quotes = quotes.select("conv", "order", "mid", "level", _hash(F.col("passage")).alias("run"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "blocks")).alias("block"))
+    quotes = quotes.select("conv", "order", "mid", "level", "passage", _hash(F.col("passage")).alias("run"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "blocks")).alias("block"))
     quotes = quotes.withColumn("h", F.when(F.col("block").isNull(), F.col("run")).otherwise(_hash(F.col("block"))))
-    quotes = written(quotes.groupBy("conv", "order", "mid", "level", "run", "h").agg(F.min("block").alias("block")), "quotes")
+    quotes = quotes.withColumn("telling", _telling(F.coalesce("block", "passage")))
+    quotes = written(quotes.groupBy("conv", "order", "mid", "level", "run", "h").agg(F.min("block").alias("block"), F.max("telling").alias("telling")), "quotes")
 
     # originals that nobody quotes go before they are grouped: those whose hash is in no slot of a quoted one, of SLOTS at most
     slot = F.pmod(F.xxhash64("h"), F.lit(SLOTS)).cast("int").alias("slot")
@@ -148,16 +161,18 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
     first = first.select("conv", "order", "whole", _hash(F.col("p")).alias("h")).withColumn("slot", slot).join(slots, "slot", "left_semi")
     first = written(first.groupBy("h", "conv").agg(F.min(F.when(F.col("whole"), F.col("order"))).alias("as_whole"), F.min(F.when(~F.col("whole"), F.col("order"))).alias("as_part")), "first")
 
-    met = written(_met(quotes.select("conv", "order", "mid", "level", "h", F.col("h").alias("unit")).distinct(), first, "as_whole", 0), "met")
-    done = met.select(F.col("mid").alias("mid1"), F.col("unit").alias("unit1")).distinct()
+    found = written(_met(quotes.select("conv", "order", "mid", "level", "h", F.col("h").alias("unit"), "telling").distinct(), first, "as_whole", 0), "met")
+    done = found.select(F.col("mid").alias("mid1"), F.col("unit").alias("unit1")).distinct()
     rest = quotes.where("block IS NOT NULL")
     for column in ("h", "run"):
         rest = rest.join(done, (F.col("mid") == F.col("mid1")) & (F.col(column) == F.col("unit1")), "left_anti")
-    trimmed = rest.select("conv", "order", "mid", "level", F.col("h").alias("unit"), F.explode(_parts(F.col("block"))).alias("p")).select("conv", "order", "mid", "level", "unit", _hash(F.col("p")).alias("h")).distinct()
-    met = met.union(_met(trimmed, first, "as_part", 1))
+    trimmed = rest.select("conv", "order", "mid", "level", F.col("h").alias("unit"), F.explode(_parts(F.col("block"))).alias("p")).select("conv", "order", "mid", "level", "unit", _hash(F.col("p")).alias("h"), _telling(F.col("p")).alias("telling")).distinct()
+    found = found.union(_met(trimmed, first, "as_part", 1))
     rank = F.struct("scope", "level", "part", F.when(F.col("porder.none"), -9223372036854775808).otherwise(-F.col("porder.turn")).alias("late"), "porder", "pconv")
-    answers = met.groupBy("mid").agg(F.count_distinct("unit").cast("int").alias("n_linked"), F.min(rank).alias("best"))
+    answers = found.groupBy("mid").agg(F.count_distinct("unit").cast("int").alias("n_linked"), F.min(rank).alias("best"))
     answers = written(answers.select("mid", "n_linked", "best.scope", F.col("best.pconv").alias("parent_conv"), F.col("best.porder.turn").alias("parent_turn"), F.col("best.porder.mid").alias("parent")), "answers")
+    for table in (quotes, first):
+        drop(table)
     places = _threads(answers.where("scope = 0").select("mid", "parent", "parent_turn"))
     full = messages.drop("runs", "order").join(answers.drop("parent"), "mid", "left").join(places, "mid", "left")
     return full.select(

@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import in_arrow, slices, text_of, utf8, written
+from foliate.llm.common import drop, in_arrow, slices, text_of, utf8, written
 
 #: Words whose counts every task holds, the most frequent ones of at most LONGEST bytes each: 16 MB at most. The first OWN of
 #: them are the model's own: they are more the larger the corpus is, up to this bound.
@@ -22,6 +22,8 @@ TAILS = 512
 END = b""
 #: Groups of outputs; components of a vector; words of context.
 GROUPS, DIMENSION, CONTEXT = 128, 7, 2
+#: Rounds of training; training tokens of a shard; tokens that are mixed before they are cut into minibatches.
+ROUNDS, SHARD, RUN = 16, 1 << 21, 1 << 18
 
 
 def tokens(text: str) -> list[bytes]:
@@ -29,23 +31,17 @@ def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def _held_out(ids: list, folds: int, fold: int) -> list[bool]:
-    return [i is not None and zlib.crc32(str(i).encode()) % folds == fold for i in ids]
-
-
-def _counts(folds: int, fold: int, most: int = 400_000):
+def _counts(most: int = 400_000):
     """(token, count) of the training rows of a partition, given off whenever `most` distinct tokens are held."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         give = lambda: pa.record_batch([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
         for batch in batches:
-            held = _held_out(batch.column(0).to_pylist(), folds, fold)
-            for a, b in slices(utf8(batch.column(1))[1], 1 << 22):
-                for out, text in zip(held[a:b], batch.column(1)[a:b].to_pylist(), strict=True):
-                    if not out:
-                        counts.update(tokens(text))
-                        counts[END] += 1
+            for a, b in slices(utf8(batch.column("text"))[1], 1 << 22):
+                for text in batch.column("text")[a:b].to_pylist():
+                    counts.update(tokens(text))
+                    counts[END] += 1
                 if len(counts) > most:
                     yield give()
                     counts.clear()
@@ -239,74 +235,130 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.minimum(-x, 30)))
 
 
-def _texts(batch: pa.RecordBatch, folds: int, fold: int, training: bool) -> Iterator[tuple[int, int, list[bytes], np.ndarray, list[bool]]]:
-    """(first row, end, tokens of the rows end to end, where each text ends, held-out flags) of some megabytes at a time."""
-    held = _held_out(batch.column(0).to_pylist(), folds, fold)
-    for a, b in slices(utf8(batch.column(1))[1], 1 << 21):
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes], np.ndarray]]:
+    """(first row, end, tokens of the rows end to end, where each text ends) of some megabytes at a time."""
+    for a, b in slices(utf8(batch.column("text"))[1], 1 << 21):
         words: list[bytes] = []
         ends = []
-        for out, text in zip(held[a:b], batch.column(1)[a:b].to_pylist(), strict=True):
-            if not (training and out):
-                words += tokens(text)
-                words.append(END)
-                ends.append(len(words))
-        yield a, b, words, np.array(ends, np.int64), held[a:b]
+        for text in batch.column("text")[a:b].to_pylist():
+            words += tokens(text)
+            words.append(END)
+            ends.append(len(words))
+        yield a, b, words, np.array(ends, np.int64)
 
 
 #: Rows of an array that are sent together.
 _ROWS = 512
 
 
-def _training(lexicon: Broadcast, folds: int, fold: int, size: int = 4096):
-    """Trains a model on the training texts of a partition: how far rows of its arrays moved, weighted by their uses, as (name, block, moves)."""
+def _coded(lexicon: Broadcast):
+    """Training texts to (key, symbols): 16-bit numbers of the symbols, their end included."""
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, start = LogBilinear(lexicon.value), LogBilinear(lexicon.value)
-        trainer = Trainer(model, TaskContext.get().partitionId() + 1)
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, words, ends, _ in _texts(batch, folds, fold, True):
-                if words:
-                    symbol = lexicon.value.symbols(words)[1]
-                    contexts = lexicon.value.contexts(symbol, np.append(0, ends[:-1]))
-                    order = trainer.rng.permutation(len(symbol))
-                    step = max(32, min(size, len(order) // 64))  # a short run of texts gets smaller batches, so some dozens of them
-                    for k in range(0, len(order), step):
-                        trainer.batch(contexts[order[k : k + step]], symbol[order[k : k + step]])
+            for a, b, words, ends in _texts(batch):
+                symbol = lexicon.value.symbols(words)[1].astype(np.uint16)  # OWN and TAILS are fewer than 65,536
+                own = np.split(symbol, ends[:-1])
+                yield pa.record_batch([batch.column("key")[a:b], pa.array([x.tobytes() for x in own], pa.binary())], ["key", "symbols"])
+
+    return code
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(shard, symbols, starts of texts) of about RUN tokens at a time, however rows are cut into batches."""
+    held: list[np.ndarray] = []
+    size, shard = 0, 0
+
+    def run() -> tuple[int, np.ndarray, np.ndarray]:
+        return shard, np.concatenate(held).astype(np.int32), np.append(0, np.cumsum([len(x) for x in held])[:-1])
+
+    for batch in batches:
+        for shard_, data in zip(batch.column("shard").to_pylist(), batch.column("symbols").to_pylist(), strict=True):
+            shard = shard_
+            held.append(np.frombuffer(data, np.uint16))
+            size += len(held[-1])
+            if size >= RUN:
+                yield run()
+                held, size = [], 0
+    if held:
+        yield run()
+
+
+def _training(lexicon: Broadcast, state: Broadcast, number: int, size: int = 4096):
+    """Trains on the texts of a shard from the state that all shards start from: how far rows of arrays and their squares moved, weighted
+    by their uses, as (shard, name, first, rows, moves)."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = LogBilinear(lexicon.value)
+        trainer, shard = None, 0
+        for shard, symbol, starts in _runs(batches):
+            if trainer is None:
+                trainer = Trainer(model, 1 + number + ROUNDS * shard)
+                for name, values in model.arrays().items():
+                    values[:], trainer.squares[name][:] = state.value[name][:, :-1], state.value[name][:, -1]
+            contexts = lexicon.value.contexts(symbol, starts)
+            order = trainer.rng.permutation(len(symbol))
+            step = max(32, min(size, len(order) // 64))  # a short run of texts gets smaller batches, so some dozens of them
+            for k in range(0, len(order), step):
+                trainer.batch(contexts[order[k : k + step]], symbol[order[k : k + step]])
+        if trainer is None:
+            return
         for name, values in model.arrays().items():
-            uses = np.sqrt(trainer.touched[name])
-            move = np.column_stack([uses[:, None] * (values - start.arrays()[name]), uses]).astype(np.float32)
+            uses = np.sqrt(trainer.touched[name])[:, None]
+            now = np.column_stack([values, trainer.squares[name]])
+            move = np.column_stack([uses * (now - state.value[name]), uses]).astype(np.float32)
             for k in range(0, len(move), _ROWS):
                 own = move[k : k + _ROWS]
                 on = np.flatnonzero(own[:, -1])
                 if len(on):
-                    yield pa.record_batch([pa.array([name]), pa.array([k], pa.int32()), pa.array([on.astype(np.int32)], pa.list_(pa.int32())), pa.array([own[on].astype(np.float16).tobytes()], pa.binary())], ["name", "first", "rows", "moves"])
+                    rows = pa.array([on.astype(np.int32)], pa.list_(pa.int32()))
+                    yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([name]), pa.array([k], pa.int32()), rows, pa.array([own[on].tobytes()], pa.binary())], ["shard", "name", "first", "rows", "moves"])
 
     return train
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the moves of a block over all partitions, one after the other: a task holds its own blocks only."""
+    """Means of the moves of a block over all shards, which come in order, one after the other: a task holds its own blocks only."""
     sums: dict[tuple[str, int], np.ndarray] = {}
     for batch in batches:
-        for name, first, rows, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            move = np.frombuffer(data, np.float16).astype(float).reshape(len(rows), -1)
+        for name, first, rows, data in zip(*(batch.column(c).to_pylist() for c in ("name", "first", "rows", "moves")), strict=True):
+            move = np.frombuffer(data, np.float32).astype(float).reshape(len(rows), -1)
             sums.setdefault((name, first), np.zeros((_ROWS, move.shape[1])))[rows] += move
     for (name, first), total in sums.items():
         mean = (total[:, :-1] / np.maximum(total[:, -1:], 1e-9)).astype(np.float32)
         yield pa.record_batch([pa.array([name]), pa.array([first], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["name", "first", "moves"])
 
 
-def trained(rows: DataFrame, lexicon: Lexicon, shared: Broadcast, folds: int, fold: int) -> LogBilinear:
-    """A model trained on all training rows of rows(id, text): each partition trains on its own from one start, what its rows moved is averaged."""
-    moves = in_arrow(rows, _training(shared, folds, fold), "name string, first int, rows array<int>, moves binary").repartition("name", "first")
+def trained(texts: DataFrame, lexicon: Lexicon, shared: Broadcast) -> LogBilinear:
+    """A model trained on all of texts(text), in ROUNDS rounds of shards that all start from the state the last round ended with.
+
+    The hash of a text names its round and its shard, and shards read their texts in the order of hashes; so the model doesn't depend on
+    files, partitions or executors. Shards have about SHARD tokens; a round trains on its part of each. Rows of arrays, and the squares that
+    steps are divided by, move by the mean of what shards moved them, weighted by the root of their uses.
+    """
+    spark = texts.sparkSession
+    shards = max(1, -(-lexicon.total // SHARD))
+    coded = in_arrow(texts.select(F.xxhash64("text").alias("key"), "text"), _coded(shared), "key long, symbols binary")
+    place = {"round": F.pmod("key", F.lit(ROUNDS)).cast("int"), "shard": F.pmod(F.shiftright("key", 20), F.lit(shards)).cast("int")}
+    coded = written(coded.withColumns(place), "symbols", ["round"])
     model = LogBilinear(lexicon)
-    for r in in_arrow(moves, _averaged, "name string, first int, moves binary").toLocalIterator():  # the model's own arrays: bounded by OWN
-        own = model.arrays()[r.name][r.first : r.first + _ROWS]
-        own += np.frombuffer(r.moves, np.float32).reshape(_ROWS, -1)[: len(own)]
+    squares = {name: np.full(len(x), 1e-3, np.float32) for name, x in model.arrays().items()}
+    for number in range(ROUNDS):
+        state = spark.sparkContext.broadcast({name: np.column_stack([x, squares[name]]) for name, x in model.arrays().items()})
+        own = coded.where(F.col("round") == number).select("shard", "key", "symbols").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "key")
+        moves = in_arrow(own, _training(shared, state, number), "shard int, name string, first int, rows array<int>, moves binary")
+        moves = moves.repartition("name", "first").sortWithinPartitions("name", "first", "shard")
+        for r in in_arrow(moves, _averaged, "name string, first int, moves binary").collect():  # the model's own arrays: bounded by OWN
+            values = model.arrays()[r.name][r.first : r.first + _ROWS]
+            move = np.frombuffer(r.moves, np.float32).reshape(_ROWS, -1)[: len(values)]
+            values += move[:, :-1]
+            squares[r.name][r.first : r.first + _ROWS] += move[:, -1]
+        state.unpersist()
+    drop(coded)
     return model
 
 
-def _scores(model: Broadcast, folds: int, fold: int):
+def _scores(model: Broadcast):
     """Of each document: what held words and the model give, and its other words with how often it has them."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +368,7 @@ def _scores(model: Broadcast, folds: int, fold: int):
         inside = np.zeros(len(known.share))
         inside[known.tail] = np.log10(known.tail_n + known.tail_v + 1.0)
         for batch in batches:
-            for a, b, words, ends, held in _texts(batch, folds, fold, False):
+            for a, b, words, ends in _texts(batch):
                 at, symbol = known.symbols(words)
                 starts = np.append(0, ends[:-1])
                 logp = model.value.log_probabilities(known.contexts(symbol, starts), symbol) / np.log(10) - inside[symbol] + known.inside[at]
@@ -332,7 +384,7 @@ def _scores(model: Broadcast, folds: int, fold: int):
                     sums.append(len(lists))
                 pairs = pa.StructArray.from_arrays([pa.array(lists, pa.binary()), pa.array(counts, pa.int64())], ["token", "n"])
                 yield pa.record_batch(
-                    [batch.column(0)[a:b], pa.array(held), pa.array(np.diff(ends, prepend=0)), pa.array(total((known.n[at] > 0).astype(np.int64))), pa.array(total(log_n[at])), pa.array(total(logp)), pa.ListArray.from_arrays(pa.array(sums, pa.int32()), pairs)],
+                    [batch.column("id")[a:b], batch.column("held_out")[a:b], pa.array(np.diff(ends, prepend=0)), pa.array(total((known.n[at] > 0).astype(np.int64))), pa.array(total(log_n[at])), pa.array(total(logp)), pa.ListArray.from_arrays(pa.array(sums, pa.int32()), pairs)],
                     ["id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
                 )
 
@@ -348,25 +400,28 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     tail has (c + 1) / (N + V + 1) of the tail's probability, where one share is for words never seen.
 
     Counts are grouped over all tokens; every task holds only the most frequent words, to a fixed bound, and other
-    words of a document meet their counts in a join. The model is trained on every token of all training rows, partition
-    by partition, and averaged; it has as many parameters as its vocabulary. Whole texts are read, some megabytes at a time.
+    words of a document meet their counts in a join. The model is trained once on every token of all training rows, in rounds whose shards
+    are averaged (see trained()); it has as many parameters as its vocabulary. The same rows give the same scores, in whatever
+    files and partitions they are. Whole texts are read, some megabytes at a time; columns beyond id and text aren't.
 
     Null and empty texts are one end token. Rows with null ids train and are not held out. Repeated rows count as often as they
     are there. An empty table gives no rows.
     """
     kind = df.schema[id_col].dataType.simpleString()
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    counts = written(in_arrow(rows, _counts(folds, fold), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    out_ = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
+    rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), out_.alias("held_out"))
+    texts = rows.where("NOT held_out").select("text")
+    counts = written(in_arrow(texts, _counts(), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     size, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     frequent = [(bytes(r.token), r.n) for r in counts.where(F.length("token") <= LONGEST).orderBy(F.desc("n"), "token").limit(HELD).collect()]
     ending = F.pmod(F.crc32(F.expr("substr(token, greatest(length(token) - 1, 1), 2)")), F.lit(TAILS))
     tails = [tuple(r) for r in counts.where(F.length("token") > 0).groupBy(ending.alias("c")).agg(F.sum("n"), F.count("*")).collect()]
     lexicon = Lexicon(frequent, size, total, [(int(c), n, v) for c, n, v in tails])
-    model = spark.sparkContext.broadcast(trained(rows, lexicon, spark.sparkContext.broadcast(lexicon), folds, fold))
+    model = spark.sparkContext.broadcast(trained(texts, lexicon, spark.sparkContext.broadcast(lexicon)))
 
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<token: binary, n: bigint>>"
-    parts = written(in_arrow(rows, _scores(model, folds, fold), schema).withColumn("uid", F.monotonically_increasing_id()), "scores")
+    parts = written(in_arrow(rows, _scores(model), schema).withColumn("uid", F.monotonically_increasing_id()), "scores")
     rare = parts.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.token").alias("token"), F.col("r.n").alias("times"))
     met = rare.join(counts, "token").groupBy("uid").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"))
     out = parts.drop("rare").join(met, "uid", "left").withColumns({"known": F.coalesce("known", F.lit(0)), "logs": F.coalesce("logs", F.lit(0.0))})
