@@ -323,21 +323,23 @@ def test_bands():
 
 def test_quotes(spark):
     rows = [
-        (1, 0, "user", "Hello there.\nHow are you?\n\nSecond para."),
+        (1, 0, "user", "Hello there.\nHow are you?\n\nThe second paragraph of it."),
         (1, 1, "assistant", "> Hello there. How\n> are you?\nFine thanks."),
         (1, 2, "user", "On Monday, Bob wrote:\n> > Hello there.\n> > How are you?\n> Fine thanks.\n\nGood."),
         (1, 3, "user", ">> Fine thanks.\n> unknown\nhm"),
         (1, None, "user", None),
-        (2, 0, "user", "> Second para.\nWhat?"),
-        (2, 0, "user", "> Second para.\nWhat?"),
+        (2, 0, "user", "> The second paragraph of it.\nWhat?"),
+        (2, 0, "user", "> The second paragraph of it.\nWhat?"),
         (None, 1, None, ""),
         (3, 0, "user", ">\n> \n"),
+        (4, 0, "user", "> Fine thanks.\nYes"),  # too short to be anything's of another conversation
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, mid string")
     got = Counter((r.conv_id, r.turn, r.reply_text, r.n_quoted, r.n_linked, r.link_scope, r.parent_conv, r.parent_turn, r.thread_turn, r.depth) for r in op1_quotes.linked(df).collect())
     assert got == Counter(
         [
-            (1, 0, "Hello there.\nHow are you?\n\nSecond para.", 0, 0, None, None, None, 0, 0),
+            (4, 0, "Yes", 1, 0, None, None, None, 0, 0),
+            (1, 0, "Hello there.\nHow are you?\n\nThe second paragraph of it.", 0, 0, None, None, None, 0, 0),
             (1, 1, "Fine thanks.", 1, 1, "conversation", 1, 0, 0, 1),
             (1, 2, "Good.", 2, 2, "conversation", 1, 1, 0, 2),
             (1, 3, "hm", 2, 1, "conversation", 1, 1, 0, 2),
@@ -359,9 +361,9 @@ def test_trimmed_quotes(spark):
         (1, 3, "u", "> First line here\n> second line. It has\nthree"),
         (1, 4, "u", "> two\n> On Monday, Bob wrote:\n>> It has two sentences!\nfour"),
         (1, 5, "u", "> nobody said so\n> ---\nfive"),
-        (2, 0, "u", "> Said twice.\nhm"),
-        (2, 1, "u", "Said twice."),
-        (3, 0, "u", "Said twice."),
+        (2, 0, "u", "> Said twice by different people.\nhm"),
+        (2, 1, "u", "Said twice by different people."),
+        (3, 0, "u", "Said twice by different people."),
     ]
     got = {(r.conv_id, r.turn): r for r in op1_quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [(got[1, k].n_linked, got[1, k].parent_turn) for k in range(6)] == [(0, None), (1, 0), (1, 0), (1, 0), (2, 2), (0, None)]
@@ -377,7 +379,7 @@ def test_deep_thread(spark):
 
 def plain_links(rows):
     """Plain linking: (conv, turn) to (linked passages, link scope, parent) for rows(conv, turn, text) of single-paragraph lines, quoted whole."""
-    norm = lambda x: re.sub(r"\\s+", " ", x).strip().lower()
+    norm = lambda x: re.sub(r"\s+", " ", x).strip().lower()
     first = {}
     for conv, turn, text in sorted(rows):
         for line in text.split("\n\n"):
@@ -390,7 +392,7 @@ def plain_links(rows):
             if block.startswith("> "):
                 at = first.get(norm(block[2:]), [])
                 here = [x for x in at if x[0] == conv and x[1] < turn][:1]
-                away = [x for x in at if x[0] != conv][:1]
+                away = [x for x in at if x[0] != conv and sum(c.isalnum() for c in block) >= op1_quotes.TELLING][:1]
                 if here or away:
                     found[norm(block[2:])] = (0, -here[0][1], here[0]) if here else (1, -away[0][1], away[0])
         best = min(found.values(), default=None)
@@ -400,7 +402,7 @@ def plain_links(rows):
 
 def test_quotes_equal_a_plain_version(spark):
     rng = np.random.default_rng(12)
-    lines = [f"{rng.choice(WORDS)} {rng.choice(WORDS)} alpha{k}" for k in range(25)]
+    lines = [f"{rng.choice(WORDS)} {rng.choice(WORDS)}  alpha{k}" + " and some more words" * (k % 3 > 0) for k in range(25)]
     rows = []
     for conv in range(12):
         for turn in range(8):
@@ -435,6 +437,8 @@ def test_language_model(spark, nothing):
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) and r.score < 0
     own = [r for i, r in got.items() if held[i] and i < 150]
     assert sum(r.score for r in own) > sum(r.base_score for r in own)
+    again = {r.doc_id: r.score for r in op4_lm.scored(docs(spark, texts).repartition(7, "uid")).collect()}
+    assert again == pytest.approx({i: r.score for i, r in got.items()})  # however rows are dealt
     assert op4_lm.scored(nothing).count() == 0
 
 
