@@ -49,6 +49,20 @@ def keyword_snippets(spark, folder):
     return ranking.snippets(table(spark, folder, "documents"), "doc_id", _density(spark, folder, 20), _UNITS, list(_PARTS))
 
 
+@query("keyword_parts", r"""
+WITH d AS (SELECT doc_id AS id, ' ' || regexp_replace(lower(coalesce(source, '')), '[^\p{L}\p{N}]+', ' ', 'g') || ' ' AS a, ' ' || regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g') || ' ' AS b FROM documents),
+m AS (SELECT id, contains(a, ' src7 ') AS s1, contains(b, ' src7 ') AS s2, contains(a, ' version ') AS v1, contains(b, ' version ') AS v2 FROM d),
+k AS (SELECT *, (s1 OR s2)::INT + (v1 OR v2)::INT AS matched, s1::INT + s2::INT * 0.02 + v1::INT + v2::INT * 0.02 AS score FROM m),
+t AS (SELECT * FROM k WHERE matched > 0 ORDER BY matched < 2, score DESC, id LIMIT 200)
+SELECT id, matched, CASE WHEN matched = 2 THEN CASE WHEN s1 AND v1 AND s2 AND v2 THEN 'source,text' WHEN s1 AND v1 THEN 'source' WHEN s2 AND v2 THEN 'text' ELSE 'source+text' END
+  WHEN (s1 OR v1) AND (s2 OR v2) THEN 'source,text' WHEN s1 OR v1 THEN 'source' ELSE 'text' END AS matched_in FROM t""")
+def keyword_parts(spark, folder):
+    index = indexed(spark, folder, {"source": "A", "text": "D"})
+    found = textindex.keyword(index, "src7 version", 200)
+    where = textindex.matched_in(index, "src7 version", found, {"A": "source", "D": "text"})
+    return found.join(where, "id").select("id", "matched", F.array_join("matched_in", ",").alias("matched_in"))
+
+
 _ARM = """SELECT q.vec_id AS qid, (q.label = d.label)::INT AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity({q}, {d}) DESC, d.vec_id) AS rank
   FROM embeddings q JOIN embeddings d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0"""
 _FULL = _ARM.format(q="q.embedding::DOUBLE[]", d="d.embedding::DOUBLE[]")

@@ -73,6 +73,30 @@ def density(notes: DataFrame, id_col: str, units: list[str], parts: dict[str, fl
     return densities(hits_of(notes, id_col, units, parts), units, limit)
 
 
+def fragments(hits: DataFrame, units: list[str], around: int = 4, least: int = 6, most: int = 18) -> DataFrame:
+    """(id, fragments) of hits(id, pos, term, weight): one or two stretches (first, words) in the order of the text.
+
+    The first choice is the stretch around the worthiest cover, the second that around the worthiest cover whose stretch doesn't meet it;
+    of equal ones the earlier. A stretch has `around` words on either side of its cover, `least` to `most` words in all.
+    """
+    first = F.greatest(F.col("begin") - around, F.lit(0))
+    length = F.least(F.greatest(F.col("end") - F.col("begin") + 1 + 2 * around, F.lit(least)), F.lit(most))
+    rows = spans(hits, units).select("id", F.struct(first.cast("int").alias("first"), length.cast("int").alias("words")).alias("at"), F.struct(F.round("value", 9), -F.col("begin")).alias("worth"))
+    best = rows.groupBy("id").agg(F.max_by("at", "worth").alias("one"))
+    apart = (F.col("at.first") >= F.col("one.first") + F.col("one.words")) | (F.col("one.first") >= F.col("at.first") + F.col("at.words"))
+    both = rows.join(best, "id").groupBy("id", "one").agg(F.max_by(F.when(apart, F.col("at")), F.when(apart, F.col("worth"))).alias("two"))
+    return both.select("id", F.array_sort(F.filter(F.array("one", "two"), lambda x: x.isNotNull())).alias("fragments"))
+
+
+def excerpts(notes: DataFrame, id_col: str, found: DataFrame, units: list[str], parts: list[str]) -> DataFrame:
+    """(id, excerpt) for found(id, fragments): the words of each stretch with units in <b></b>, stretches parted by an ellipsis."""
+    units = [u.lower() for u in units]
+    rows = notes.select(F.col(id_col).alias("id"), *parts).join(F.broadcast(found), "id").withColumn("_w", F.concat(*[words(F.col(p)) for p in parts]))
+    marked = lambda w: F.when(F.lower(w).isin(units), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)
+    cut = F.transform("fragments", lambda x: F.array_join(F.transform(F.slice("_w", x["first"] + 1, x["words"]), marked), " "))
+    return rows.select("id", F.array_join(cut, " … ").alias("excerpt"))
+
+
 def snippets(notes: DataFrame, id_col: str, ranked: DataFrame, units: list[str], parts: list[str], around: int = 4, least: int = 6, most: int = 18) -> DataFrame:
     """(id, score, snippet) for the rows of density(): the words around the best cover, `least` to `most` of them where there are so many, units in <b></b>.
 

@@ -183,3 +183,37 @@ def density(index: TextIndex, units: list[str], limit: int) -> DataFrame:
     if not found.more:
         return top
     return ranking.ordered(top.unionByName(ranking.densities(_hits(index, units, rest), units, limit)), limit)
+
+
+def matched_in(index: TextIndex, query: str, rows: DataFrame, parts: dict[str, str]) -> DataFrame:
+    """(id, matched_in) for rows(id, match) of keyword(): the parts that match the query by themselves, else the first pair of parts that
+    does together, else all parts joined by +. parts names the weights of the index, in order.
+
+    A row of match `all` has to have every group of the query in the parts, one of `any` one of them. One pass over the postings of the
+    rows, however many parts and pairs there are.
+    """
+    groups, _ = parse_query(query)
+    words = sorted({w for g in groups for u in g for w in u})
+    name = {w: f"w{k}" for k, w in enumerate(words)}
+    found = index.postings(words).join(rows.select("id", "match"), "id").groupBy("id", "match")
+    docs = found.agg(F.struct(*[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(c) for w, c in name.items()]).alias("w"))
+    codes = {title: CODES[weight] for weight, title in parts.items()}
+
+    def holds(titles: tuple[str, ...]) -> Column:
+        wanted = [codes[t] for t in titles]
+        inside = lambda x: reduce(lambda a, b: a | b, (x % 4 == c for c in wanted))
+        has = [reduce(lambda a, u: a | F.exists(_unit([name[w] for w in u]), inside), g, F.lit(False)) for g in groups]
+        return F.when(F.col("match") == "all", reduce(lambda a, b: a & b, has)).otherwise(reduce(lambda a, b: a | b, has))
+
+    single = F.filter(F.array(*[F.when(holds((t,)), F.lit(t)) for t in codes]), lambda x: x.isNotNull())
+    pairs = [(a, b) for k, a in enumerate(codes) for b in list(codes)[k + 1 :]]
+    together = F.coalesce(*[F.when(holds(p), F.lit("+".join(p))) for p in pairs], F.lit("+".join(codes)))
+    return docs.select("id", F.when(F.size(single) > 0, single).otherwise(F.array(together)).alias("matched_in"))
+
+
+def fragments(index: TextIndex, units: list[str], rows: DataFrame, around: int = 4, least: int = 6, most: int = 18) -> DataFrame:
+    """(id, fragments) for rows(id): ranking.fragments() of their hits, from the postings of the units."""
+    units = sorted({u.lower() for u in units})
+    at = index.postings(units).join(rows.select("id"), "id", "left_semi").select("id", "term", F.explode("positions").alias("x"))
+    hits = at.select("id", F.shiftright("x", 2).alias("pos"), "term", F.element_at(F.array(*[F.lit(w) for w in _WORTH]), F.col("x") % 4 + 1).alias("weight"))
+    return ranking.fragments(hits, units, around, least, most)
