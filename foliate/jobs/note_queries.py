@@ -122,3 +122,18 @@ WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower
 SELECT item_id, array_to_string(list_transform(list_sort(list_transform(t, lambda x: {'l': -length(x), 'w': x}))[1:8], lambda x: x.w), ' ') AS terms FROM w""")
 def similarity_terms(spark, folder):
     return table(spark, folder, "benchmark").select("item_id", F.concat_ws(" ", tasks.similarity_terms(F.col("text"))).alias("terms"))
+
+
+@query("tasks_trailing_fields", """
+SELECT o_orderkey, o_orderpriority || ' 📅 not yet' AS description, strftime(o_orderdate, '%Y-%m-%d') AS due, CASE WHEN o_orderstatus = 'O' THEN 'high' END AS priority,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'every 2 weeks' END AS recurrence, CASE WHEN o_orderkey % 2 = 0 THEN '#' || lower(o_orderstatus) ELSE '' END AS tags, 'o' || o_orderkey AS block FROM orders""")
+def trailing_fields(spark, folder):
+    """Orders as task lines: what stands before the run of fields at their end, and what the run says."""
+    when = lambda c, text: F.when(c, text).otherwise(F.lit(""))
+    text = F.concat(
+        "o_orderpriority", F.lit(" 📅 not yet"), when(F.col("o_orderstatus") == "O", F.lit(" ⏫")), F.lit(" 📅\ufe0f "), F.date_format("o_orderdate", "yyyy-MM-dd"),
+        when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" #"), F.lower("o_orderstatus"))), when(F.col("o_orderkey") % 3 == 0, F.lit(" 🔁 every 2 weeks")), F.lit(" ^o"), F.col("o_orderkey").cast("string"),
+    )
+    found = tasks.trailing_fields(table(spark, folder, "orders").select("o_orderkey", text.alias("text")), "o_orderkey", "text")
+    value = lambda family: F.get(F.filter("fields", lambda f: f["family"] == family), F.lit(0))["value"].alias(family)
+    return found.select("o_orderkey", "description", value("due"), value("priority"), value("recurrence"), F.array_join("tags", " ").alias("tags"), "block")

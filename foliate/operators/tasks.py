@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliate.session import ship
+
 #: Ranks of priorities; none lies between medium and low.
 RANKS = {"highest": 0, "high": 1, "medium": 2, "low": 4, "lowest": 5}
 CAPS = {"overdue": 25, "today": 25, "scheduled": 15, "later": 15, "upcoming": 50}
@@ -121,6 +125,73 @@ def fields(text: Column) -> Column:
     return F.struct(*dates, F.try_element_at(rank, last(f"([{''.join(PRIORITY_SIGNS)}])")).alias("priority"), rule.alias("recurrence"), tags.alias("tags"))
 
 
+#: What the value of a sign's field may be, and the sign that may follow a sign to ask for its picture.
+VALUES = {"date": r"\d{4}-\d{2}-\d{2}", "recurrence": r"[a-zA-Z0-9, !]+", "on_completion": r"[a-zA-Z]+", "id": r"[a-zA-Z0-9_-]+", "depends_on": r"[a-zA-Z0-9_-]+( *, *[a-zA-Z0-9_-]+)*"}
+OTHER_FIELDS, PICTURE = {"🏁": "on_completion", "🆔": "id", "⛔": "depends_on"}, "\ufe0f"
+
+
+def _signs() -> dict[str, str]:
+    dates = {sign: name for name, signs in DATE_SIGNS.items() for sign in signs}
+    return dates | {sign: "priority" for sign in PRIORITY_SIGNS} | {REPEAT_SIGN: "recurrence"} | OTHER_FIELDS
+
+
+_TRAILING_TAG = re.compile(r"""(?:^|\s)(#[^\s!@#$%^&*(),.?":{}|<>]+)$""")
+_BLOCK = re.compile(r" \^([a-zA-Z0-9-]+)$")
+
+
+def trailing(text: str) -> tuple[str, list[tuple[str, str, int, int]], list[str], str | None]:
+    """(description, fields, tags, block) of a task's text, read from its end to the first word that is no field.
+
+    A field is a sign, perhaps with PICTURE behind it, and a value that its family allows (a priority has none): (family, value, where the
+    sign stands, where the value ends), in the order of the text. Tags between fields go with them. A block link is ` ^name` at the very
+    end. What stands before is the description, whatever signs it has. Each sign is looked at once.
+    """
+    end, block, found, tags = len(text.rstrip()), None, [], []
+    if m := _BLOCK.search(text[:end]):
+        block, end = m[1], len(text[: m.start()].rstrip())
+    kinds = _signs()
+    places = [k for k, c in enumerate(text[:end]) if c in kinds]
+    while end:
+        while places and places[-1] >= end:
+            places.pop()
+        if places:
+            at = places[-1]
+            family = kinds[text[at]]
+            value = text[at + 1 : end].removeprefix(PICTURE)
+            if family == "priority":
+                known = PRIORITY_SIGNS[text[at]] if not value else None
+            else:
+                bare = value.lstrip()
+                allowed = VALUES.get(family, VALUES["date"])
+                known = bare if re.fullmatch(allowed, bare) else None
+            if known is not None:
+                found.append((family, known, at, end))
+                end = len(text[:at].rstrip())
+                continue
+        word = text.rfind("#", 0, end)
+        if word < 0 or not (m := _TRAILING_TAG.match(text, max(word - 1, 0), end)):
+            break
+        tags.append(m[1])
+        end = len(text[:word].rstrip())
+    return text[:end], found[::-1], tags[::-1], block
+
+
+def trailing_fields(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, description, fields, tags, block) of every task text by trailing(); a null text is empty."""
+    kind = df.schema[id_col].dataType.simpleString()
+    field = pa.struct([("family", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [trailing(x or "") for x in batch.column(1).to_pylist()]
+            fields_ = pa.array([[dict(zip(("family", "value", "start", "end"), f, strict=True)) for f in r[1]] for r in rows], pa.list_(field))
+            yield pa.record_batch([batch.column(0), pa.array([r[0] for r in rows], pa.string()), fields_, pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.string())], ["id", "description", "fields", "tags", "block"])
+
+    ship(df.sparkSession)
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, description string, fields array<struct<family:string,value:string,start:int,end:int>>, tags array<string>, block string")
+    return out.withColumnRenamed("id", id_col)
+
+
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once, however often `use` names it."""
     return F.transform(F.array(value), use)[0]
