@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliate.jobs.registry import query
-from foliate.operators import feed, graph, tasks
+from foliate.operators import feed, graph, rules, tasks
 from foliate.session import table
 
 _NOTES = r"""WITH named AS (SELECT p_partkey AS id, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' ' || p_partkey // 3 AS stem,
@@ -137,3 +137,14 @@ def trailing_fields(spark, folder):
     found = tasks.trailing_fields(table(spark, folder, "orders").select("o_orderkey", text.alias("text")), "o_orderkey", "text")
     value = lambda family: F.get(F.filter("fields", lambda f: f["family"] == family), F.lit(0))["value"].alias(family)
     return found.select("o_orderkey", "description", value("due"), value("priority"), value("recurrence"), F.array_join("tags", " ").alias("tags"), "block")
+
+
+@query("tasks_ruled", """
+WITH t AS (SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderdate END AS due, lower(o_orderpriority) AS tag, o_orderkey % 5 = 0 AS tags_cut, o_orderstatus = 'O' AS is_open FROM orders),
+v AS (SELECT *, CASE WHEN due IS NOT NULL OR tag = '1-urgent' THEN true WHEN tags_cut THEN NULL ELSE false END AS v FROM t)
+SELECT count(*) FILTER (is_open AND coalesce(v, true)) AS kept, count(*) FILTER (is_open AND v IS NULL) AS unsure, count(*) FILTER (is_open AND NOT coalesce(v, true)) AS without_rule, count(*) FILTER (NOT is_open AND coalesce(v, true)) AS without_state FROM v""")
+def ruled(spark, folder):
+    """Open orders under a rule of fields and tags, with rows that the rule can't judge and those that each group alone leaves out."""
+    due = F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderdate"))
+    rows = table(spark, folder, "orders").select(due.alias("due"), F.array(F.lower("o_orderpriority")).alias("tags"), (F.col("o_orderkey") % 5 == 0).alias("tags_cut"), (F.col("o_orderstatus") == "O").alias("is_open"), F.lit("").alias("text"), F.lit(False).alias("text_cut"))
+    return rules.side_counts(rows, {"rule": rules.compiled({"kind": "fields", "tags": ["1-urgent"]}, ["due"]), "state": F.col("is_open")})
