@@ -23,7 +23,7 @@ END = b""
 #: Groups of outputs; components of a vector; words of context.
 GROUPS, DIMENSION, CONTEXT = 128, 7, 2
 #: Rounds of training; training tokens of a shard; tokens that are mixed before they are cut into minibatches.
-ROUNDS, SHARD, RUN = 16, 1 << 21, 1 << 18
+ROUNDS, SHARD, RUN = 8, 1 << 22, 1 << 18
 
 
 def tokens(text: str) -> list[bytes]:
@@ -121,10 +121,13 @@ class LogBilinear:
     context words; c, of places; u and q, of groups and words as outputs, with a bias as their last component.
     """
 
-    def __init__(self, lexicon: Lexicon, seed: int = 7):
+    def __init__(self, lexicon: Lexicon, seed: int = 7, arrays: dict[str, np.ndarray] | None = None):
+        self.lexicon = lexicon
+        if arrays:  # goes on from these
+            self.r, self.c, self.u, self.q = (np.ascontiguousarray(arrays[name]) for name in ("r", "c", "u", "q"))
+            return
         rng = np.random.default_rng(seed)
         size, groups = len(lexicon.share), len(lexicon.group_share)
-        self.lexicon = lexicon
         self.r = rng.normal(0, 0.3, (size, DIMENSION)).astype(np.float32)
         self.c = np.ones((CONTEXT, DIMENSION), np.float32)
         self.u, self.q = np.zeros((groups, DIMENSION + 1), np.float32), np.zeros((size, DIMENSION + 1), np.float32)
@@ -289,13 +292,12 @@ def _training(lexicon: Broadcast, state: Broadcast, number: int, size: int = 409
     by their uses, as (shard, name, first, rows, moves)."""
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LogBilinear(lexicon.value)
+        model = LogBilinear(lexicon.value, arrays={name: x[:, :-1] for name, x in state.value.items()})
         trainer, shard = None, 0
         for shard, symbol, starts in _runs(batches):
             if trainer is None:
                 trainer = Trainer(model, 1 + number + ROUNDS * shard)
-                for name, values in model.arrays().items():
-                    values[:], trainer.squares[name][:] = state.value[name][:, :-1], state.value[name][:, -1]
+                trainer.squares = {name: np.ascontiguousarray(x[:, -1]) for name, x in state.value.items()}
             contexts = lexicon.value.contexts(symbol, starts)
             order = trainer.rng.permutation(len(symbol))
             step = max(32, min(size, len(order) // 64))  # a short run of texts gets smaller batches, so some dozens of them
@@ -391,6 +393,20 @@ def _scores(model: Broadcast):
     return score
 
 
+def _frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """The most frequent words, at most HELD: all those in steps of counts (a 64th of a power of two) that fit, so no task sends a list of its own."""
+    step = F.floor(64 * F.log2("n")).cast("int")
+    steps = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # at most 64 * 63 of them
+    least, held = 64 * 64, 0
+    for r in steps:
+        held += r["count"]
+        if held > HELD:
+            break
+        least = r["step"]
+    words = [(bytes(r.token), r.n) for r in counts.where(step >= least).collect()]
+    return sorted(words, key=lambda x: (-x[1], x[0]))
+
+
 def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of df.
 
@@ -414,7 +430,7 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     texts = rows.where("NOT held_out").select("text")
     counts = written(in_arrow(texts, _counts(), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     size, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    frequent = [(bytes(r.token), r.n) for r in counts.where(F.length("token") <= LONGEST).orderBy(F.desc("n"), "token").limit(HELD).collect()]
+    frequent = _frequent(counts.where(F.length("token") <= LONGEST))
     ending = F.pmod(F.crc32(F.expr("substr(token, greatest(length(token) - 1, 1), 2)")), F.lit(TAILS))
     tails = [tuple(r) for r in counts.where(F.length("token") > 0).groupBy(ending.alias("c")).agg(F.sum("n"), F.count("*")).collect()]
     lexicon = Lexicon(frequent, size, total, [(int(c), n, v) for c, n, v in tails])
