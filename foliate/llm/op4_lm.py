@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliate.llm.common import drop, in_arrow, slices, text_of, utf8, written
+from foliate.llm.common import in_arrow, slices, text_of, utf8, written
 
 #: Words whose counts every task holds, the most frequent ones of at most LONGEST bytes each: 16 MB at most. The first OWN of
 #: them are the model's own: they are more the larger the corpus is, up to this bound.
@@ -254,15 +254,39 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes], np.nd
 _ROWS = 512
 
 
+_CODED = "id {kind}, held_out boolean, key long, n_tokens long, n_known long, base double, inside double, symbols binary, rare array<struct<token: binary, n: bigint>>"
+
+
 def _coded(lexicon: Broadcast):
-    """Training texts to (key, symbols): 16-bit numbers of the symbols, their end included."""
+    """Texts to what training and scores need of them: 16-bit numbers of the symbols, sums over the held words, and the other words with how
+    often the text has them."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lexicon.value
+        missing = len(known.n) - 1
+        log_n = np.log10(known.n + 1.0)
+        inside = np.zeros(len(known.share))
+        inside[known.tail] = np.log10(known.tail_n + known.tail_v + 1.0)
         for batch in batches:
             for a, b, words, ends in _texts(batch):
-                symbol = lexicon.value.symbols(words)[1].astype(np.uint16)  # OWN and TAILS are fewer than 65,536
-                own = np.split(symbol, ends[:-1])
-                yield pa.record_batch([batch.column("key")[a:b], pa.array([x.tobytes() for x in own], pa.binary())], ["key", "symbols"])
+                at, symbol = known.symbols(words)
+                starts = np.append(0, ends[:-1])
+                total = lambda x: np.add.reduceat(x, starts)
+                rare = np.flatnonzero(at == missing)
+                whose = np.searchsorted(ends, rare, "right")
+                lists, sums = [], [0]
+                counts: list[int] = []
+                for own_rare in np.split(rare, np.searchsorted(whose, np.arange(1, b - a))):
+                    c = Counter(words[i] for i in own_rare.tolist())
+                    lists += c.keys()
+                    counts += c.values()
+                    sums.append(len(lists))
+                pairs = pa.StructArray.from_arrays([pa.array(lists, pa.binary()), pa.array(counts, pa.int64())], ["token", "n"])
+                own = np.split(symbol.astype(np.uint16), ends[:-1])  # OWN and TAILS are fewer than 65,536
+                yield pa.record_batch(
+                    [batch.column("id")[a:b], batch.column("held_out")[a:b], batch.column("key")[a:b], pa.array(np.diff(ends, prepend=0)), pa.array(total((known.n[at] > 0).astype(np.int64))), pa.array(total(log_n[at])), pa.array(total(known.inside[at] - inside[symbol])), pa.array([x.tobytes() for x in own], pa.binary()), pa.ListArray.from_arrays(pa.array(sums, pa.int32()), pairs)],
+                    ["id", "held_out", "key", "n_tokens", "n_known", "base", "inside", "symbols", "rare"],
+                )
 
     return code
 
@@ -331,18 +355,14 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([name]), pa.array([first], pa.int32()), pa.array([mean.tobytes()], pa.binary())], ["name", "first", "moves"])
 
 
-def trained(texts: DataFrame, lexicon: Lexicon, shared: Broadcast) -> LogBilinear:
-    """A model trained on all of texts(text), in ROUNDS rounds of shards that all start from the state the last round ended with.
+def trained(coded: DataFrame, lexicon: Lexicon, shared: Broadcast) -> LogBilinear:
+    """A model trained on coded(round, shard, key, symbols), in ROUNDS rounds of shards that all start from the state the last round ended with.
 
     The hash of a text names its round and its shard, and shards read their texts in the order of hashes; so the model doesn't depend on
     files, partitions or executors. Shards have about SHARD tokens; a round trains on its part of each. Rows of arrays, and the squares that
     steps are divided by, move by the mean of what shards moved them, weighted by the root of their uses.
     """
-    spark = texts.sparkSession
-    shards = max(1, -(-lexicon.total // SHARD))
-    coded = in_arrow(texts.select(F.xxhash64("text").alias("key"), "text"), _coded(shared), "key long, symbols binary")
-    place = {"round": F.pmod("key", F.lit(ROUNDS)).cast("int"), "shard": F.pmod(F.shiftright("key", 20), F.lit(shards)).cast("int")}
-    coded = written(coded.withColumns(place), "symbols", ["round"])
+    spark, shards = coded.sparkSession, _shards(lexicon.total)
     model = LogBilinear(lexicon)
     squares = {name: np.full(len(x), 1e-3, np.float32) for name, x in model.arrays().items()}
     for number in range(ROUNDS):
@@ -356,39 +376,28 @@ def trained(texts: DataFrame, lexicon: Lexicon, shared: Broadcast) -> LogBilinea
             values += move[:, :-1]
             squares[r.name][r.first : r.first + _ROWS] += move[:, -1]
         state.unpersist()
-    drop(coded)
     return model
 
 
+def _shards(tokens: int) -> int:
+    return max(1, -(-tokens // SHARD))
+
+
 def _scores(model: Broadcast):
-    """Of each document: what held words and the model give, and its other words with how often it has them."""
+    """Adds to coded rows what the model gives for their symbols, many short texts at a time."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model.value.lexicon
-        missing = len(known.n) - 1
-        log_n = np.log10(known.n + 1.0)
-        inside = np.zeros(len(known.share))
-        inside[known.tail] = np.log10(known.tail_n + known.tail_v + 1.0)
         for batch in batches:
-            for a, b, words, ends in _texts(batch):
-                at, symbol = known.symbols(words)
-                starts = np.append(0, ends[:-1])
-                logp = model.value.log_probabilities(known.contexts(symbol, starts), symbol) / np.log(10) - inside[symbol] + known.inside[at]
-                total = lambda x: np.add.reduceat(x, starts)
-                rare = np.flatnonzero(at == missing)
-                whose = np.searchsorted(ends, rare, "right")
-                lists, sums = [], [0]
-                counts: list[int] = []
-                for own_rare in np.split(rare, np.searchsorted(whose, np.arange(1, b - a))):
-                    c = Counter(words[i] for i in own_rare.tolist())
-                    lists += c.keys()
-                    counts += c.values()
-                    sums.append(len(lists))
-                pairs = pa.StructArray.from_arrays([pa.array(lists, pa.binary()), pa.array(counts, pa.int64())], ["token", "n"])
-                yield pa.record_batch(
-                    [batch.column("id")[a:b], batch.column("held_out")[a:b], pa.array(np.diff(ends, prepend=0)), pa.array(total((known.n[at] > 0).astype(np.int64))), pa.array(total(log_n[at])), pa.array(total(logp)), pa.ListArray.from_arrays(pa.array(sums, pa.int32()), pairs)],
-                    ["id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
-                )
+            data, offsets = utf8(batch.column("symbols"))
+            got = []
+            for a, b in slices(offsets, 1 << 21):
+                symbol = data[offsets[a] : offsets[b]].view(np.uint16).astype(np.int32)
+                starts = (offsets[a:b] - offsets[a]) // 2
+                got.append(np.add.reduceat(model.value.log_probabilities(known.contexts(symbol, starts), symbol) / np.log(10), starts))
+            rest = [c for c in batch.schema.names if c not in ("symbols", "inside")]
+            total = np.concatenate(got) + batch.column("inside").to_numpy()
+            yield pa.record_batch([*(batch.column(c) for c in rest), pa.array(total)], [*rest, "model"])
 
     return score
 
@@ -426,21 +435,25 @@ def scored(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds:
     kind = df.schema[id_col].dataType.simpleString()
     spark = df.sparkSession
     out_ = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
-    rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), out_.alias("held_out"))
-    texts = rows.where("NOT held_out").select("text")
-    counts = written(in_arrow(texts, _counts(), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    text = text_of(text_col)
+    rows = df.select(F.col(id_col).alias("id"), out_.alias("held_out"), F.xxhash64(text).alias("key"), text.alias("text"))
+    counts = written(in_arrow(rows.where("NOT held_out").select("text"), _counts(), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     size, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     frequent = _frequent(counts.where(F.length("token") <= LONGEST))
     ending = F.pmod(F.crc32(F.expr("substr(token, greatest(length(token) - 1, 1), 2)")), F.lit(TAILS))
     tails = [tuple(r) for r in counts.where(F.length("token") > 0).groupBy(ending.alias("c")).agg(F.sum("n"), F.count("*")).collect()]
     lexicon = Lexicon(frequent, size, total, [(int(c), n, v) for c, n, v in tails])
-    model = spark.sparkContext.broadcast(trained(texts, lexicon, spark.sparkContext.broadcast(lexicon)))
-
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<token: binary, n: bigint>>"
-    parts = written(in_arrow(rows, _scores(model), schema).withColumn("uid", F.monotonically_increasing_id()), "scores")
-    rare = parts.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.token").alias("token"), F.col("r.n").alias("times"))
+    shared = spark.sparkContext.broadcast(lexicon)
+    place = {"round": F.pmod("key", F.lit(ROUNDS)).cast("int"), "shard": F.pmod(F.shiftright("key", 20), F.lit(_shards(total))).cast("int")}
+    coded = in_arrow(rows, _coded(shared), _CODED.format(kind=kind)).withColumns(place).withColumn("uid", F.monotonically_increasing_id())
+    coded = written(coded, "coded", ["round"])
+    model = spark.sparkContext.broadcast(trained(coded.where("NOT held_out"), lexicon, shared))
+
+    columns = ["uid", "id", "held_out", "n_tokens", "n_known", "base"]
+    parts = in_arrow(coded.select(*columns, "inside", "symbols"), _scores(model), f"uid long, id {kind}, held_out boolean, n_tokens long, n_known long, base double, model double")
+    rare = coded.select("uid", F.explode("rare").alias("r")).select("uid", F.col("r.token").alias("token"), F.col("r.n").alias("times"))
     met = rare.join(counts, "token").groupBy("uid").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"))
-    out = parts.drop("rare").join(met, "uid", "left").withColumns({"known": F.coalesce("known", F.lit(0)), "logs": F.coalesce("logs", F.lit(0.0))})
+    out = parts.join(met, "uid", "left").withColumns({"known": F.coalesce("known", F.lit(0)), "logs": F.coalesce("logs", F.lit(0.0))})
     return out.select(
         F.col("id").alias(id_col),
         "held_out",
