@@ -105,9 +105,22 @@ def markdown(spark, folder):
     return parsing.markdown(_as_notes(table(spark, folder, "documents")), "doc_id", "text")
 
 
-@query("parse_outline")
+_OUTLINE = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+n AS (SELECT doc_id, array_to_string(list_concat(['---' || chr(10) || 'tags: [' || lang || ', ' || source || ']' || chr(10) || '---' || chr(10) || '# ' || l[1]],
+  CASE WHEN len(l) = 1 THEN [''] ELSE list_transform(l[2:], lambda x, i: CASE WHEN i % 2 = 1 THEN '- [ ] ' ELSE '' END || x || ' [[' || source || ']]') END), chr(10)) AS t FROM d),
+c AS (SELECT doc_id, replace(regexp_replace(t, '\r\n?', chr(10), 'g'), chr(0), '') AS t FROM n),
+x AS (SELECT doc_id, length(t) AS whole, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM c),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM x),
+h AS (SELECT doc_id, whole, start, length(regexp_extract(line, '^ {0,3}(#{1,6})', 1)) AS depth, regexp_extract(line, '^ {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$', 1) AS heading,
+  row_number() OVER (PARTITION BY doc_id ORDER BY k) AS ordinal FROM o WHERE regexp_matches(line, '^ {0,3}#{1,6}([ \t].*)?$'))
+SELECT doc_id, ordinal::INT AS ordinal, depth::INT AS depth, heading, start::INT AS start,
+  (coalesce((SELECT min(b.start) FROM h b WHERE b.doc_id = a.doc_id AND b.ordinal > a.ordinal AND b.depth <= a.depth), whole) - start)::INT AS size FROM h a"""
+
+
+@query("parse_outline", _OUTLINE)
 def outline(spark, folder):
-    return blocks.outline(_as_notes(table(spark, folder, "documents")), "doc_id", "text")
+    return blocks.outline(_as_notes(table(spark, folder, "documents")), "doc_id", "text").drop("path")
 
 
 @query("parse_chunk_lengths")
