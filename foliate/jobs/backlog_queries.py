@@ -187,9 +187,9 @@ def verdict(spark, folder):
 
 
 @query("text_expressions", r"""
-SELECT page_id, CASE WHEN length(html) < 1024 THEN length(html) || ' B' WHEN length(html) < 1048576 THEN printf('%.1f', length(html) / 1024.0) || ' KB' ELSE printf('%.1f', length(html) / 1048576.0) || ' MB' END AS size,
+SELECT page_id, CASE WHEN html IS NULL THEN NULL WHEN length(html) < 1024 THEN length(html) || ' B' WHEN length(html) < 1048576 THEN printf('%.1f', length(html) / 1024.0) || ' KB' ELSE printf('%.1f', length(html) / 1048576.0) || ' MB' END AS size,
   CASE WHEN NOT list_contains(string_split(p, '/'), '..') THEN array_to_string(list_filter(string_split(p, '/'), lambda s: s <> '' AND s <> '.'), '/') END AS path
-FROM (SELECT page_id, html, '/./' || url || '//' AS p FROM pages WHERE html IS NOT NULL)""")
+FROM (SELECT page_id, html, '/./' || url || '//' AS p FROM pages)""")
 def expressions(spark, folder):
-    rows = table(spark, folder, "pages").where("html IS NOT NULL")
+    rows = table(spark, folder, "pages")
     return rows.select("page_id", text.human_size(F.length("html")).alias("size"), text.normal_path(F.concat(F.lit("/./"), "url", F.lit("//"))).alias("path"))

@@ -105,9 +105,9 @@ def membership(spark, folder):
     return upkeep.membership(table(spark, folder, "documents"), "source", "doc_id", {"vectors": made, "labelled": table(spark, folder, "labels")})
 
 
-@query("vectors_current_and_historical", "SELECT count(*) FILTER (WHERE label % 3 = 0) AS current, count(*) FILTER (WHERE label % 3 <> 0) AS historical FROM embeddings WHERE label IS NOT NULL")
+@query("vectors_current_and_historical", "SELECT count(*) FILTER (WHERE label IS NULL OR label % 3 = 0) AS current, count(*) FILTER (WHERE label % 3 <> 0) AS historical FROM embeddings")
 def current_and_historical(spark, folder):
-    rows = table(spark, folder, "embeddings").where("label IS NOT NULL").select(F.when(F.col("label") % 3 != 0, F.col("label")).alias("valid_to"))
+    rows = table(spark, folder, "embeddings").select(F.when(F.col("label") % 3 != 0, F.col("label")).alias("valid_to"))
     return upkeep.versions_counted(rows, "valid_to")
 
 
