@@ -22,8 +22,8 @@ TAILS = 512
 END = b""
 #: Groups of outputs; components of a vector; words of context.
 GROUPS, DIMENSION, CONTEXT = 128, 7, 2
-#: Rounds of training; training tokens of a shard; tokens that are mixed before they are cut into minibatches.
-ROUNDS, SHARD, RUN = 8, 1 << 22, 1 << 18
+#: Rounds of training; training tokens of a shard; tokens that are mixed before they are cut into minibatches, and tokens of one.
+ROUNDS, SHARD, RUN, BATCH = 8, 1 << 23, 1 << 18, 8192
 
 
 def tokens(text: str) -> list[bytes]:
@@ -311,7 +311,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray,
         yield run()
 
 
-def _training(lexicon: Broadcast, state: Broadcast, number: int, size: int = 4096):
+def _training(lexicon: Broadcast, state: Broadcast, number: int):
     """Trains on the texts of a shard from the state that all shards start from: how far rows of arrays and their squares moved, weighted
     by their uses, as (shard, name, first, rows, moves)."""
 
@@ -324,7 +324,7 @@ def _training(lexicon: Broadcast, state: Broadcast, number: int, size: int = 409
                 trainer.squares = {name: np.ascontiguousarray(x[:, -1]) for name, x in state.value.items()}
             contexts = lexicon.value.contexts(symbol, starts)
             order = trainer.rng.permutation(len(symbol))
-            step = max(32, min(size, len(order) // 64))  # a short run of texts gets smaller batches, so some dozens of them
+            step = max(32, min(BATCH, len(order) // 64))  # a short run of texts gets smaller batches, so some dozens of them
             for k in range(0, len(order), step):
                 trainer.batch(contexts[order[k : k + step]], symbol[order[k : k + step]])
         if trainer is None:
