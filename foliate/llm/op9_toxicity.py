@@ -23,6 +23,8 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Fixed voters; each family of the lexicon that labelled texts give, by its first three letters, is one more.
 BUILT_IN = 6
 PREFIXES = range(3, 8)
+#: Sums of a round that are one row.
+_SUMS = 1024
 #: The least accuracy of labels that the label model considers.
 TRUST = 0.98
 
@@ -191,7 +193,7 @@ def label_model(patterns: DataFrame, voters: int, rounds: int = 8, unlabelled: f
     topics, doesn't outweigh the labels.
 
     A round is one pass over the patterns, which sends back sums: their number is that of the voters, and in the round that finds the
-    tree that of pairs of voters. The tree is found in the third round."""
+    tree that of pairs of voters; a task gives them as arrays of _SUMS, a row each. The tree is found in the third round."""
     model = LabelModel(voters)
     labelled = patterns.agg(F.coalesce(F.sum(F.col("n0") + F.col("n1")), F.lit(0))).first()[0]
     for step in range(rounds):
@@ -206,15 +208,27 @@ def label_model(patterns: DataFrame, voters: int, rounds: int = 8, unlabelled: f
                     own = now.sums(_dense(part.column("votes"), voters), counts, known, pairs)
                     total = own if total is None else total + own
             if total is not None:
-                yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(total)], ["k", "v"])
+                parts = [total[k : k + _SUMS].tobytes() for k in range(0, len(total), _SUMS)]
+                yield pa.record_batch([pa.array(np.arange(len(parts))), pa.array(parts, pa.binary())], ["k", "v"])
 
-        sums = in_arrow(patterns, partial, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").toArrow()
-        if not sums.num_rows:
+        sums = in_arrow(in_arrow(patterns, partial, "k long, v binary").repartition("k"), _added, "k long, v binary").orderBy("k").collect()
+        if not sums:
             break
-        model.update(sums["v"].to_numpy(), pairs)
+        model.update(np.concatenate([np.frombuffer(r.v) for r in sums]), pairs)
     return model
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, the sum of its arrays of doubles v) of a partition that has all rows of each of its k."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(data)
+            sums[k] = sums[k] + own if k in sums else own
+    if sums:
+        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["k", "v"])
+
+
 def fitted(rows: list[np.ndarray], width: int, target: np.ndarray, weight: np.ndarray, ridge: float = 0.1, rounds: int = 25) -> np.ndarray:
     """Weights of a logistic regression on soft targets, the intercept last; rows: the places of the ones of each row.
 

@@ -629,6 +629,28 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, before, SMALL)
         assert after.columns == before.columns
+def test_a_task_gives_its_sums_of_a_round_in_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(np.flatnonzero(rng.random(12) < 0.3).tolist(), *rng.integers(0, 9, 3).tolist()) for _ in range(400)]
+    patterns = spark.createDataFrame(rows, "votes array<int>, n0 long, n1 long, n long").repartition(16).cache()
+    made, plain = [], op9_toxicity.in_arrow
+
+    def watched(df, function, schema):
+        out = plain(df, function, schema)
+        made.append(out.count())
+        return out
+
+    want = op9_toxicity.label_model(patterns.coalesce(1), 12)
+    monkeypatch.setattr(op9_toxicity, "in_arrow", watched)
+    got = op9_toxicity.label_model(patterns, 12)
+    assert max(made) <= 16
+    monkeypatch.setattr(op9_toxicity, "_SUMS", 7)  # parts that don't divide evenly
+    parts = op9_toxicity.label_model(patterns, 12)
+    for model in (got, parts):
+        assert (model.parent == want.parent).all() and np.allclose(model.given, want.given) and np.allclose(model.prior, want.prior) and np.allclose(model.told, want.told)
+    patterns.unpersist()
+
+
         rows, left = before.collect(), {r.doc_id for r in after.collect()}
         if name == "toxicity":
             assert left == {r.doc_id for r in op9_toxicity.toxicity(before, table(spark, SMALL, "labels")).collect() if r.score < 0.5} and len(left) < len(rows)
