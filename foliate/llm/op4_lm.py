@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ def _counts(most: int = 400_000):
             for a, b in slices(utf8(batch.column("text"))[1], 1 << 22):
                 for text in batch.column("text")[a:b].to_pylist():
                     counts.update(tokens(text))
-                    counts[END] += 1
+                counts[END] += b - a
                 if len(counts) > most:
                     yield give()
                     counts.clear()
@@ -91,8 +92,7 @@ class Lexicon:
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(place among the held words, len(held) if none; symbol) of each word."""
         missing = len(self.n) - 1
-        get = self.index.get
-        at = np.fromiter((get(w, missing) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.index.get, words, repeat(missing)), np.int64, len(words))
         symbol = self.symbol[at]
         rare = np.flatnonzero(at == missing)
         if len(rare):
@@ -140,7 +140,7 @@ class LogBilinear:
     def hidden(self, contexts: np.ndarray) -> np.ndarray:
         """The vectors of contexts, with a one at the end that biases meet."""
         h = np.ones((len(contexts), DIMENSION + 1), np.float32)
-        h[:, :-1] = (self.r[contexts] * self.c).sum(1)
+        h[:, :-1] = (np.take(self.r, contexts, 0) * self.c).sum(1)
         return h
 
     def log_probabilities(self, contexts: np.ndarray, symbol: np.ndarray, step: int = 65536) -> np.ndarray:
@@ -159,18 +159,23 @@ class LogBilinear:
                 wide = max(1, (1 << 18) // int(high - low))  # products stay in the processor's cache
                 for k in range(bounds[g], bounds[g + 1], wide):
                     rows = order[k : min(k + wide, bounds[g + 1])]
-                    own[rows] += _log_share(h[rows], self.q[low:high], s[rows] - low)
+                    own[rows] += _log_share(np.take(h, rows, 0), self.q[low:high], s[rows] - low)
             out[a : a + step] = own
         return out
 
 
+#: Odds of so much either way have exponentials whose sums single precision holds.
+_FLAT = 60.0
+
+
 def _log_share(h: np.ndarray, outputs: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The logarithm of the softmax of the products with all outputs, at one of them for each row."""
     odds = h @ outputs.T
-    odds -= odds.max(1, keepdims=True)
+    if np.einsum("nd,nd->n", h, h).max() * np.einsum("nd,nd->n", outputs, outputs).max() > _FLAT**2:  # products are at most those of the lengths
+        odds -= odds.max(1, keepdims=True)
     own = odds[np.arange(len(h)), at]
     np.exp(odds, out=odds)
-    return own - np.log(odds.sum(1))
+    return own - np.log(odds @ np.ones(odds.shape[1], np.float32))
 
 
 class Trainer:
@@ -186,14 +191,15 @@ class Trainer:
         low, wide = sums[lexicon.first[:-1]], lexicon.group_share
         drawn = np.searchsorted(sums, low[:, None] + self.rng.random((len(wide), pool)) * wide[:, None], "right") - 1
         self.pool = np.clip(drawn, lexicon.first[:-1, None], lexicon.first[1:, None] - 1).astype(np.int32)
+        self.shift = np.log(inner * lexicon.share / lexicon.group_share[lexicon.group]).astype(np.float32)  # of each word as noise of its group
         self.squares = {name: np.full(len(x), 1e-3, np.float32) for name, x in model.arrays().items()}
         self.touched = {name: np.zeros(len(x), np.float32) for name, x in model.arrays().items()}
 
     def _step(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
-        order = np.argsort(rows.astype(np.int16) if len(self.squares[name]) <= 1 << 15 else rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # OWN and TAILS are fewer than 65,536: sorted by digits
         rows = rows[order]
         starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        sums, rows = np.add.reduceat(gradient[order], starts), rows[starts]
+        sums, rows = np.add.reduceat(np.take(gradient, order, 0), starts), rows[starts]
         squares = self.squares[name][rows] + np.einsum("nd,nd->n", sums, sums) / np.float32(sums.shape[1])
         self.squares[name][rows] = squares
         sums *= (self.rate / np.sqrt(squares)).astype(np.float32)[:, None]
@@ -203,13 +209,13 @@ class Trainer:
     def batch(self, contexts: np.ndarray, symbol: np.ndarray) -> None:
         model, lexicon = self.model, self.model.lexicon
         n = len(symbol)
-        before = model.r[contexts]
+        before = np.take(model.r, contexts, 0)
         h = np.ones((n, DIMENSION + 1), np.float32)
         h[:, :-1] = (before * model.c).sum(1)
         group = lexicon.group[symbol]
         fake = self.pool_of_groups()
         shift = np.log(len(fake) * lexicon.group_share).astype(np.float32)
-        own = model.u[group]
+        own = np.take(model.u, group, 0)
         real = _sigmoid((h * own).sum(1) - shift[group]) - 1
         false = _sigmoid(h @ model.u[fake].T - shift[fake])
         dh = real[:, None] * own + false @ model.u[fake]
@@ -218,9 +224,8 @@ class Trainer:
         if len(at):
             s, hs = symbol[at], h[at]
             words = np.column_stack([s, self.pool[group[at][:, None], self.rng.integers(0, self.pool.shape[1], (len(at), self.inner))]])
-            q = model.q[words]
-            shift = np.log(self.inner * lexicon.share[words] / lexicon.group_share[group[at]][:, None]).astype(np.float32)
-            p = _sigmoid(np.einsum("nkd,nd->nk", q, hs) - shift)
+            q = np.take(model.q, words, 0)
+            p = _sigmoid(np.einsum("nkd,nd->nk", q, hs) - np.take(self.shift, words))
             p[:, 0] -= 1
             dh[at] += np.einsum("nk,nkd->nd", p, q)
             self._step("q", words.ravel(), (p[:, :, None] * hs[:, None, :]).reshape(-1, DIMENSION + 1))

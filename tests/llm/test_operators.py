@@ -465,6 +465,24 @@ def test_scores_are_normalised_and_those_of_the_model(spark, monkeypatch):
         if w not in own:
             tail[op4_lm.suffix(w)][0] += n
             tail[op4_lm.suffix(w)][1] += 1
+def test_steps_sort_by_digits_and_shares_of_any_odds(monkeypatch):
+    kinds, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **kw: kinds.append((x.dtype.itemsize, kw)) or argsort(x, **kw))
+    n = op4_lm.OWN + op4_lm.TAILS
+    own = type("Own", (), {"squares": {"q": np.ones(n, np.float32)}, "touched": {"q": np.zeros(n, np.float32)}, "rate": 1.0, "model": type("Model", (), {"arrays": lambda self: arrays})()})()
+    arrays = {"q": np.zeros((n, 2), np.float32)}
+    op4_lm.Trainer._step(own, "q", np.array([n - 1, 3, n - 1]), np.ones((3, 2), np.float32))
+    assert kinds == [(2, {"kind": "stable"})] and own.touched["q"][[3, n - 1]].tolist() == [1, 2]
+    assert np.allclose(arrays["q"][[3, n - 1]], -np.array([[1], [2]]) / np.sqrt([[2], [5]])) and (arrays["q"] != 0).sum() == 4
+    rng = np.random.default_rng(1)
+    for size in (0.1, 3.0, 30.0, 300.0):  # within and beyond what exponentials hold
+        h, outputs, at = (rng.normal(0, size, (50, 8)).astype(np.float32), rng.normal(0, 1, (70, 8)).astype(np.float32), rng.integers(0, 70, 50))
+        odds = h.astype(float) @ outputs.T.astype(float)
+        top = odds.max(1, keepdims=True)
+        want = odds[np.arange(50), at] - top[:, 0] - np.log(np.exp(odds - top).sum(1))
+        assert np.allclose(op4_lm._log_share(h, outputs, at), want, rtol=1e-4, atol=1e-3)
+
+
     for i in (0, 1, 5, 60, 61, None):
         before, total = [lex.end, lex.end], 0.0
         for w in [*op4_lm.tokens((texts[-1] if i is None else texts[i]) or ""), b""]:
