@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +17,8 @@ from foliate.llm.common import in_arrow, slices, text_of, utf8, written
 
 _STORES: dict[str, tuple[Splitter, Store, int]] = {}
 ITEM = "uid: bigint, size: int, offset: int"
+#: Pre-tokens that the library gets as one text.
+_JOINED = 128
 
 
 def _tokenizer(path: str) -> tuple[Splitter, Store, int]:
@@ -26,13 +27,16 @@ def _tokenizer(path: str) -> tuple[Splitter, Store, int]:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        special = tokenizer.token_to_id(SPECIAL)
 
         def encode(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            ids = [x.ids for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths
+            """Many pre-tokens are one text for the library, parted by the special string, which no pre-token holds."""
+            texts = [SPECIAL.join([*new[k : k + _JOINED], ""]) for k in range(0, len(new), _JOINED)]
+            ids = np.concatenate([np.array(x.ids, np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+            ends = np.flatnonzero(ids == special)
+            return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
 
-        _STORES[path] = Splitter(public_tokenizers.PATTERN), Store(encode), tokenizer.token_to_id(SPECIAL)
+        _STORES[path] = Splitter(public_tokenizers.PATTERN), Store(encode), special
     return _STORES[path]
 
 

@@ -118,6 +118,36 @@ def test_store_forgets(spark):
         assert ids.tolist() == t.encode(text).ids and n[0] == len(ids)
 
 
+def test_new_pretokens_reach_the_library_together(monkeypatch):
+    import tokenizers
+
+    given, library = [], tokenizer()
+
+    class Library:
+        def __init__(self, path):
+            self.token_to_id = library.token_to_id
+
+        def encode_batch_fast(self, texts, **kw):
+            given.extend(texts)
+            return library.encode_batch_fast(texts, **kw)
+
+    monkeypatch.setattr(op8_packing, "_STORES", {})
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Tokenizer", (), {"from_file": Library}))
+    split, store, special = op8_packing._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [" ".join(f"q{k}x{n}" for k in range(200)) for n in range(30)] + [x or "" for x in ODD] + ["<|endoftext|", "<|endoftext|<|endoftext|>|>", "<<|endoftext|>"]
+    for _ in range(2):
+        ids, counts = bpe.texts_to_ids(texts, split, store, (bpe.SPECIAL, special))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(given) < 6000 / 50
+
+
+def test_fast_split_is_that_of_the_pattern():
+    safe = [c for c in map(chr, range(0x3100)) if not bpe._UNSAFE.search(c)]
+    split = bpe.Splitter(public_tokenizers.PATTERN)
+    for x in ["".join(safe), *(f"a{c}{c} {c}1'{c}'s {c}" for c in safe), *(x for x in ODD if x and not bpe._UNSAFE.search(x))]:
+        assert bpe._FAST.findall(x) == split.exact.findall(x)
+
+
 def check_packing(rows, texts, length=1024):
     t = tokenizer()
     total, bins, by_doc = 0, defaultdict(list), defaultdict(list)
@@ -442,6 +472,24 @@ def test_language_model(spark, nothing):
     assert op4_lm.scored(nothing).count() == 0
 
 
+def test_steps_sort_by_digits_and_shares_of_any_odds(monkeypatch):
+    kinds, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **kw: kinds.append((x.dtype.itemsize, kw)) or argsort(x, **kw))
+    n = op4_lm.OWN + op4_lm.TAILS
+    own = type("Own", (), {"squares": {"q": np.ones(n, np.float32)}, "touched": {"q": np.zeros(n, np.float32)}, "rate": 1.0, "model": type("Model", (), {"arrays": lambda self: arrays})()})()
+    arrays = {"q": np.zeros((n, 2), np.float32)}
+    op4_lm.Trainer._step(own, "q", np.array([n - 1, 3, n - 1]), np.ones((3, 2), np.float32))
+    assert kinds == [(2, {"kind": "stable"})] and own.touched["q"][[3, n - 1]].tolist() == [1, 2]
+    assert np.allclose(arrays["q"][[3, n - 1]], -np.array([[1], [2]]) / np.sqrt([[2], [5]])) and (arrays["q"] != 0).sum() == 4
+    rng = np.random.default_rng(1)
+    for size in (0.1, 3.0, 30.0, 300.0):  # within and beyond what exponentials hold
+        h, outputs, at = (rng.normal(0, size, (50, 8)).astype(np.float32), rng.normal(0, 1, (70, 8)).astype(np.float32), rng.integers(0, 70, 50))
+        odds = h.astype(float) @ outputs.T.astype(float)
+        top = odds.max(1, keepdims=True)
+        want = odds[np.arange(50), at] - top[:, 0] - np.log(np.exp(odds - top).sum(1))
+        assert np.allclose(op4_lm._log_share(h, outputs, at), want, rtol=1e-4, atol=1e-3)
+
+
 def test_scores_are_normalised_and_those_of_the_model(spark, monkeypatch):
     """score equals a plain sum over tokens of the trained model's probabilities; those of all symbols after a context sum to one."""
     rng = np.random.default_rng(8)
@@ -465,24 +513,6 @@ def test_scores_are_normalised_and_those_of_the_model(spark, monkeypatch):
         if w not in own:
             tail[op4_lm.suffix(w)][0] += n
             tail[op4_lm.suffix(w)][1] += 1
-def test_steps_sort_by_digits_and_shares_of_any_odds(monkeypatch):
-    kinds, argsort = [], np.argsort
-    monkeypatch.setattr(np, "argsort", lambda x, **kw: kinds.append((x.dtype.itemsize, kw)) or argsort(x, **kw))
-    n = op4_lm.OWN + op4_lm.TAILS
-    own = type("Own", (), {"squares": {"q": np.ones(n, np.float32)}, "touched": {"q": np.zeros(n, np.float32)}, "rate": 1.0, "model": type("Model", (), {"arrays": lambda self: arrays})()})()
-    arrays = {"q": np.zeros((n, 2), np.float32)}
-    op4_lm.Trainer._step(own, "q", np.array([n - 1, 3, n - 1]), np.ones((3, 2), np.float32))
-    assert kinds == [(2, {"kind": "stable"})] and own.touched["q"][[3, n - 1]].tolist() == [1, 2]
-    assert np.allclose(arrays["q"][[3, n - 1]], -np.array([[1], [2]]) / np.sqrt([[2], [5]])) and (arrays["q"] != 0).sum() == 4
-    rng = np.random.default_rng(1)
-    for size in (0.1, 3.0, 30.0, 300.0):  # within and beyond what exponentials hold
-        h, outputs, at = (rng.normal(0, size, (50, 8)).astype(np.float32), rng.normal(0, 1, (70, 8)).astype(np.float32), rng.integers(0, 70, 50))
-        odds = h.astype(float) @ outputs.T.astype(float)
-        top = odds.max(1, keepdims=True)
-        want = odds[np.arange(50), at] - top[:, 0] - np.log(np.exp(odds - top).sum(1))
-        assert np.allclose(op4_lm._log_share(h, outputs, at), want, rtol=1e-4, atol=1e-3)
-
-
     for i in (0, 1, 5, 60, 61, None):
         before, total = [lex.end, lex.end], 0.0
         for w in [*op4_lm.tokens((texts[-1] if i is None else texts[i]) or ""), b""]:
@@ -606,6 +636,28 @@ def test_label_model_finds_accuracies_and_dependence(spark):
     assert ((q >= 0.5) == y).mean() > 0.9
 
 
+def test_a_task_gives_its_sums_of_a_round_in_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(np.flatnonzero(rng.random(12) < 0.3).tolist(), *rng.integers(0, 9, 3).tolist()) for _ in range(400)]
+    patterns = spark.createDataFrame(rows, "votes array<int>, n0 long, n1 long, n long").repartition(16).cache()
+    made, plain = [], op9_toxicity.in_arrow
+
+    def watched(df, function, schema):
+        out = plain(df, function, schema)
+        made.append(out.count())
+        return out
+
+    want = op9_toxicity.label_model(patterns.coalesce(1), 12)
+    monkeypatch.setattr(op9_toxicity, "in_arrow", watched)
+    got = op9_toxicity.label_model(patterns, 12)
+    assert max(made) <= 16
+    monkeypatch.setattr(op9_toxicity, "_SUMS", 7)  # parts that don't divide evenly
+    parts = op9_toxicity.label_model(patterns, 12)
+    for model in (got, parts):
+        assert (model.parent == want.parent).all() and np.allclose(model.given, want.given) and np.allclose(model.prior, want.prior) and np.allclose(model.told, want.told)
+    patterns.unpersist()
+
+
 def test_fit_is_that_of_plain_newton_steps():
     rng = np.random.default_rng(3)
     x = rng.random((200, 6)) < 0.3
@@ -647,28 +699,6 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, before, SMALL)
         assert after.columns == before.columns
-def test_a_task_gives_its_sums_of_a_round_in_few_rows(spark, monkeypatch):
-    rng = np.random.default_rng(5)
-    rows = [(np.flatnonzero(rng.random(12) < 0.3).tolist(), *rng.integers(0, 9, 3).tolist()) for _ in range(400)]
-    patterns = spark.createDataFrame(rows, "votes array<int>, n0 long, n1 long, n long").repartition(16).cache()
-    made, plain = [], op9_toxicity.in_arrow
-
-    def watched(df, function, schema):
-        out = plain(df, function, schema)
-        made.append(out.count())
-        return out
-
-    want = op9_toxicity.label_model(patterns.coalesce(1), 12)
-    monkeypatch.setattr(op9_toxicity, "in_arrow", watched)
-    got = op9_toxicity.label_model(patterns, 12)
-    assert max(made) <= 16
-    monkeypatch.setattr(op9_toxicity, "_SUMS", 7)  # parts that don't divide evenly
-    parts = op9_toxicity.label_model(patterns, 12)
-    for model in (got, parts):
-        assert (model.parent == want.parent).all() and np.allclose(model.given, want.given) and np.allclose(model.prior, want.prior) and np.allclose(model.told, want.told)
-    patterns.unpersist()
-
-
         rows, left = before.collect(), {r.doc_id for r in after.collect()}
         if name == "toxicity":
             assert left == {r.doc_id for r in op9_toxicity.toxicity(before, table(spark, SMALL, "labels")).collect() if r.score < 0.5} and len(left) < len(rows)
